@@ -91,6 +91,7 @@ def lgamma_col(x: Column) -> Column:
 def dirichlet_expectation_col(x: Column, total: Column | None = None) -> Column:
     """Expected log of an array column, against its own sum or a given array of sums."""
     if total is None:
-        own = F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-        return F.transform(x, lambda v: digamma_col(v) - digamma_col(own))
+        own = F.array(F.aggregate(x, F.lit(0.0), lambda a, b: a + b))
+        own = F.array_repeat(F.get(F.transform(own, digamma_col), F.lit(0)), F.size(x))
+        return F.zip_with(x, own, lambda v, s: digamma_col(v) - s)
     return F.zip_with(x, total, lambda v, s: digamma_col(v) - digamma_col(s))

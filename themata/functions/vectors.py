@@ -33,14 +33,22 @@ def euclidean_distance(x: Column, y: Column) -> Column:
     return F.sqrt(total(squares))
 
 
+def against(x: Column, value: Column, fn) -> Column:
+    """``fn(element, value)`` for every element, with ``value`` computed once per row.
+
+    The body of a lambda function is computed for every element, so a sum or a
+    maximum of the whole array does not belong there.
+    """
+    return F.zip_with(x, F.array_repeat(value, F.size(x)), fn)
+
+
 def log_sum_exp(x: Column) -> Column:
     top = F.array_max(x)
-    return top + F.log(total(F.transform(x, lambda v: F.exp(v - top))))
+    return top + F.log(total(against(x, top, lambda v, m: F.exp(v - m))))
 
 
 def normalise(x: Column) -> Column:
-    mass = total(x)
-    return F.transform(x, lambda v: v / mass)
+    return against(x, total(x), lambda v, mass: v / mass)
 
 
 def vector_matrix(column: pa.Array) -> np.ndarray:

@@ -132,7 +132,11 @@ def _block_e_step(
     # Distinct words of a block: a frequent word counts once per block, not once
     # per document, so no word dominates the join.
     words = placed.repartition("block").select("block", F.explode("word_ids").alias("word_id"))
-    needed = words.distinct().join(rows, "word_id").select("block", "word_id", "log_beta")
+    needed = (
+        words.distinct()
+        .join(rows, "word_id")
+        .select(F.col("block").alias("for_block"), "word_id", "log_beta")
+    )
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         schema = ARROW_SCHEMAS[want]
@@ -146,7 +150,7 @@ def _block_e_step(
 
     return (
         placed.groupBy("block")
-        .cogroup(needed.groupBy("block"))
+        .cogroup(needed.groupBy("for_block"))
         .applyInArrow(run, SCHEMAS[want])
     )
 
