@@ -51,6 +51,15 @@ def normalise(x: Column) -> Column:
     return against(x, total(x), lambda v, mass: v / mass)
 
 
+def once(x: Column) -> Column:
+    """``x`` as the row of a generator, computed once per row.
+
+    Filters are pushed below a projection by copying its expressions, also into
+    functions that read them element by element; not below a generator.
+    """
+    return F.explode(F.array(x))
+
+
 def vector_matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
     if isinstance(column, pa.ChunkedArray):

@@ -38,6 +38,8 @@ SCHEMAS = {
     "docs": schemas.DOC_GAMMA,
     "both": f"{schemas.DOC_GAMMA}, {schemas.STATS}",
 }
+# Blocks per shuffle partition, so that chance collisions of blocks even out.
+BLOCKS_PER_TASK = 4
 # Output batches stay below this size.
 OUTPUT_BYTES = 16 << 20
 
@@ -85,18 +87,18 @@ def _infer(
             batch.column(2).flatten().to_numpy(),
             words,
         )
-        for lo, hi in docs.tiles(spec.num_topics):
-            res = infer_tile(docs, lo, hi, words, spec)
+        for tile in docs.tiles(spec.num_topics):
+            res = infer_tile(tile, words, spec)
             if sums is not None:
-                rows, s = tile_statistics(docs, lo, hi, res)
+                rows, s = tile_statistics(tile, words, res)
                 sums[rows] += s
                 touched[rows] = True
             if want != "stats":
-                bound, tokens = tile_bounds(docs, lo, hi, words, res, spec.alpha)
+                bound, tokens = tile_bounds(tile, words, res, spec.alpha)
                 yield _columns(
                     schema,
-                    hi - lo,
-                    doc_id=docs.doc_ids[lo:hi],
+                    len(res.gamma),
+                    doc_id=tile.doc_ids,
                     gamma=matrix_vector(res.gamma),
                     bound=bound,
                     tokens=tokens,
@@ -185,7 +187,8 @@ def e_step(
         return _broadcast_e_step(corpus, rows, spec, want)
 
     limit = max(1, block_bytes // word_bytes)
-    blocks = max(1, math.ceil(pairs / limit))
+    tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(BLOCKS_PER_TASK * tasks, math.ceil(pairs / limit))
     narrow = corpus.where(size <= limit) if widest > limit else corpus
     result = _block_e_step(narrow, rows, blocks, spec, want)
     if widest > limit:

@@ -13,6 +13,8 @@ from themata.functions.special import dirichlet_expectation, lgamma
 TINY = 1e-100
 # Documents are updated together as long as their word rows stay in cache.
 TILE_VALUES = 1 << 18
+# Settled documents are let go once fewer than this share of a tile is unsettled.
+COMPACT = 0.75
 
 
 @dataclass(frozen=True)
@@ -77,74 +79,98 @@ class Documents:
         return cls(doc_ids[present], starts, rows[known], counts[known])
 
     def tiles(self, num_topics: int):
-        """Ranges of documents whose words fill about one tile."""
-        per_tile = max(1, TILE_VALUES // num_topics)
+        """Groups of documents of similar length whose word rows fill about one tile."""
+        size = np.diff(self.starts)
+        order = np.argsort(size, kind="stable")
+        ordered = size[order]
         lo = 0
-        while lo < len(self.doc_ids):
-            hi = int(np.searchsorted(self.starts, self.starts[lo] + per_tile, side="right")) - 1
-            hi = min(max(hi, lo + 1), len(self.doc_ids))
-            yield lo, hi
+        while lo < len(order):
+            # Padded to the longest, the last one, the group has n * length rows.
+            n = np.arange(1, len(order) - lo + 1)
+            fits = n * ordered[lo:] * num_topics <= TILE_VALUES
+            hi = lo + max(1, int(np.count_nonzero(fits)))
+            yield Tile.of(self, order[lo:hi])
             lo = hi
 
 
+@dataclass
+class Tile:
+    """Documents side by side; shorter ones are padded with words of count zero."""
+
+    doc_ids: np.ndarray
+    rows: np.ndarray
+    counts: np.ndarray
+    used: np.ndarray
+
+    @classmethod
+    def of(cls, docs: Documents, members: np.ndarray) -> Tile:
+        size = docs.starts[members + 1] - docs.starts[members]
+        place = np.arange(size.max())[None, :]
+        used = place < size[:, None]
+        at = np.where(used, docs.starts[members][:, None] + place, 0)
+        return cls(
+            docs.doc_ids[members], docs.rows[at], np.where(used, docs.counts[at], 0.0), used
+        )
+
+
 @dataclass
 class TileResult:
     gamma: np.ndarray
     theta: np.ndarray
-    ratio: list[np.ndarray]
-    beta: list[np.ndarray]
     steps: np.ndarray
 
 
-def infer_tile(docs: Documents, lo: int, hi: int, words: WordRows, spec: InferenceSpec):
-    """Update gamma of documents ``lo:hi`` until each has settled."""
-    cuts = [slice(docs.starts[d], docs.starts[d + 1]) for d in range(lo, hi)]
-    beta = [words.beta[docs.rows[c]] for c in cuts]
-    counts = [docs.counts[c] for c in cuts]
-    gamma = spec.start(docs.doc_ids[lo:hi])
+def word_norms(beta: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    return np.matmul(beta, theta[:, :, None])[:, :, 0] + TINY
+
+
+def infer_tile(tile: Tile, words: WordRows, spec: InferenceSpec) -> TileResult:
+    """Update gamma of the documents until each has settled."""
+    gamma = spec.start(tile.doc_ids)
     theta = np.exp(dirichlet_expectation(gamma))
-    ratio = [c / (b @ t + TINY) for c, b, t in zip(counts, beta, theta)]
-    steps = np.zeros(hi - lo, dtype=np.int32)
-    active = np.arange(hi - lo)
+    steps = np.zeros(len(gamma), dtype=np.int32)
+    # Documents still held, and which of them have not settled.
+    held, going = np.arange(len(gamma)), np.ones(len(gamma), dtype=bool)
+    beta, counts = words.beta[tile.rows], tile.counts
     for _ in range(spec.max_steps):
-        weight = np.stack([ratio[d] @ beta[d] for d in active])
-        new = theta[active] * weight + spec.alpha
+        ratio = counts / word_norms(beta, theta[held])
+        weight = np.matmul(ratio[:, None, :], beta)[:, 0, :]
+        at = held[going]
+        new = theta[at] * weight[going] + spec.alpha
         if not np.isfinite(new).all():
             raise FloatingPointError("gamma is not finite; check lambda, alpha and the counts")
-        moved = np.abs(new - gamma[active]).mean(axis=1)
-        gamma[active] = new
-        theta[active] = np.exp(dirichlet_expectation(new))
-        for d in active:
-            ratio[d] = counts[d] / (beta[d] @ theta[d] + TINY)
-        steps[active] += 1
-        active = active[moved >= spec.threshold]
-        if not active.size:
+        moved = np.abs(new - gamma[at]).mean(axis=1)
+        gamma[at] = new
+        theta[at] = np.exp(dirichlet_expectation(new))
+        steps[at] += 1
+        going[going] = moved >= spec.threshold
+        left = np.count_nonzero(going)
+        if not left:
             break
-    return TileResult(gamma, theta, ratio, beta, steps)
+        if left < COMPACT * len(held):
+            held, beta, counts = held[going], beta[going], counts[going]
+            going = np.ones(left, dtype=bool)
+    return TileResult(gamma, theta, steps)
 
 
-def tile_statistics(docs: Documents, lo: int, hi: int, res: TileResult):
+def tile_statistics(tile: Tile, words: WordRows, res: TileResult):
     """Sums of theta * (count / phi) * beta by word row: ``(rows, sums)``."""
-    parts = [r[:, None] * b * t for r, b, t in zip(res.ratio, res.beta, res.theta)]
-    flat = np.concatenate(parts)
-    rows = docs.rows[docs.starts[lo] : docs.starts[hi]]
+    beta = words.beta[tile.rows]
+    ratio = tile.counts / word_norms(beta, res.theta)
+    beta *= ratio[:, :, None] * res.theta[:, None, :]
+    rows, values = tile.rows[tile.used], beta[tile.used]
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[first], np.add.reduceat(flat[order], first, axis=0)
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
 
 
-def tile_bounds(docs: Documents, lo: int, hi: int, words: WordRows, res: TileResult, alpha):
+def tile_bounds(tile: Tile, words: WordRows, res: TileResult, alpha: np.ndarray):
     """The part of the variational bound that belongs to each document, and its tokens."""
     log_theta = dirichlet_expectation(res.gamma)
     bound = ((alpha - res.gamma) * log_theta + lgamma(res.gamma) - lgamma(alpha)).sum(axis=1)
     bound += lgamma(alpha.sum()) - lgamma(res.gamma.sum(axis=1))
-    tokens = np.empty(hi - lo)
-    for d in range(lo, hi):
-        cut = slice(docs.starts[d], docs.starts[d + 1])
-        x = words.log_beta[docs.rows[cut]] + log_theta[d - lo]
-        top = x.max(axis=1)
-        counts = docs.counts[cut]
-        bound[d - lo] += counts @ (top + np.log(np.exp(x - top[:, None]).sum(axis=1)))
-        tokens[d - lo] = counts.sum()
-    return bound, tokens
+    x = words.log_beta[tile.rows] + log_theta[:, None, :]
+    top = x.max(axis=2)
+    log_phi = top + np.log(np.exp(x - top[:, :, None]).sum(axis=2))
+    return bound + (tile.counts * log_phi).sum(axis=1), tile.counts.sum(axis=1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from themata import schemas
 from themata.functions.codecs import decode_bow, decode_distribution, encode_bow
+from themata.functions.vectors import once
 from themata.operators.ranking import dense_ids
 from themata.storage import materialise
 
@@ -97,17 +98,11 @@ def bags_of_words(documents: DataFrame) -> DataFrame:
             (e - F.when(j == 0, 0).otherwise(F.get("_e", j - 1))).cast("bigint").alias("cnt"),
         ),
     )
-    ordered = documents.select("doc_id", _once(F.sort_array(tokens(F.col("text")))).alias("_t"))
-    ends = ordered.where(n > 0).select("doc_id", "_t", _once(run_ends).alias("_e"))
+    ordered = documents.select("doc_id", once(F.sort_array(tokens(F.col("text")))).alias("_t"))
+    ends = ordered.where(n > 0).select("doc_id", "_t", once(run_ends).alias("_e"))
     return ends.select("doc_id", bag.alias("bag"))
 
 
-def _once(x: Column) -> Column:
-    """``x`` as the row of a generator: the optimizer does not copy it into the
-    functions that read it element by element, where it would be computed each time."""
-    return F.explode(F.array(x))
-
-
 def word_counts(bags: DataFrame) -> DataFrame:
     """One row per document and word: ``(doc_id, word, cnt)``."""
     return bags.select("doc_id", F.inline("bag"))
