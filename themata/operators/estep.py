@@ -39,7 +39,7 @@ SCHEMAS = {
     "both": f"{schemas.DOC_GAMMA}, {schemas.STATS}",
 }
 # Blocks per shuffle partition, so that chance collisions of blocks even out.
-BLOCKS_PER_TASK = 4
+BLOCKS_PER_TASK = 2
 # Output batches stay below this size.
 OUTPUT_BYTES = 16 << 20
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themata.functions.draws import poisson_thresholds, uniform_col
+from themata.functions.vectors import against
 
 
 def draw_minibatch(corpus: DataFrame, fraction: float, seed: int, iteration: int) -> DataFrame:
@@ -18,14 +17,14 @@ def draw_minibatch(corpus: DataFrame, fraction: float, seed: int, iteration: int
     with its counts times m; a filter suffices, nothing is shuffled.
     """
     u = uniform_col(seed, iteration, F.col("doc_id"))
-    drawn = corpus.withColumn("_u", u)
-    steps = [(F.col("_u") >= F.lit(t)).cast("int") for t in poisson_thresholds(fraction)]
-    draws = reduce(lambda a, b: a + b, steps)
+    steps = poisson_thresholds(fraction)
+    passed = against(F.array(*[F.lit(t) for t in steps]), u, lambda t, v: (v >= t).cast("int"))
     return (
-        drawn.withColumn("draws", draws)
-        .where("draws > 0")
-        .drop("_u")
-        .withColumn("word_cts", F.transform("word_cts", lambda c: c * F.col("draws")))
+        corpus.where(u >= F.lit(steps[0]))
+        .withColumn("draws", F.aggregate(passed, F.lit(0), lambda a, b: a + b))
+        .withColumn(
+            "word_cts", against(F.col("word_cts"), F.col("draws"), lambda c, m: c * m)
+        )
     )
 
 
