@@ -56,9 +56,9 @@ def gamma_draws(
     return out.reshape(len(rows), width)
 
 
-def uniform_col(seed: int, iteration: int, key: Column) -> Column:
+def uniform_col(seed: int, iteration: Column, key: Column) -> Column:
     """A uniform value in [0, 1) from an MD5 digest, the same in any SQL engine."""
-    text = F.concat(F.lit(f"{seed}:{iteration}:"), key.cast("string"))
+    text = F.concat(F.lit(f"{seed}:"), iteration.cast("string"), F.lit(":"), key.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 

@@ -2,33 +2,93 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themata.functions.draws import poisson_thresholds, uniform_col
 from themata.functions.vectors import against
+from themata.storage import new_folder
 
+# Documents of a batch that one file, and so one task, holds at least.
+DOCS_PER_TASK = 32
 
-def draw_minibatch(corpus: DataFrame, fraction: float, seed: int, iteration: int) -> DataFrame:
-    """Draw documents with replacement: a Poisson number ``draws`` of each one.
 
-    The number depends on the seed, the iteration and the document id alone, so a
-    recomputed task draws the same batch. A document drawn m times stays one row
-    with its counts times m; a filter suffices, nothing is shuffled.
+def draw_minibatches(
+    corpus: DataFrame, fraction: float, seed: int, first: int, last: int
+) -> DataFrame:
+    """The batches of iterations ``first .. last``, told apart by ``iteration``.
+
+    Each one draws documents with replacement: a Poisson number ``draws`` of every
+    document. The number depends on the seed, the iteration and the document id
+    alone, so a recomputed task draws the same batch. A document drawn m times
+    stays one row with its counts times m.
     """
-    u = uniform_col(seed, iteration, F.col("doc_id"))
     steps = poisson_thresholds(fraction)
-    passed = against(F.array(*[F.lit(t) for t in steps]), u, lambda t, v: (v >= t).cast("int"))
+    doc = F.col("doc_id")
+    # P(draws > 0) is small for most batches: only drawn rows go on.
+    drawn = F.filter(
+        F.sequence(F.lit(first), F.lit(last)),
+        lambda i: uniform_col(seed, i, doc) >= F.lit(steps[0]),
+    )
+    passed = against(
+        F.array(*[F.lit(t) for t in steps]),
+        uniform_col(seed, F.col("iteration"), doc),
+        lambda t, u: (u >= t).cast("int"),
+    )
     return (
-        corpus.where(u >= F.lit(steps[0]))
+        corpus.withColumn("iteration", F.explode(drawn))
         .withColumn("draws", F.aggregate(passed, F.lit(0), lambda a, b: a + b))
-        .withColumn(
-            "word_cts", against(F.col("word_cts"), F.col("draws"), lambda c, m: c * m)
-        )
+        .withColumn("word_cts", against(F.col("word_cts"), F.col("draws"), lambda c, m: c * m))
     )
 
 
+def draw_minibatch(corpus: DataFrame, fraction: float, seed: int, iteration: int) -> DataFrame:
+    """The batch of one iteration."""
+    batch = draw_minibatches(corpus, fraction, seed, iteration, iteration)
+    return batch.drop("iteration")
+
+
+class BatchWindow:
+    """The batches of several iterations, drawn in one scan of the corpus.
+
+    They are written to a table by iteration, so an iteration reads its own batch
+    and not the corpus. All batches of a window together are about as large as the
+    corpus at most.
+    """
+
+    def __init__(
+        self, corpus: DataFrame, fraction: float, seed: int, first: int, last: int, docs: int
+    ):
+        self.spark = corpus.sparkSession
+        self.path = new_folder(self.spark, "batches")
+        self.last = last
+        cores = self.spark.sparkContext.defaultParallelism
+        lanes = max(1, min(cores, math.ceil(docs * fraction / DOCS_PER_TASK)))
+        batches = draw_minibatches(
+            corpus.select("doc_id", "word_ids", "word_cts"), fraction, seed, first, last
+        )
+        self.schema = batches.schema
+        (
+            batches.withColumn("_lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
+            .repartition((last - first + 1) * lanes, "iteration", "_lane")
+            .drop("_lane")
+            .write.partitionBy("iteration")
+            .parquet(self.path)
+        )
+
+    @staticmethod
+    def size(fraction: float, most: int) -> int:
+        """Iterations of a window."""
+        return max(1, min(most, int(1.0 / fraction)))
+
+    def batch(self, iteration: int) -> DataFrame:
+        table = self.spark.read.schema(self.schema).parquet(self.path)
+        return table.where(F.col("iteration") == iteration).drop("iteration")
+
+
 def heldout_draw(corpus: DataFrame, n: int, seed: int) -> DataFrame:
     """The ``n`` documents that come first in a seeded random order of the ids."""
-    u = uniform_col(seed, 0, F.col("doc_id"))
+    u = uniform_col(seed, F.lit(0), F.col("doc_id"))
     return corpus.withColumn("_u", u).orderBy("_u", "doc_id").limit(n).drop("_u")

@@ -33,6 +33,8 @@ class TopicParams:
     seed: int = 0
     lambda_start: str = "ones"
     gamma_start: str = "gamma"
+    # Iterations whose batches are drawn in one scan of the corpus, at most.
+    batches_per_scan: int = 64
     # A topic-word table up to this size is broadcast; beyond it, it is shuffled.
     broadcast_bytes: int = 64 << 20
     # Topic-word rows that one task holds at a time when the table is shuffled.

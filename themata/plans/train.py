@@ -16,7 +16,7 @@ from themata.operators.bound import log_perplexity
 from themata.operators.estep import e_step
 from themata.operators.kernel import InferenceSpec
 from themata.operators.mstep import m_step
-from themata.operators.sampling import draw_minibatch
+from themata.operators.sampling import BatchWindow
 from themata.operators.topicword import lambda_sums, peak_median, start_lambda, word_range
 from themata.params import TopicParams
 from themata.sources.metrics import append_metrics
@@ -110,6 +110,13 @@ def update(
     return new, round(float(sums[-1]))
 
 
+def next_window(corpus: DataFrame, params: TopicParams, first: int) -> BatchWindow:
+    fraction = params.mini_batch_fraction
+    last = first + BatchWindow.size(fraction, params.batches_per_scan) - 1
+    last = min(last, params.max_outer_iter)
+    return BatchWindow(corpus, fraction, params.seed, first, last, params.total_docs)
+
+
 def train(
     corpus: DataFrame,
     params: TopicParams,
@@ -119,7 +126,7 @@ def train(
 ) -> TopicModel:
     """Train for ``max_outer_iter`` iterations in all, and save the model under ``root``.
 
-    ``corpus`` should be a stored table: every iteration scans it for its batch.
+    ``corpus`` should be a stored table: it is scanned once per window of batches.
     The topic-word table of each iteration is written to the shared folder, which
     ends its lineage; the version before the last is removed again.
     """
@@ -129,10 +136,15 @@ def train(
     work = new_folder(spark, "train")
     log: list[tuple[int, str, float]] = []
     used: str | None = None
+    window: BatchWindow | None = None
     while model.num_updates < params.max_outer_iter:
         began = time.monotonic()
         iteration = model.num_updates + 1
-        batch = draw_minibatch(corpus, params.mini_batch_fraction, params.seed, iteration)
+        if window is None or iteration > window.last:
+            if window:
+                drop_table(spark, window.path)
+            window = next_window(corpus, params, iteration)
+        batch = window.batch(iteration)
         batch_docs = batch.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0]
         if batch_docs:
             path = f"{work}/lambda-{iteration}"
@@ -158,6 +170,8 @@ def train(
         if root and len(log) >= METRIC_ROWS:
             append_metrics(spark, f"{root}/metrics", log)
             log = []
+    if window:
+        drop_table(spark, window.path)
     if root:
         append_metrics(spark, f"{root}/metrics", log)
         save_model(model, root)
