@@ -35,6 +35,22 @@ def run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def warm_up(corpus: DataFrame, num_words: int) -> None:
+    """Start the Python workers and compile the common plans."""
+    few = materialise(corpus.limit(64), "warm-up")
+    params = TopicParams(
+        eta=0.1,
+        mini_batch_fraction=0.5,
+        vocab_size=num_words,
+        num_topics=3,
+        total_docs=64,
+        max_outer_iter=2,
+    )
+    model = train(few, params, new_folder(corpus.sparkSession, "model"))
+    doc_topic = materialise(score_topics(few, model), "doc-topic")
+    run(word_distributions(doc_topic, model))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -72,6 +88,7 @@ def main() -> None:
     timed("decode_cells", lambda: run(C.corpus_from_cells(cells)))
 
     num_words, num_docs = vocab.count(), corpus.count()
+    warm_up(corpus, num_words)
     rates: dict[str, float] = {}
     for num_topics in TOPICS:
         tag = f"t{num_topics}"

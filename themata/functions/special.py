@@ -38,9 +38,9 @@ def digamma(x: np.ndarray) -> np.ndarray:
     r = 1.0 / y
     u = r * r
     out = np.log(y) - 0.5 * r - u * _series(u, DIGAMMA)
-    for i in range(SHIFT):
-        out -= 1.0 / (x + i)
-    return out
+    # 1/x + ... + 1/(x + 5), where 1/(x + i) + 1/(x + 5 - i) share a numerator.
+    pair = x * (x + 5)
+    return out - (2 * x + 5) * (1.0 / pair + 1.0 / (pair + 4) + 1.0 / (pair + 6))
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themata import schemas
+from themata.functions.special import digamma
 from themata.functions.vectors import matrix_vector, vector_matrix
 from themata.model import TopicModel
 from themata.operators.kernel import (
@@ -114,11 +115,14 @@ def _infer(
             )
 
 
-def _broadcast_e_step(corpus, rows: DataFrame, spec: InferenceSpec, want: str) -> DataFrame:
-    """``rows`` is within the broadcast limit: the caller has checked its size."""
-    table = rows.toArrow()
+def _broadcast_e_step(
+    corpus: DataFrame, lam: DataFrame, lambda_sum: np.ndarray, spec: InferenceSpec, want: str
+) -> DataFrame:
+    """``lam`` is within the broadcast limit: the caller has checked its size."""
+    table = lam.select("word_id", "lambda").toArrow()
+    rows = vector_matrix(table.column("lambda")).reshape(table.num_rows, len(lambda_sum))
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (table.column("word_id").to_numpy(), vector_matrix(table.column("log_beta")))
+        (table.column("word_id").to_numpy(), digamma(rows) - digamma(lambda_sum))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +175,8 @@ def e_step(
     statistics, partly summed by word, or ``both``.
     """
     corpus = corpus.select("doc_id", "word_ids", "word_cts")
-    rows = log_beta(model.lam, model.lambda_sum)
     if model.table_bytes <= broadcast_bytes:
-        return _broadcast_e_step(corpus, rows, spec, want)
+        return _broadcast_e_step(corpus, model.lam, model.lambda_sum, spec, want)
 
     size = F.size("word_ids")
     pairs, widest = corpus.agg(
@@ -181,11 +184,12 @@ def e_step(
     ).first()
     word_bytes = 8 * model.num_topics
     words = corpus.select(F.explode("word_ids").alias("word_id")).distinct()
-    rows = log_beta(rows_of_words(model.lam, words), model.lambda_sum)
+    found = rows_of_words(model.lam, words)
     # The corpus has at most as many distinct words as (document, word) pairs.
     if pairs * word_bytes <= broadcast_bytes:
-        return _broadcast_e_step(corpus, rows, spec, want)
+        return _broadcast_e_step(corpus, found, model.lambda_sum, spec, want)
 
+    rows = log_beta(found, model.lambda_sum)
     limit = max(1, block_bytes // word_bytes)
     tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(BLOCKS_PER_TASK * tasks, math.ceil(pairs / limit))

@@ -72,11 +72,17 @@ class BatchWindow:
         self.schema = batches.schema
         (
             batches.withColumn("_lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
-            .repartition((last - first + 1) * lanes, "iteration", "_lane")
+            .repartition("iteration", "_lane")
             .drop("_lane")
             .write.partitionBy("iteration")
             .parquet(self.path)
         )
+        sizes = self._table().groupBy("iteration").agg(F.sum("draws").alias("n")).collect()
+        # Drawn documents by iteration, one number each.
+        self.docs = {row["iteration"]: row["n"] for row in sizes}
+
+    def _table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     @staticmethod
     def size(fraction: float, most: int) -> int:
@@ -84,8 +90,7 @@ class BatchWindow:
         return max(1, min(most, int(1.0 / fraction)))
 
     def batch(self, iteration: int) -> DataFrame:
-        table = self.spark.read.schema(self.schema).parquet(self.path)
-        return table.where(F.col("iteration") == iteration).drop("iteration")
+        return self._table().where(F.col("iteration") == iteration).drop("iteration")
 
 
 def heldout_draw(corpus: DataFrame, n: int, seed: int) -> DataFrame:

@@ -145,7 +145,7 @@ def train(
                 drop_table(spark, window.path)
             window = next_window(corpus, params, iteration)
         batch = window.batch(iteration)
-        batch_docs = batch.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0]
+        batch_docs = window.docs.get(iteration, 0)
         if batch_docs:
             path = f"{work}/lambda-{iteration}"
             model, words = update(model, batch, batch_docs, params, path)

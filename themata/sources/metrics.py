@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from themata import schemas
@@ -9,8 +10,15 @@ from themata import schemas
 
 def append_metrics(spark: SparkSession, path: str, rows: list[tuple[int, str, float]]) -> None:
     if rows:
-        frame = spark.createDataFrame([(i, m, float(v)) for i, m, v in rows], schemas.METRICS)
-        frame.coalesce(1).write.mode("append").parquet(path)
+        iters, names, values = zip(*rows)
+        table = pa.table(
+            {
+                "iter": pa.array(iters, pa.int32()),
+                "metric": pa.array(names),
+                "value": pa.array(values, pa.float64()),
+            }
+        )
+        spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
