@@ -38,9 +38,10 @@ from themata.operators.topicword import (
 )
 from themata.params import TopicParams
 from themata.plans.score import score_topics
-from themata.plans.train import inference_spec, model_of, resume_training, train
+from themata.plans.train import inference_spec, model_of, new_model, resume_training, train
 from themata.session import ship_package
 from themata.sources import corpus as C
+from themata.sources.metrics import read_metrics
 from themata.sources.models import load_model, read_lambda, save_lambda, save_model
 from themata.storage import materialise, new_folder, spread
 
@@ -479,6 +480,24 @@ def train_alpha(spark, sf_dir):
     )
 
 
+def train_metrics(spark, sf_dir):
+    """Held-out perplexity, peak median and batch sizes of a run with random starts."""
+    x = inputs(spark, sf_dir)
+    root = new_folder(spark, "model")
+    usual = query_params(
+        x,
+        gamma_start="gamma",
+        max_inner_iter=100,
+        convergence_threshold=0.001,
+        perplexity_freq=1,
+        check_point_freq=1,
+        decay=8.0,
+    )
+    held = materialise(heldout_draw(x.corpus, S.HELDOUT_DOCS, S.SEED), "heldout")
+    train(x.corpus, usual, root, held, new_model(spark, usual))
+    return read_metrics(spark, f"{root}/metrics").where("metric <> 'seconds'")
+
+
 def model_roundtrip(spark, sf_dir):
     x = inputs(spark, sf_dir)
     root = new_folder(spark, "model")
@@ -604,6 +623,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_online": train_online,
     "train_resume": train_resume,
     "train_alpha": train_alpha,
+    "train_metrics": train_metrics,
     "model_roundtrip": model_roundtrip,
     "topic_normalize_sparsify": topic_normalize_sparsify,
     "doc_topic_cell": doc_topic_cell,

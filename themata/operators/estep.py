@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,12 @@ def _infer(
 
 
 def _broadcast_e_step(
-    corpus: DataFrame, lam: DataFrame, lambda_sum: np.ndarray, spec: InferenceSpec, want: str
+    corpus: DataFrame,
+    lam: DataFrame,
+    lambda_sum: np.ndarray,
+    spec: InferenceSpec,
+    want: str,
+    resources: ExitStack,
 ) -> DataFrame:
     """``lam`` is within the broadcast limit: the caller has checked its size."""
     table = lam.select("word_id", "lambda").toArrow()
@@ -124,6 +130,7 @@ def _broadcast_e_step(
     shared = corpus.sparkSession.sparkContext.broadcast(
         (table.column("word_id").to_numpy(), digamma(rows) - digamma(lambda_sum))
     )
+    resources.callback(shared.destroy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _infer(batches, WordRows(*shared.value), spec, want)
@@ -168,15 +175,19 @@ def e_step(
     want: str,
     broadcast_bytes: int = 64 << 20,
     block_bytes: int = 256 << 20,
+    resources: ExitStack | None = None,
 ) -> DataFrame:
     """Infer every document of ``corpus`` that has a modelled word.
 
     ``want`` is ``docs`` for one row per document, ``stats`` for sufficient
-    statistics, partly summed by word, or ``both``.
+    statistics, partly summed by word, or ``both``. Closing ``resources`` frees
+    what the result needs, so only after its last use; without it, it stays until
+    the session ends.
     """
+    resources = resources or ExitStack()
     corpus = corpus.select("doc_id", "word_ids", "word_cts")
     if model.table_bytes <= broadcast_bytes:
-        return _broadcast_e_step(corpus, model.lam, model.lambda_sum, spec, want)
+        return _broadcast_e_step(corpus, model.lam, model.lambda_sum, spec, want, resources)
 
     size = F.size("word_ids")
     pairs, widest = corpus.agg(
@@ -187,7 +198,7 @@ def e_step(
     found = rows_of_words(model.lam, words)
     # The corpus has at most as many distinct words as (document, word) pairs.
     if pairs * word_bytes <= broadcast_bytes:
-        return _broadcast_e_step(corpus, found, model.lambda_sum, spec, want)
+        return _broadcast_e_step(corpus, found, model.lambda_sum, spec, want, resources)
 
     rows = log_beta(found, model.lambda_sum)
     limit = max(1, block_bytes // word_bytes)
@@ -196,6 +207,6 @@ def e_step(
     narrow = corpus.where(size <= limit) if widest > limit else corpus
     result = _block_e_step(narrow, rows, blocks, spec, want)
     if widest > limit:
-        wide = wide_e_step(corpus.where(size > limit), rows, spec, broadcast_bytes)
+        wide = wide_e_step(corpus.where(size > limit), rows, spec, broadcast_bytes, resources)
         result = result.unionByName(wide.outputs(want))
     return result

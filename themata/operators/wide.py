@@ -7,6 +7,7 @@ weights to it, sums partial vectors by document and writes the new state.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,10 +157,15 @@ def _with_state(
 
 
 def wide_e_step(
-    corpus: DataFrame, log_beta_rows: DataFrame, spec: InferenceSpec, broadcast_bytes: int
+    corpus: DataFrame,
+    log_beta_rows: DataFrame,
+    spec: InferenceSpec,
+    broadcast_bytes: int,
+    resources: ExitStack,
 ) -> WideResult:
     spark = corpus.sparkSession
     folder = new_folder(spark, "wide")
+    resources.callback(drop_table, spark, folder)
     bow = corpus.select("doc_id", F.explode(F.arrays_zip("word_ids", "word_cts")).alias("p"))
     rows = write_table(
         bow.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from contextlib import ExitStack
 from dataclasses import replace
 
 import numpy as np
@@ -21,7 +22,7 @@ from themata.operators.topicword import lambda_sums, peak_median, start_lambda,
 from themata.params import TopicParams
 from themata.sources.metrics import append_metrics
 from themata.sources.models import load_model, read_lambda, save_lambda, save_model
-from themata.storage import drop_table, materialise, new_folder, write_table
+from themata.storage import drop_table, new_folder, write_table
 
 # Iterations whose metrics are appended as one file.
 METRIC_ROWS = 64
@@ -87,15 +88,18 @@ def update(
     rho = params.step_size(iteration)
     spec = inference_spec(model, params, iteration)
     want = "both" if params.optimize_doc_concentration else "stats"
-    result = e_step(batch, model, spec, want, **_sizes(params))
     alpha = model.alpha
-    if want == "both":
-        result = materialise(result, "estep")
-        alpha = update_alpha(alpha, result.where("doc_id IS NOT NULL"), rho)
-        result = result.where("word_id IS NOT NULL")
-    updated = write_table(
-        m_step(model.lam, result, rho, model.eta, model.total_docs, batch_docs), path
-    )
+    with ExitStack() as resources:
+        result = e_step(batch, model, spec, want, **_sizes(params), resources=resources)
+        if want == "both":
+            folder = new_folder(batch.sparkSession, "estep")
+            resources.callback(drop_table, batch.sparkSession, folder)
+            result = write_table(result, folder)
+            alpha = update_alpha(alpha, result.where("doc_id IS NOT NULL"), rho)
+            result = result.where("word_id IS NOT NULL")
+        updated = write_table(
+            m_step(model.lam, result, rho, model.eta, model.total_docs, batch_docs), path
+        )
     # One scan gives the topic sums and, as a last value, the touched words.
     sums = folded_vector(
         updated.select(F.concat("lambda", F.array("touched")).alias("v")), "v", "sum"
@@ -184,7 +188,10 @@ def train(
 def evaluate(heldout: DataFrame, model: TopicModel, params: TopicParams):
     """Held-out perplexity of the current model."""
     spec = inference_spec(model, params, model.num_updates)
-    return log_perplexity(heldout, model, spec, params.tf_ranking_min, **_sizes(params))
+    with ExitStack() as resources:
+        return log_perplexity(
+            heldout, model, spec, params.tf_ranking_min, **_sizes(params), resources=resources
+        )
 
 
 def resume_training(

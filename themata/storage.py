@@ -11,20 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_INPUT_BYTES = 1 << 30
 
 
+_local_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
-    It is ``spark.checkpoint.dir``. Only a local session may do without it, and
-    gets a temporary folder of its own.
+    Only a local session may do without it, and gets a temporary folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="themata-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if sc.applicationId not in _local_roots:
+        _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="themata-")
+    return _local_roots[sc.applicationId]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
