@@ -17,6 +17,7 @@ TEXTS = {
     3: "dog dog_dog 42 bird",
     4: "",
     5: "the " * 500 + "zebra",
+    6: None,
 }
 
 
@@ -28,7 +29,7 @@ def documents(spark):
 def plain_counts():
     out = {}
     for doc, text in TEXTS.items():
-        words = [w for w in re.split("[^a-z]+", text.lower()) if len(w) >= 3]
+        words = [w for w in re.split("[^a-z]+", (text or "").lower()) if len(w) >= 3]
         out |= {(doc, w): n for w, n in Counter(words).items()}
     return out
 

@@ -51,6 +51,9 @@ def documents():
         n = int(rng.integers(1, 80))
         ids = np.unique(np.r_[0, rng.choice(WORDS + 20, n, replace=False)])
         out.append((doc, [int(i) for i in ids], [float(c) for c in rng.integers(1, 6, len(ids))]))
+    # One document with every word, and a group of copies as large as all others.
+    out.append((2000, list(range(WORDS)), [3.0] * WORDS))
+    out += [(3000 + i, [0, 7, 11], [40.0, 1.0, 2.0]) for i in range(30)]
     out.append((1000, [WORDS + 1, WORDS + 5], [1.0, 2.0]))
     out.append((1001, [], []))
     return out

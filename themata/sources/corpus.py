@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themata import schemas
 from themata.functions.codecs import decode_bow, decode_distribution, encode_bow
-from themata.functions.vectors import once
 from themata.operators.ranking import dense_ids
 from themata.storage import materialise
 
 # A token is a run of at least this many ASCII letters.
 MIN_TOKEN = 3
+BAGS = "doc_id BIGINT, bag ARRAY<STRUCT<word: STRING, cnt: BIGINT>>"
 NOT_LETTERS = "[^a-z]+"
 # Vocabulary rows: bytes beside the word itself, and the longest word broadcast.
 ROW_BYTES = 48
@@ -82,25 +86,34 @@ def tokens(text: Column) -> Column:
 
 
 def bags_of_words(documents: DataFrame) -> DataFrame:
-    """``(doc_id, bag ARRAY<STRUCT<word, cnt>>)``, counted inside each row.
+    """``(doc_id, bag ARRAY<STRUCT<word, cnt>>)``, counted batch by batch.
 
-    The tokens of a row are sorted and counted run by run, so nothing is shuffled.
+    The tokens of a document are in one row, so they are counted where they are
+    and nothing is shuffled.
     """
-    n = F.size("_t")
-    run_ends = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: (i == n) | (F.get("_t", i) != F.get("_t", i - 1)),
-    )
-    bag = F.transform(
-        "_e",
-        lambda e, j: F.struct(
-            F.get("_t", e - 1).alias("word"),
-            (e - F.when(j == 0, 0).otherwise(F.get("_e", j - 1))).cast("bigint").alias("cnt"),
-        ),
-    )
-    ordered = documents.select("doc_id", once(F.sort_array(tokens(F.col("text")))).alias("_t"))
-    ends = ordered.where(n > 0).select("doc_id", "_t", once(run_ends).alias("_e"))
-    return ends.select("doc_id", bag.alias("bag"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1).flatten().dictionary_encode()
+            size = max(1, len(words.dictionary))
+            docs = np.repeat(
+                np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy())
+            )
+            keys, counts = np.unique(
+                docs * size + words.indices.to_numpy(), return_counts=True
+            )
+            bag = pa.StructArray.from_arrays(
+                [words.dictionary.take(pa.array(keys % size)), pa.array(counts, pa.int64())],
+                names=["word", "cnt"],
+            )
+            ends = np.searchsorted(keys // size, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), bag)],
+                names=["doc_id", "bag"],
+            )
+
+    split = documents.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return split.mapInArrow(count, BAGS)
 
 
 def word_counts(bags: DataFrame) -> DataFrame:
