@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from themata.llm.common import table
+from themata.llm.kneser_ney import train_and_score
 from themata.llm.packing import pack
+from themata.llm.probminhash import near_duplicate_classes
 from themata.llm.repair import read_documents, write_ids
 from themata.storage import new_folder
 
@@ -24,12 +26,22 @@ def op1_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder)
 
 
+def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_ids": op1_repair_ids,
+    "op4_probminhash": op4_probminhash,
+    "op7_kneser_ney": op7_kneser_ney,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
