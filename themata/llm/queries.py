@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from themata.llm.common import table
+from themata.llm.crf import identify
 from themata.llm.kneser_ney import train_and_score
+from themata.llm.merkle import edit_likeness
 from themata.llm.packing import pack
 from themata.llm.probminhash import near_duplicate_classes
 from themata.llm.repair import read_documents, write_ids
+from themata.llm.weak_rules import judge
 from themata.storage import new_folder
 
 
@@ -26,10 +29,18 @@ def op1_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder)
 
 
+def op3_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"))
 
@@ -38,11 +49,20 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op10_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(*columns, "base_failed", "kept", "quality")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_ids": op1_repair_ids,
+    "op3_merkle_tree": op3_merkle_tree,
     "op4_probminhash": op4_probminhash,
+    "op5_crf_language": op5_crf_language,
     "op7_kneser_ney": op7_kneser_ney,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_weak_rules": op10_weak_rules,
 }
 
 ORACLE: dict[str, Callable[[], str]] = {}
