@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from themata.llm import line_spread
 from themata.llm.common import table
 from themata.llm.crf import identify
 from themata.llm.kneser_ney import train_and_score
@@ -13,6 +14,8 @@ from themata.llm.merkle import edit_likeness
 from themata.llm.packing import pack
 from themata.llm.probminhash import near_duplicate_classes
 from themata.llm.repair import read_documents, write_ids
+from themata.llm.style_tree import extract
+from themata.llm.viterbi import round_trips
 from themata.llm.weak_rules import judge
 from themata.storage import new_folder
 
@@ -29,6 +32,10 @@ def op1_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder)
 
 
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -41,10 +48,19 @@ def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_spread.remove_widespread(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_removed")
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
@@ -57,12 +73,16 @@ def op10_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_ids": op1_repair_ids,
+    "op2_style_tree": op2_style_tree,
     "op3_merkle_tree": op3_merkle_tree,
     "op4_probminhash": op4_probminhash,
     "op5_crf_language": op5_crf_language,
+    "op6_line_spread": op6_line_spread,
     "op7_kneser_ney": op7_kneser_ney,
+    "op8_streaming_viterbi": op8_streaming_viterbi,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_weak_rules": op10_weak_rules,
 }
 
-ORACLE: dict[str, Callable[[], str]] = {}
+#: The other queries have no SQL form; tests hold them against plain versions.
+ORACLE: dict[str, Callable[[], str]] = {"op6_line_spread": line_spread.oracle}
