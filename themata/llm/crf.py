@@ -125,6 +125,10 @@ class Tagger:
 
     def word_marginals(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
         """Distributions over languages for the words of each text, a bounded number at once."""
+        if not self.languages:
+            # Nothing was learned: no word has a distribution.
+            yield from (np.empty((0, 0)) for _ in texts)
+            return
         first = 0
         while first < len(texts):
             last, held = first, 0
@@ -236,6 +240,23 @@ def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
     return sorted((r["lang"], list(r["words"])) for r in found if r["words"])
 
 
+def keep_identified(docs: DataFrame, tagger: Tagger, least: float) -> DataFrame:
+    """The rows of ``docs`` with a language of at least this score; letterless texts go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = [words_in(t or "") for t in column(batch, "text")]
+            kept = [len(m) > 0 and m.mean(0).max() >= least for m in tagger.word_marginals(texts)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learn(docs: DataFrame) -> Tagger:
+    """Fit a model to the labelled documents outside the test fold of ``docs``."""
+    return fit(sample(docs.where(crc_fold("doc_id", FOLDS) != TEST_FOLD).select("text", F.col("lang").cast("string"))))
+
+
 def predict(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """The language of each whole text of ``docs`` (doc_id, held_out, text).
 
@@ -246,7 +267,7 @@ def predict(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = [words_in(t) for t in column(batch, "text")] if tagger.languages else [[]] * batch.num_rows
+            texts = [words_in(t) for t in column(batch, "text")]
             langs, scores, switches = [], [], []
             for marginal in tagger.word_marginals(texts):
                 if not len(marginal):
@@ -277,6 +298,5 @@ def identify(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (crc_fold("doc_id", FOLDS) == TEST_FOLD).alias("held_out"),
         F.col("text"),
-        F.col("lang").cast("string").alias("lang"),
     )
-    return predict(rows, fit(sample(rows.where(~F.col("held_out")))))
+    return predict(rows, learn(docs))

@@ -278,3 +278,17 @@ def near_duplicate_classes(
         "doc_id",
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
     )
+
+
+def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
+    """The row of ``docs`` whose doc_id names its class, for each class; all columns stay.
+
+    Rows with one doc_id and text count as one row. Rows without a doc_id stay if no row of their
+    class has one.
+    """
+    classes = near_duplicate_classes(docs, **options)
+    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    repeated = chosen.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    keep = chosen.select(F.col("doc_id").alias("_keep"))
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
