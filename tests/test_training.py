@@ -79,7 +79,8 @@ def test_perplexity_falls_and_is_logged(spark, corpus, params, tmp_path):
     assert perplexity == sorted(perplexity, reverse=True)
     assert {i for m, i in values if m == "peak_median"} == {10, 20}
     assert all(("seconds", i) in values and ("batch_docs", i) in values for i in range(1, 21))
-    assert saved_versions(spark, root) == ["iter=00000010", "iter=00000020"]
+    versions = saved_versions(spark, root)
+    assert [v.split("/")[0] for v in versions] == ["iter=00000010", "iter=00000020"]
     assert model.num_updates == 20
     assert min(min(v) for v in table(model).values()) > 0
     same(model, load_model(spark, root), rel=0)
@@ -164,10 +165,47 @@ def test_incomplete_versions_are_ignored(spark, corpus, params, tmp_path):
     model = new_model(spark, params)
     save_model(model, root)
     # A save that stopped before its metadata.
-    save_lambda(model.lam, f"{root}/iter=00000009/lambda")
+    save_lambda(model.lam, f"{root}/iter=00000009/save-1/lambda")
     assert load_model(spark, root).num_updates == 0
 
 
+def test_a_finished_model_survives_resuming(spark, corpus, params, tmp_path):
+    root = str(tmp_path / "model")
+    two = replace(params, max_outer_iter=2, check_point_freq=1, perplexity=False)
+    model = train(corpus, two, root)
+    versions = saved_versions(spark, root)
+    assert len(versions) == 2
+    for _ in range(2):
+        same(model, resume_training(corpus, two, root), rel=0)
+    assert saved_versions(spark, root) == versions
+    same(model, load_model(spark, root), rel=0)
+
+
+def test_a_save_that_fails_leaves_the_version_before(spark, params, tmp_path, monkeypatch):
+    root = str(tmp_path / "model")
+    model = new_model(spark, params)
+    save_model(model, root)
+
+    def fail(_):
+        raise RuntimeError("stopped between table and metadata")
+
+    monkeypatch.setattr("themata.sources.models.meta_row", fail)
+    with pytest.raises(RuntimeError, match="between"):
+        save_model(model, root)
+    same(model, load_model(spark, root), rel=0)
+
+
+def test_a_table_with_missing_rows_is_not_loaded(spark, params, tmp_path):
+    root = str(tmp_path / "model")
+    old = save_model(new_model(spark, params), root)
+    new = save_model(replace(old, num_updates=1, source=None), root)
+    old.lam.limit(3).write.mode("overwrite").parquet(f"{new.source}/lambda")
+    assert load_model(spark, root).num_updates == 0
+    new.lam.limit(0).write.mode("overwrite").parquet(f"{old.source}/lambda")
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, root)
+
+
 def test_stored_table_is_reused(spark, params, tmp_path):
     path = str(tmp_path / "lambda")
     first = new_model(spark, replace(params, lambda_start="gamma"), path)

@@ -18,6 +18,8 @@ class TopicModel:
     total_docs: int
     num_words: int
     lambda_sum: np.ndarray
+    # The save that holds this model, if one does.
+    source: str | None = None
 
     @property
     def table_bytes(self) -> int:

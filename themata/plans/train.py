@@ -110,6 +110,7 @@ def update(
         alpha=alpha,
         num_updates=iteration,
         lambda_sum=sums[:-1],
+        source=None,
     )
     return new, round(float(sums[-1]))
 
@@ -157,7 +158,7 @@ def train(
                 drop_table(spark, used)
             used = path
         else:
-            model, words = replace(model, num_updates=iteration), 0
+            model, words = replace(model, num_updates=iteration, source=None), 0
         if (
             params.perplexity
             and heldout is not None
@@ -166,21 +167,22 @@ def train(
             value = evaluate(heldout, model, params).value
             log.append((iteration, "log_perplexity", value))
         if root and iteration % params.check_point_freq == 0:
-            save_model(model, root)
+            model = save_model(model, root)
             log.append((iteration, "peak_median", peak_median(model.lam).first()[0]))
         log.append((iteration, "batch_docs", batch_docs))
         log.append((iteration, "batch_words", words))
         log.append((iteration, "seconds", time.monotonic() - began))
-        if root and len(log) >= METRIC_ROWS:
+        # With each checkpoint, so that a job that dies loses no metrics of what it saved.
+        if root and (len(log) >= METRIC_ROWS or iteration % params.check_point_freq == 0):
             append_metrics(spark, f"{root}/metrics", log)
             log = []
     if window:
         drop_table(spark, window.path)
     if root:
         append_metrics(spark, f"{root}/metrics", log)
-        save_model(model, root)
+        model = save_model(model, root)
         if used:
-            model = load_model(spark, root)
+            model = replace(model, lam=read_lambda(spark, f"{model.source}/lambda"))
             drop_table(spark, used)
     return model
 
@@ -206,4 +208,6 @@ def resume_training(
         raise ValueError(f"the saved model has {model.num_topics} topics")
     if not np.isclose(model.eta, params.eta, rtol=0, atol=0):
         raise ValueError(f"the saved model has eta {model.eta}, not {params.eta}")
-    return train(corpus, params, root, heldout, replace(model, total_docs=params.total_docs))
+    if model.total_docs != params.total_docs:
+        model = replace(model, total_docs=params.total_docs, source=None)
+    return train(corpus, params, root, heldout, model)
