@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from themata import schemas
 from themata.functions.draws import gamma_draws
 from themata.functions.vectors import sum_by_key
+from themata.model import TopicModel
+from themata.operators import distributions, sampling
+from themata.operators.distributions import word_distributions
 from themata.operators.estep import e_step
 from themata.operators.kernel import InferenceSpec
 from themata.operators.topicword import start_lambda, word_range
@@ -203,3 +206,40 @@ def test_word_scores(spark, model, corpus):
             assert row["word_ids"] == ids
             assert row["probs"] == pytest.approx(probs, rel=1e-10)
             assert row["cell"].count(",") == 2 * (len(ids) - 1)
+
+
+def test_chunks_keep_documents_without_words(spark):
+    """Shares that do not sum to one, and a table none of whose words reaches 1/V."""
+    lam = spark.createDataFrame(
+        [(w, [1.0 + w % 3, 2.0]) for w in range(40)], "word_id BIGINT, lambda ARRAY<DOUBLE>"
+    )
+    model = TopicModel(
+        lam=lam,
+        alpha=np.array([0.5, 0.5]),
+        eta=0.1,
+        num_updates=0,
+        num_topics=2,
+        total_docs=3,
+        num_words=40,
+        lambda_sum=np.array([79.0, 80.0]),
+    )
+    for shares in ([0.3, 0.2], [0.5, 0.5], [1e-6, 1e-6]):
+        docs = spark.createDataFrame(
+            [(d, [0, 1], shares) for d in range(3)],
+            "doc_id BIGINT, topic_idx ARRAY<INT>, prob ARRAY<DOUBLE>",
+        )
+        whole = word_distributions(docs, model).orderBy("doc_id").collect()
+        for chunk_bytes in (1 << 20, 160):
+            parts = word_distributions(docs, model, broadcast_bytes=1, chunk_bytes=chunk_bytes)
+            assert [r["doc_id"] for r in parts.orderBy("doc_id").collect()] == [0, 1, 2]
+            for a, b in zip(whole, parts.orderBy("doc_id").collect()):
+                assert list(a["word_ids"]) == list(b["word_ids"])
+                assert a["probs"] == pytest.approx(b["probs"])
+
+
+def test_tasks_grow_with_documents():
+    assert distributions.lanes_of(10, 4, 200) == 50
+    assert distributions.lanes_of(10**9, 400, 200) > 10_000
+    assert sampling.lanes_of(5, 8) == 1
+    assert sampling.lanes_of(1000, 8) == 8
+    assert sampling.lanes_of(10**9, 8) > 10_000

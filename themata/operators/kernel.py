@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 
@@ -24,7 +26,8 @@ class InferenceSpec:
     alpha: np.ndarray
     lambda_sum: np.ndarray
     threshold: float
-    max_steps: int
+    # Steps after which a document is left as it is; None lets the stop rule end all.
+    max_steps: int | None
     seed: int = 0
     iteration: int = 0
     gamma_start: str = "gamma"
@@ -33,6 +36,10 @@ class InferenceSpec:
     def num_topics(self) -> int:
         return len(self.alpha)
 
+    def steps(self) -> Iterable[int]:
+        """The numbers of the steps, from 1."""
+        return count(1) if self.max_steps is None else range(1, self.max_steps + 1)
+
     def start(self, doc_ids: np.ndarray) -> np.ndarray:
         if self.gamma_start == "ones":
             return np.ones((len(doc_ids), self.num_topics))
@@ -132,7 +139,7 @@ def infer_tile(tile: Tile, words: WordRows, spec: InferenceSpec) -> TileResult:
     # Documents still held, and which of them have not settled.
     held, going = np.arange(len(gamma)), np.ones(len(gamma), dtype=bool)
     beta, counts = words.beta[tile.rows], tile.counts
-    for _ in range(spec.max_steps):
+    for _ in spec.steps():
         ratio = counts / word_norms(beta, theta[held])
         weight = np.matmul(ratio[:, None, :], beta)[:, 0, :]
         at = held[going]

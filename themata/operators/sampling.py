@@ -11,8 +11,15 @@ from themata.functions.draws import poisson_thresholds, uniform_col
 from themata.functions.vectors import against
 from themata.storage import new_folder
 
-# Documents of a batch that one file, and so one task, holds at least.
+# Documents of a batch that one file, and so one task, holds at least and at most, about.
 DOCS_PER_TASK = 32
+MOST_DOCS_PER_TASK = 1 << 15
+
+
+def lanes_of(docs: float, cores: int) -> int:
+    """Files of a batch of so many documents."""
+    few = min(cores, math.ceil(docs / DOCS_PER_TASK))
+    return max(1, few, math.ceil(docs / MOST_DOCS_PER_TASK))
 
 
 def draw_minibatches(
@@ -65,7 +72,7 @@ class BatchWindow:
         self.path = new_folder(self.spark, "batches")
         self.last = last
         cores = self.spark.sparkContext.defaultParallelism
-        lanes = max(1, min(cores, math.ceil(docs * fraction / DOCS_PER_TASK)))
+        lanes = lanes_of(docs * fraction, cores)
         batches = draw_minibatches(
             corpus.select("doc_id", "word_ids", "word_cts"), fraction, seed, first, last
         )

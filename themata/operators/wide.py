@@ -207,7 +207,7 @@ def wide_e_step(
         rows.select("doc_id").distinct().mapInArrow(begin, STATE), f"{folder}/state-0"
     )
     broadcast_state = state.count() * spec.num_topics * 8 <= broadcast_bytes
-    for step in range(1, spec.max_steps + 1):
+    for step in spec.steps():
         open_docs = state.where("active")
         weights = sum_by_key(
             _with_state(rows, open_docs, broadcast_state).mapInArrow(

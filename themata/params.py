@@ -18,7 +18,8 @@ class TopicParams:
     decay: float = 1024.0
     learning_rate: float = 0.7
     max_outer_iter: int = 100000
-    max_inner_iter: int = 100
+    # None: inference of a document ends by the threshold alone.
+    max_inner_iter: int | None = None
     convergence_threshold: float = 0.001
     num_topics: int = 3000
     total_docs: int = 2193062
@@ -47,7 +48,7 @@ class TopicParams:
             raise ValueError("eta must be above 0")
         if self.mini_batch_fraction <= 0:
             raise ValueError("mini_batch_fraction must be above 0")
-        if self.max_inner_iter < 1:
+        if self.max_inner_iter is not None and self.max_inner_iter < 1:
             raise ValueError("max_inner_iter must be at least 1")
         if self.tf_ranking_min < 0 or self.tf_ranking_min >= self.vocab_size:
             raise ValueError("tf_ranking_min must lie in [0, vocab_size)")
