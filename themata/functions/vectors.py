@@ -102,7 +102,10 @@ def sum_runs(
 
 
 def sum_by_key(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Sum of a vector column by a BIGINT key: one shuffle, one sort, one pass."""
+    """Sum of a vector column by a BIGINT key.
+
+    Each task sums its own rows first, so at most one row per key and task is shuffled.
+    """
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = ((b.column(0).to_numpy(), vector_matrix(b.column(1))) for b in batches)
@@ -111,8 +114,12 @@ def sum_by_key(df: DataFrame, key: str, vector: str) -> DataFrame:
                 [pa.array(keys, pa.int64()), matrix_vector(sums)], names=[key, vector]
             )
 
-    ordered = df.select(key, vector).repartition(key).sortWithinPartitions(key)
-    return ordered.mapInArrow(reduce, f"{key} BIGINT, {vector} ARRAY<DOUBLE>")
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.sortWithinPartitions(key).mapInArrow(
+            reduce, f"{key} BIGINT, {vector} ARRAY<DOUBLE>"
+        )
+
+    return summed(summed(df.select(key, vector)).repartition(key))
 
 
 def column_fold(df: DataFrame, vector: str, how: str) -> DataFrame:
