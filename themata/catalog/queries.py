@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themata.catalog import settings as S
-from themata.functions.codecs import decode_bow
+from themata.functions.codecs import decode_bow, decode_distribution
 from themata.functions.special import dirichlet_expectation_col
 from themata.functions.vectors import (
     column_fold,
@@ -37,7 +37,7 @@ from themata.operators.topicword import (
     word_range,
 )
 from themata.params import TopicParams
-from themata.plans.score import score_topics
+from themata.plans.score import score_topics, score_words
 from themata.plans.train import inference_spec, model_of, new_model, resume_training, train
 from themata.session import ship_package
 from themata.sources import corpus as C
@@ -177,14 +177,16 @@ def bow_noid(spark, sf_dir):
 
 
 def damaged_cells(cells: DataFrame) -> DataFrame:
-    """Each cell with one of five kinds of damage; the last two are harmless."""
-    kind = F.col("doc_id") % 5
+    """Each cell with one of seven kinds of damage; the last two are harmless."""
+    kind = F.col("doc_id") % 7
     return cells.withColumn(
         "doc",
         F.when(kind == 0, F.replace("doc", F.lit(","), F.lit("")))
         .when(kind == 1, F.concat(F.lit("x"), "doc"))
         .when(kind == 2, F.concat(F.split("doc", ",")[0], F.lit(",")))
-        .when(kind == 3, F.concat("doc", F.lit(":::")))
+        .when(kind == 3, F.replace("doc", F.lit(","), F.lit(",NaN:")))
+        .when(kind == 4, F.replace("doc", F.lit(","), F.lit(",-4:")))
+        .when(kind == 5, F.concat("doc", F.lit(":::")))
         .otherwise(F.concat("doc", F.lit(":9.5"))),
     )
 
@@ -379,7 +381,7 @@ def logsumexp(spark, sf_dir):
 def learning_rate(spark, sf_dir):
     """The step size of every batch of documents, taken as one iteration each."""
     batches = doc_batches(spark, sf_dir).groupBy("batch").agg(F.count("*").alias("documents"))
-    step = F.pow(F.lit(S.DECAY) + F.col("batch") + 1, F.lit(-S.LEARNING_RATE))
+    step = query_params(inputs(spark, sf_dir)).step_size(F.col("batch") + 1)
     return batches.select("batch", "documents", F.round(step, 9).alias("rho"))
 
 
@@ -469,6 +471,17 @@ def train_resume(spark, sf_dir):
     return model.lam.select("word_id", *topics("lambda", "l", 4))
 
 
+def train_resume_finished(spark, sf_dir):
+    """A finished model that is resumed twice and loaded."""
+    x = inputs(spark, sf_dir)
+    root = new_folder(spark, "model")
+    every = query_params(x, perplexity=False)
+    train(x.corpus, every, root, model=x.model)
+    for _ in range(2):
+        resume_training(x.corpus, every, root)
+    return load_model(spark, root).lam.select("word_id", *topics("lambda", "l", 4))
+
+
 def train_alpha(spark, sf_dir):
     """The prior after training with the prior update switched on."""
     x = inputs(spark, sf_dir)
@@ -546,6 +559,13 @@ def doc_topic_scores(spark, sf_dir):
     )
 
 
+def doc_topic_public(spark, sf_dir):
+    """The public scoring call from equal starts, with its cells read back."""
+    x = inputs(spark, sf_dir)
+    scored = score_topics(x.corpus, x.model, 0.0, S.INNER_STEPS, gamma_start="ones")
+    return _topic_rows(C.topic_distributions(scored.select("doc_id", "cell")))
+
+
 def _word_digest(doc_word: DataFrame) -> DataFrame:
     """Counts and a weighted sum per document, from all of its words."""
     place = F.transform("word_ids", lambda w: (w % 1000).cast("double"))
@@ -565,6 +585,14 @@ def doc_word_dist(spark, sf_dir):
     return _word_digest(word_distributions(_doc_topic(x), x.model))
 
 
+def doc_word_cell(spark, sf_dir):
+    """The public call for document-word distributions, with its cells read back."""
+    x = inputs(spark, sf_dir)
+    cells = score_words(_doc_topic(x), x.model).select("doc_id", "cell")
+    read = decode_distribution(cells, id_type="bigint", ids="word_ids")
+    return _word_digest(read.select("doc_id", "word_ids", F.col("prob").alias("probs")))
+
+
 def doc_word_chunks(spark, sf_dir):
     """The same with the topic-word table in chunks spread over the tasks."""
     x = inputs(spark, sf_dir)
@@ -622,6 +650,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "perplexity": perplexity,
     "train_online": train_online,
     "train_resume": train_resume,
+    "train_resume_finished": train_resume_finished,
     "train_alpha": train_alpha,
     "train_metrics": train_metrics,
     "model_roundtrip": model_roundtrip,
@@ -630,4 +659,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_topic_scores": doc_topic_scores,
     "doc_word_dist": doc_word_dist,
     "doc_word_chunks": doc_word_chunks,
+    "doc_topic_public": doc_topic_public,
+    "doc_word_cell": doc_word_cell,
 }

@@ -276,8 +276,9 @@ _DIGEST = (
     "FROM word_probs GROUP BY doc_id"
 )
 _DAMAGE = (
-    "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN replace(doc, ',', '') WHEN 1 THEN 'x' || doc "
-    "WHEN 2 THEN split_part(doc, ',', 1) || ',' WHEN 3 THEN doc || ':::' "
+    "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN replace(doc, ',', '') WHEN 1 THEN 'x' || doc "
+    "WHEN 2 THEN split_part(doc, ',', 1) || ',' WHEN 3 THEN replace(doc, ',', ',NaN:') "
+    "WHEN 4 THEN replace(doc, ',', ',-4:') WHEN 5 THEN doc || ':::' "
     "ELSE doc || ':9.5' END AS doc FROM cells"
 )
 _PIECES = (
@@ -336,7 +337,8 @@ ORACLE: dict[str, Callable[[], str]] = {
         "CASE WHEN NOT corrupt THEN list_sum(cts[1:k]) END AS tokens FROM (SELECT *, "
         "least(len(ids), len(cts)) AS k, n < 2 OR list_contains(list_transform(ids, "
         "lambda x: x IS NULL), true) OR list_contains(list_transform(cts, lambda x: x IS NULL), "
-        f"true) AS corrupt FROM ({_PIECES}))",
+        "true) OR list_min(ids[1:k]) < 0 OR len(list_filter(cts[1:k], "
+        f"lambda x: NOT isfinite(x) OR x < 0)) > 0 AS corrupt FROM ({_PIECES}))",
     ),
     "doc_batches": lambda: statement(["bow"], _BATCHES),
     "doc_topic_batches": lambda: statement(["full_docs"], f"SELECT {_DOC_COLUMNS} FROM full_docs"),
@@ -451,6 +453,7 @@ ORACLE: dict[str, Callable[[], str]] = {
     ),
     "train_online": lambda: statement(["lam2"], _TRAINED),
     "train_resume": lambda: statement(["lam2"], _TRAINED),
+    "train_resume_finished": lambda: statement(["lam2"], _TRAINED),
     "train_alpha": lambda: statement(
         ["it1_docs"],
         _alpha_step("it1_docs", number((S.DECAY + 1) ** (-S.LEARNING_RATE))),
@@ -464,4 +467,6 @@ ORACLE: dict[str, Callable[[], str]] = {
     "doc_topic_cell": lambda: statement(["topic_rows"], _TOPICS),
     "doc_word_dist": lambda: statement(["word_probs"], _DIGEST),
     "doc_word_chunks": lambda: statement(["word_probs"], _DIGEST),
+    "doc_topic_public": lambda: statement(["topic_rows"], _TOPICS),
+    "doc_word_cell": lambda: statement(["word_probs"], _DIGEST),
 }
