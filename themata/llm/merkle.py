@@ -169,9 +169,13 @@ def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     spark = docs.sparkSession
     # Null ids come first; order by a value that stands for them.
     keyed = docs.withColumn("at", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double"))
-    cuts = keyed.approxQuantile("at", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="at", outputCol="part").transform(keyed)
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = keyed.approxQuantile("at", shares, 1 / (4 * ranges)) if shares else []
+    if cuts:
+        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+        dealt = Bucketizer(splits=splits, inputCol="at", outputCol="part").transform(keyed)
+    else:
+        dealt = keyed.withColumn("part", F.lit(0.0))
     # One row per range: bounded by the number of ranges.
     heads = sorted((r["part"], r["head"]) for r in dealt.groupBy("part").agg(F.min("at").alias("head")).collect())
     behind = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]

@@ -197,12 +197,13 @@ def text_blocks(node: Element, skip: set[int]) -> list[str]:
             line.append(at)
         elif at.tag == "br":
             line.append(" ")
-        elif id(at) not in skip:
-            block = at.tag not in INLINE_TAGS
-            if block:
+        else:
+            # A branch that is skipped still parts what stands before and behind it.
+            if at.tag not in INLINE_TAGS:
                 flush()
                 stack.append(None)
-            stack.extend(reversed(at.children))
+            if id(at) not in skip:
+                stack.extend(reversed(at.children))
     flush()
     return blocks
 
