@@ -103,14 +103,15 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
             C.collect_documents(C.encode_words(C.word_counts(bags), vocab)), "corpus"
         )
         num_words, num_docs = vocab.count(), corpus.count()
-        words = word_range(spark, 0, num_words, 8)
         start = F.transform(
             F.sequence(F.lit(0), F.lit(S.TOPICS - 1)),
             lambda k: 1
-            + F.pmod(S.WORD_FACTOR * F.col("word_id") + S.TOPIC_FACTOR * k, F.lit(S.MODULUS))
+            + F.pmod(
+                S.WORD_FACTOR * F.col("word_id") + S.TOPIC_FACTOR * k + F.col("tf"), F.lit(S.MODULUS)
+            )
             / F.lit(float(S.SCALE)),
         )
-        lam = materialise(words.select("word_id", start.alias("lambda")), "lambda")
+        lam = materialise(vocab.select("word_id", start.alias("lambda")), "lambda")
         model = model_of(lam, params(num_words, num_docs))
         _inputs[key] = Inputs(docs, bags, vocab, corpus, model, num_docs)
     return _inputs[key]

@@ -58,7 +58,7 @@ def draws(iteration: int) -> str:
 
 
 START = (
-    f"1e0 + (({S.WORD_FACTOR} * word_id + {S.TOPIC_FACTOR} * #) % {S.MODULUS}) "
+    f"1e0 + (({S.WORD_FACTOR} * word_id + {S.TOPIC_FACTOR} * # + tf) % {S.MODULUS}) "
     f"/ {number(S.SCALE)} AS l#"
 )
 

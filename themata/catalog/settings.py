@@ -16,6 +16,6 @@ BATCH_SIZE = 50
 TRAIN_ITERATIONS = 2
 ALPHA_WEIGHT = 0.5
 
-# Start table of the queries: lambda = 1 + ((31 word + 17 topic) mod 97) / 128.
-# The values are dyadic, so their sums are exact in any order.
+# Start table of the queries: lambda = 1 + ((31 word + 17 topic + frequency) mod 97) / 128, with the
+# frequency of the word in the documents. The values are dyadic, so their sums are exact in any order.
 WORD_FACTOR, TOPIC_FACTOR, MODULUS, SCALE = 31, 17, 97, 128
