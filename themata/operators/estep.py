@@ -32,7 +32,7 @@ from themata.operators.kernel import (
     tile_bounds,
     tile_statistics,
 )
-from themata.operators.topicword import log_beta, rows_of_words
+from themata.operators.topicword import log_beta, rows_of_words, split_join
 from themata.operators.wide import wide_e_step
 
 SCHEMAS = {
@@ -139,17 +139,25 @@ def _broadcast_e_step(
 
 
 def _block_e_step(
-    corpus: DataFrame, rows: DataFrame, blocks: int, spec: InferenceSpec, want: str
+    corpus: DataFrame,
+    model: TopicModel,
+    blocks: int,
+    spec: InferenceSpec,
+    want: str,
+    broadcast_bytes: int,
 ) -> DataFrame:
     placed = corpus.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     # Distinct words of a block: a frequent word counts once per block, not once
-    # per document, so no word dominates the join.
+    # per document. As it still occurs in most blocks, its row is broadcast.
     words = placed.repartition("block").select("block", F.explode("word_ids").alias("word_id"))
-    needed = (
-        words.distinct()
-        .join(rows, "word_id")
-        .select(F.col("block").alias("for_block"), "word_id", "log_beta")
-    )
+    # The join leaves out the table's other words.
+    needed = split_join(
+        words.distinct(),
+        model.lam,
+        spec.num_topics,
+        broadcast_bytes,
+        lambda lam: log_beta(lam, model.lambda_sum),
+    ).select(F.col("block").alias("for_block"), "word_id", "log_beta")
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         schema = ARROW_SCHEMAS[want]
@@ -194,19 +202,18 @@ def e_step(
         F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))
     ).first()
     word_bytes = 8 * model.num_topics
-    words = corpus.select(F.explode("word_ids").alias("word_id")).distinct()
-    found = rows_of_words(model.lam, words)
     # The corpus has at most as many distinct words as (document, word) pairs.
     if pairs * word_bytes <= broadcast_bytes:
+        words = corpus.select(F.explode("word_ids").alias("word_id")).distinct()
+        found = rows_of_words(model.lam, words)
         return _broadcast_e_step(corpus, found, model.lambda_sum, spec, want, resources)
 
-    rows = log_beta(found, model.lambda_sum)
     limit = max(1, block_bytes // word_bytes)
     tasks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(BLOCKS_PER_TASK * tasks, math.ceil(pairs / limit))
     narrow = corpus.where(size <= limit) if widest > limit else corpus
-    result = _block_e_step(narrow, rows, blocks, spec, want)
+    result = _block_e_step(narrow, model, blocks, spec, want, broadcast_bytes)
     if widest > limit:
-        wide = wide_e_step(corpus.where(size > limit), rows, spec, broadcast_bytes, resources)
+        wide = wide_e_step(corpus.where(size > limit), model, spec, broadcast_bytes, resources)
         result = result.unionByName(wide.outputs(want))
     return result

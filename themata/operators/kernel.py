@@ -145,7 +145,10 @@ def infer_tile(tile: Tile, words: WordRows, spec: InferenceSpec) -> TileResult:
         at = held[going]
         new = theta[at] * weight[going] + spec.alpha
         if not np.isfinite(new).all():
-            raise FloatingPointError("gamma is not finite; check lambda, alpha and the counts")
+            bad = tile.doc_ids[at[~np.isfinite(new).all(axis=1)]][0]
+            raise FloatingPointError(
+                f"gamma is not finite in document {bad}; check lambda, alpha and its counts"
+            )
         moved = np.abs(new - gamma[at]).mean(axis=1)
         gamma[at] = new
         theta[at] = np.exp(dirichlet_expectation(new))

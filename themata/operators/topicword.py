@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,19 +58,31 @@ def rows_of_words(lam: DataFrame, words: DataFrame) -> DataFrame:
     return lam.join(words.select("word_id"), "word_id", "left_semi")
 
 
-def join_lambda(bow: DataFrame, lam: DataFrame, num_topics: int, broadcast_bytes: int) -> DataFrame:
-    """``(doc_id, word_id, cnt, lambda)`` for the modelled words of a long corpus.
+def split_join(
+    wanted: DataFrame,
+    lam: DataFrame,
+    num_topics: int,
+    broadcast_bytes: int,
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """Join the table's rows, after ``prepare``, to ``wanted`` by ``word_id``.
 
     Ids are frequency ranks, so the rows of the frequent words are the first ones.
     As many of them as fit ``broadcast_bytes`` are joined by broadcast; only the
     rare words are shuffled, and none of them can dominate a partition.
     """
     head = broadcast_bytes // (8 * num_topics)
-    frequent = bow.where(F.col("word_id") < head).join(
-        F.broadcast(lam.where(F.col("word_id") < head)), "word_id"
-    )
-    rare = bow.where(F.col("word_id") >= head).join(lam.where(F.col("word_id") >= head), "word_id")
-    return frequent.unionByName(rare).select("doc_id", "word_id", "cnt", "lambda")
+    if not head:
+        return wanted.join(prepare(lam), "word_id")
+    few, many = F.col("word_id") < head, F.col("word_id") >= head
+    frequent = wanted.where(few).join(F.broadcast(prepare(lam.where(few))), "word_id")
+    return frequent.unionByName(wanted.where(many).join(prepare(lam.where(many)), "word_id"))
+
+
+def join_lambda(bow: DataFrame, lam: DataFrame, num_topics: int, broadcast_bytes: int) -> DataFrame:
+    """``(doc_id, word_id, cnt, lambda)`` for the modelled words of a long corpus."""
+    joined = split_join(bow, lam, num_topics, broadcast_bytes)
+    return joined.select("doc_id", "word_id", "cnt", "lambda")
 
 
 def log_beta(lam: DataFrame, lambda_sum: np.ndarray) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from themata.functions.special import dirichlet_expectation, lgamma
 from themata.functions.vectors import matrix_vector, sum_by_key, vector_matrix
+from themata.model import TopicModel
 from themata.operators.kernel import TINY, InferenceSpec
+from themata.operators.topicword import log_beta, split_join
 from themata.storage import drop_table, new_folder, write_table
 
 STATE = "doc_id BIGINT, gamma ARRAY<DOUBLE>, theta ARRAY<DOUBLE>, steps INT, active BOOLEAN"
@@ -158,7 +160,7 @@ def _with_state(
 
 def wide_e_step(
     corpus: DataFrame,
-    log_beta_rows: DataFrame,
+    model: TopicModel,
     spec: InferenceSpec,
     broadcast_bytes: int,
     resources: ExitStack,
@@ -167,12 +169,17 @@ def wide_e_step(
     folder = new_folder(spark, "wide")
     resources.callback(drop_table, spark, folder)
     bow = corpus.select("doc_id", F.explode(F.arrays_zip("word_ids", "word_cts")).alias("p"))
+    counts = bow.select(
+        "doc_id", F.col("p.word_ids").alias("word_id"), F.col("p.word_cts").alias("cnt")
+    )
     rows = write_table(
-        bow.select(
-            "doc_id", F.col("p.word_ids").alias("word_id"), F.col("p.word_cts").alias("cnt")
-        )
-        .join(log_beta_rows, "word_id")
-        .select("doc_id", "word_id", "cnt", "log_beta"),
+        split_join(
+            counts,
+            model.lam,
+            spec.num_topics,
+            broadcast_bytes,
+            lambda lam: log_beta(lam, model.lambda_sum),
+        ).select("doc_id", "word_id", "cnt", "log_beta"),
         f"{folder}/rows",
     )
 

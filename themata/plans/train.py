@@ -139,16 +139,44 @@ def train(
     if model is None:
         model = new_model(spark, params)
     work = new_folder(spark, "train")
+    with ExitStack() as resources:
+        # Whatever ends the loop, its last window goes.
+        windows: list[BatchWindow] = []
+        resources.callback(lambda: [drop_table(spark, w.path) for w in windows])
+        model, used, log = _iterate(corpus, params, root, heldout, model, work, windows)
+    if root:
+        append_metrics(spark, f"{root}/metrics", log)
+        model = save_model(model, root)
+        if used:
+            model = replace(model, lam=read_lambda(spark, f"{model.source}/lambda"))
+            drop_table(spark, used)
+    return model
+
+
+def _iterate(
+    corpus: DataFrame,
+    params: TopicParams,
+    root: str | None,
+    heldout: DataFrame | None,
+    model: TopicModel,
+    work: str,
+    windows: list[BatchWindow],
+) -> tuple[TopicModel, str | None, list[tuple[int, str, float]]]:
+    """The iterations of ``train``: the model, the folder of its table, and metrics not yet written.
+
+    ``windows`` holds the window of batches in use, if any.
+    """
+    spark = corpus.sparkSession
     log: list[tuple[int, str, float]] = []
     used: str | None = None
-    window: BatchWindow | None = None
     while model.num_updates < params.max_outer_iter:
         began = time.monotonic()
         iteration = model.num_updates + 1
-        if window is None or iteration > window.last:
-            if window:
-                drop_table(spark, window.path)
-            window = next_window(corpus, params, iteration)
+        if not windows or iteration > windows[0].last:
+            if windows:
+                drop_table(spark, windows.pop().path)
+            windows.append(next_window(corpus, params, iteration))
+        window = windows[0]
         batch = window.batch(iteration)
         batch_docs = window.docs.get(iteration, 0)
         if batch_docs:
@@ -176,15 +204,7 @@ def train(
         if root and (len(log) >= METRIC_ROWS or iteration % params.check_point_freq == 0):
             append_metrics(spark, f"{root}/metrics", log)
             log = []
-    if window:
-        drop_table(spark, window.path)
-    if root:
-        append_metrics(spark, f"{root}/metrics", log)
-        model = save_model(model, root)
-        if used:
-            model = replace(model, lam=read_lambda(spark, f"{model.source}/lambda"))
-            drop_table(spark, used)
-    return model
+    return model, used, log
 
 
 def evaluate(heldout: DataFrame, model: TopicModel, params: TopicParams):
