@@ -46,33 +46,40 @@ def _replace_round(
     nothing = (seq, last, np.empty((0, 2), np.uint32))
     if seq.size < 2:
         return nothing
-    key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
-    free = ~last[:-1]
-    ordered = np.sort(key[free])
-    if not ordered.size:
+    # Pairs that lie within a document, sorted; equal ones form a run.
+    inner = np.flatnonzero(~last[:-1])
+    key = (seq[inner].astype(np.uint64) << np.uint64(32)) | seq[inner + 1].astype(np.uint64)
+    if not key.size:
         return nothing
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(np.append(starts, ordered.size))
+    place, symbol = int(key.size).bit_length(), int(seq.max()).bit_length()
+    if 2 * symbol + place <= 64:
+        # Pair and place in one number: sorting it is faster than sorting places.
+        pair = (seq[inner].astype(np.uint64) << np.uint64(symbol)) | seq[inner + 1].astype(np.uint64)
+        both = np.sort((pair << np.uint64(place)) | np.arange(key.size, dtype=np.uint64))
+        order = (both & np.uint64((1 << place) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    counts = np.diff(np.append(starts, key.size))
     often = counts >= min_count
     if not often.any():
         return nothing
-    pairs, counts = ordered[starts[often]], counts[often]
-    at = np.searchsorted(pairs, key)
-    at[at == pairs.size] = 0
-    hit = np.flatnonzero(free & (pairs[at] == key))
+    pairs = key[starts[often]]
     # Rank 0 is the most frequent pair; ties go by the pair's value.
+    by_rank = np.argsort(-counts[often], kind="stable")
     rank = np.empty(pairs.size, np.int64)
-    rank[np.lexsort((pairs, -counts))] = np.arange(pairs.size)
+    rank[by_rank] = np.arange(pairs.size)
     of = np.full(seq.size + 1, pairs.size, np.int64)
-    of[hit + 1] = rank[at[hit]]
+    of[inner[order[np.repeat(often, counts)]] + 1] = np.repeat(rank, counts[often])
+    hit = np.flatnonzero(of < pairs.size) - 1
     here, before, after = of[hit + 1], of[hit], of[np.minimum(hit + 2, seq.size)]
     # Runs of one symbol: every second pair counted from the run's beginning.
     same = before == here
     first = np.flatnonzero(~same)
     run = np.arange(hit.size) - np.repeat(first, np.diff(np.append(first, hit.size)))
-    inner = same | ((after == here) & (hit + 2 <= seq.size))
-    # The pair before a run's first one decides whether that one is taken.
-    keep = np.where(inner & same, (run % 2 == 0), here < before) & (here <= after)
+    # The pair before a run decides whether the run's first pair is taken.
+    keep = np.where(same, run % 2 == 0, here < before) & (here <= after)
     taken = hit[keep]
     # Neighbours that still overlap: the left one stays.
     while taken.size > 1:
@@ -81,16 +88,14 @@ def _replace_round(
             break
         clash[1:] &= ~clash[:-1]
         taken = taken[~clash]
-    used, code, n = np.unique(of[taken + 1], return_inverse=True, return_counts=True)
-    real = n >= 2
+    code = of[taken + 1]
+    real = np.bincount(code, minlength=pairs.size) >= 2
     if not real.any():
         return nothing
-    taken = taken[real[code]]
-    new = np.cumsum(real) - 1
-    order = np.argsort(rank)
-    rules = pairs[order[used[real]]]
+    taken, code = taken[real[code]], code[real[code]]
+    rules = pairs[by_rank[real]]
     rules = np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-    symbols = (next_id + new[code[real[code]]]).astype(np.uint32)
+    symbols = (next_id + (np.cumsum(real) - 1)[code]).astype(np.uint32)
     out = seq.copy()
     out[taken] = symbols
     ends = last.copy()
@@ -191,11 +196,11 @@ def write_ids(
 
     Null text is the empty text; null ids come first; rows with equal ids are ordered by text and
     all kept; other columns are ignored. An empty table writes no blocks. Each document ends with
-    ``end_id``. Documents are range-partitioned by (doc_id, text); a task holds one block at a time,
+    ``end_id``. Documents are range-partitioned by doc_id; a task holds one block at a time,
     and a document longer than a block is a block of its own.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
