@@ -3,24 +3,38 @@
 The library cuts a text into pieces by a pattern and merges within a piece only. A single space
 between two characters that are not white space always begins a piece, so a text whose spaces all
 stand like that has the ids of its space-separated words, each but the first with its space. Words
-met before come from the cache; new ones go through the library. Texts with other spaces, and texts
-that hold the string of a special token, go through the library as a whole.
+met before come from the cache; new ones go through the library, letters straight to its merge step.
+Texts with other spaces, and texts that hold the string of a special token, go through the library as
+a whole.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
 from functools import lru_cache
 
-#: A space beside white space or at an end of the text.
-LOOSE_SPACE = re.compile(r"^ | $| \s|\s ")
+# White space as Unicode and Python have it.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+#: A space beside white space. Looking for each of them is faster than a pattern.
+LOOSE = [f"{c} " for c in BLANKS] + [f" {c}" for c in BLANKS if c != " "]
+LOOSE_ASCII = [pair for pair in LOOSE if pair.isascii()]
 #: Bounds of the cache in one worker process. A full cache keeps what it has, which includes the
 #: frequent words; other and longer words are encoded again in each call.
 CACHED_WORDS = 800_000
 CACHED_LENGTH = 48
 
 
+#: Punctuation that may follow letters. An apostrophe may begin a piece with letters, so it is not here.
+TAIL = ".,;:!?"
+#: Byte-level BPE writes each byte as a letter: printable ones as themselves, others from 256 on.
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+OTHERS = [b for b in range(256) if b not in PRINTED]
+BYTE_LETTERS = {b: 256 + at for at, b in enumerate(OTHERS)}
+SPACE_LETTER = chr(BYTE_LETTERS[0x20])
+
+
 class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -28,13 +42,41 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
     def _is_plain(self, text: str) -> bool:
-        return LOOSE_SPACE.search(text) is None and not any(s in text for s in self.specials)
+        if text[:1] == " " or text[-1:] == " ":
+            return False
+        pairs = LOOSE_ASCII if text.isascii() else LOOSE
+        return not any(s in text for s in pairs) and not any(s in text for s in self.specials)
+
+    def _fresh(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words, each with a space before it."""
+        found: dict[str, bytes] = {}
+        merge, tails = self.library.model.tokenize, self.tails
+        rest = []
+        for word in words:
+            stem = word.rstrip(TAIL)
+            if stem.isalpha():
+                # Letters are one piece, which the model merges by itself.
+                if stem.isascii():
+                    piece = SPACE_LETTER + stem
+                else:
+                    piece = SPACE_LETTER + stem.encode().decode("latin-1").translate(BYTE_LETTERS)
+                tail = word[len(stem) :]
+                if tail not in tails:
+                    if len(tails) > 1000:
+                        tails.clear()
+                    tails[tail] = self.encode_whole([tail])[0]
+                found[word] = array("I", [t.id for t in merge(piece)]).tobytes() + tails[tail]
+            else:
+                rest.append(word)
+        found.update(zip(rest, self.encode_whole([" " + w for w in rest]), strict=True))
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -49,7 +91,7 @@ class WordEncoder:
             for word, known in zip(w[1:], ids, strict=True)
             if known is None
         }
-        fresh = dict(zip(new, self.encode_whole([" " + w for w in new]), strict=True)) if new else {}
+        fresh = self._fresh(new) if new else {}
         out = []
         for head, w, ids in zip(heads, words, found, strict=True):
             if ids and None in ids:
