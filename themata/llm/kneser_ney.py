@@ -29,6 +29,8 @@ from themata.llm.common import column, crc_fold, slices, text_of
 from themata.storage import new_folder
 
 ORDER = 2
+#: N-grams that a task sums up before it passes them on.
+SUMMED = 2_000_000
 TEST_FOLDS, TEST_FOLD = 5, 1
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +90,23 @@ def _counted(columns: list[np.ndarray], weights: list[np.ndarray]) -> list[np.nd
     return [c[at] for c in columns] + sums
 
 
+class Summed:
+    """Gathers rows of hashes with sums, and gives them out added up, a bounded number at a time."""
+
+    def __init__(self) -> None:
+        self.held: list[list[np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, columns: list[np.ndarray]) -> None:
+        self.held.append(columns)
+        self.rows += columns[0].size
+
+    def take(self, keys: int) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        self.held, self.rows = [], 0
+        return _counted(columns[:keys], columns[keys:])
+
+
 class Store:
     """Files of one folder, by a path or URI that pyarrow can open."""
 
@@ -207,9 +226,15 @@ def train(docs: DataFrame, folder: str, order: int = ORDER, shards: int | None =
         return pa.RecordBatch.from_arrays(arrays, names=["shard", *labels, "n", "t"][: len(arrays)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed = Summed()
         for batch in slices(batches, "text"):
             found, word, _ = contexts(column(batch, "text"), order)
-            *columns, n = _counted([*found, word], [np.ones(word.size, np.int64)])
+            summed.add([*found, word, np.ones(word.size, np.int64)])
+            if summed.rows >= SUMMED:
+                *columns, n = summed.take(order)
+                yield batch_of(columns, [*names, "word"], [n])
+        if summed.rows:
+            *columns, n = summed.take(order)
             yield batch_of(columns, [*names, "word"], [n])
 
     def schema(labels: list[str], sums: str = "n long, t long") -> str:
@@ -219,7 +244,7 @@ def train(docs: DataFrame, folder: str, order: int = ORDER, shards: int | None =
         """Write the shards of a level and pass on the rows of the next lower one."""
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store, writer = Store(folder), None
+            store, writer, summed = Store(folder), None, Summed()
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -234,8 +259,13 @@ def train(docs: DataFrame, folder: str, order: int = ORDER, shards: int | None =
                         writer = ShardWriter(store, level, int(shard[a]))
                     writer.add(columns[0][a:b], columns[-1][a:b], n[a:b], t[a:b])
                 if level > 1:
-                    *lower, types, tokens = _counted(columns[1:], [np.ones(n.size, np.int64), t])
-                    yield batch_of(lower, labels[1:], [types, tokens])
+                    summed.add([*columns[1:], np.ones(n.size, np.int64), t])
+                    if summed.rows >= SUMMED:
+                        *lower, types, tokens = summed.take(level - 1)
+                        yield batch_of(lower, labels[1:], [types, tokens])
+            if summed.rows:
+                *lower, types, tokens = summed.take(level - 1)
+                yield batch_of(lower, labels[1:], [types, tokens])
             if writer is not None:
                 writer.close()
 
