@@ -33,7 +33,9 @@ def crc_fold(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, rows: int = SLICE_ROWS, chars: int = SLICE_CHARS
+) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds a bounded number of rows and characters.
 
     A single text longer than the bound is a slice of its own.
@@ -44,7 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         first = held = 0
         for at, size in enumerate(sizes.to_pylist()):
-            if at > first and (at - first >= SLICE_ROWS or held + (size or 0) > SLICE_CHARS):
+            if at > first and (at - first >= rows or held + (size or 0) > chars):
                 yield batch.slice(first, at - first)
                 first, held = at, 0
             held += size or 0

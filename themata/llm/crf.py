@@ -16,13 +16,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themata.llm.common import column, crc_fold, slices, text_of
+from themata.llm.common import SLICE_CHARS, column, crc_fold, slices, text_of
 
 FEATURES = 1 << 16
 SAMPLE_TEXTS = 400
@@ -36,7 +37,9 @@ MAX_LANGUAGES = 256
 UNKNOWN = "und"
 FOLDS, TEST_FOLD = 3, 1
 CACHED_WORDS = 300_000
-BATCH_WORDS = 400_000
+KNOWN_FEATURES = 200_000
+#: Texts and words that take their steps together; more of them need fewer steps.
+BATCH_TEXTS, BATCH_WORDS = 2048, 1_000_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, switches long"
@@ -47,16 +50,32 @@ def words_in(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
+class FeatureNumbers(dict):
+    """Hashed numbers of feature names; those of the first ones asked for are remembered."""
+
+    def __missing__(self, name: str) -> int:
+        from xxhash import xxh32_intdigest
+
+        number = xxh32_intdigest(name) % (FEATURES - 1)
+        if len(self) < KNOWN_FEATURES:
+            self[name] = number
+        return number
+
+
+NUMBERS = FeatureNumbers()
+
+
 def features(word: str, lexicons: dict[str, int]) -> list[int]:
     """Hashed features of a word: affixes, letter n-grams, lexicon, and one that all words have."""
-    from xxhash import xxh32_intdigest
-
     marked = f"^{word}$"
-    found = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)]
-    found += [f"g{marked[i : i + k]}" for k in (2, 3) for i in range(min(len(marked) - k + 1, 40))]
+    found = {"p" + word[:1], "p" + word[:2], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:]}
+    found.update(map("g".__add__, map("".join, zip(marked, marked[1:], strict=False))))
+    found.update(map("h".__add__, map("".join, zip(marked, marked[1:], marked[2:], strict=False))))
     if word in lexicons:
-        found += [f"w{word}", f"l{lexicons[word]}"]
-    return [xxh32_intdigest(f) % (FEATURES - 1) for f in set(found)] + [FEATURES - 1]
+        found |= {f"w{word}", f"l{lexicons[word]}"}
+    numbers = list(map(NUMBERS.__getitem__, found))
+    numbers.append(FEATURES - 1)
+    return numbers
 
 
 def forward_backward(
@@ -65,40 +84,49 @@ def forward_backward(
     """Marginals of all words, the expected transitions, and the log normaliser of each sequence.
 
     ``emission`` (words, labels) holds the sequences one behind another. All sequences take a step
-    together; those that have ended drop out.
+    together; those that have ended drop out. Inside, rows are ordered by step, then by falling length
+    of the sequence, so that a step is a slice.
     """
-    labels = emission.shape[1]
-    top = emission.max(1, keepdims=True)
-    local = np.exp(emission - top)
-    step = np.exp(transition)
+    labels, count = emission.shape[1], len(sizes)
     order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
+    long = sizes[order]
+    # How many sequences reach each step, and where its rows begin.
+    active = np.searchsorted(-long, -np.arange(long[0] if count else 0), "left")
+    first = np.cumsum(active) - active
+    which = np.repeat(np.arange(count), long)
+    at = np.arange(len(which)) - np.repeat(np.cumsum(long) - long, long)
+    source = np.empty(len(which), np.int64)
+    source[first[at] + which] = starts[order][which] + at
+    score = emission[source]
+    top = score.max(1)
+    local = np.exp(score - top[:, None])
+    step = np.exp(transition)
+    back = np.ascontiguousarray(step.T)
     forward = np.empty_like(local)
     scale = np.empty(len(local))
-    # How many sequences reach each step.
-    active = np.searchsorted(-sizes, -np.arange(sizes[0] if sizes.size else 0), "left")
-    alpha = np.full((sizes.size, labels), 1.0 / labels)
-    for t, n in enumerate(active):
-        at = starts[:n] + t
-        alpha = (alpha[:n] if t == 0 else alpha[:n] @ step) * local[at]
+    alpha = np.full((count, labels), 1.0 / labels)
+    for t, (a, n) in enumerate(zip(first.tolist(), active.tolist(), strict=True)):
+        alpha = (alpha[:n] @ step if t else alpha) * local[a : a + n]
         total = alpha.sum(1)
-        alpha = alpha / total[:, None]
-        forward[at], scale[at] = alpha, total
+        alpha /= total[:, None]
+        forward[a : a + n], scale[a : a + n] = alpha, total
     marginal = forward.copy()
+    local /= scale[:, None]
     pairs = np.zeros((labels, labels))
-    beta = np.ones((sizes.size, labels))
+    beta = np.ones((count, labels))
     for t in range(len(active) - 1, 0, -1):
-        n = active[t]
-        at = starts[:n] + t
-        ahead = local[at] * beta[:n] / scale[at][:, None]
-        pairs += forward[at - 1].T @ ahead
-        beta[:n] = ahead @ step.T
-        marginal[at - 1] = forward[at - 1] * beta[:n]
-    ends = np.cumsum(np.log(scale) + top[:, 0])
-    whole = ends[starts + sizes - 1] - np.where(starts > 0, ends[starts - 1], 0.0) if sizes.size else np.empty(0)
-    logs = np.empty(sizes.size)
-    logs[order] = whole
-    return marginal / marginal.sum(1, keepdims=True), pairs * step, logs
+        a, n, before = first[t], active[t], first[t - 1]
+        ahead = local[a : a + n] * beta[:n]
+        pairs += forward[before : before + n].T @ ahead
+        beta[:n] = ahead @ back
+        marginal[before : before + n] *= beta[:n]
+    out = np.empty_like(emission)
+    out[source] = marginal / marginal.sum(1, keepdims=True)
+    logs = np.empty(count)
+    owner = np.empty(len(which), np.int64)
+    owner[first[at] + which] = which
+    logs[order] = np.bincount(owner, np.log(scale) + top, count)
+    return out, pairs * step, logs
 
 
 class Tagger:
@@ -118,9 +146,13 @@ class Tagger:
         new = set(words).difference(rows)
         while len(rows) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        for word in new:
-            self.table[len(rows)] = self.weights[features(word, self.lexicons)].sum(0)
-            rows[word] = len(rows)
+        if new:
+            found = [features(word, self.lexicons) for word in new]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
+            scores = np.add.reduceat(self.weights[flat], np.cumsum(counts) - counts)
+            self.table[len(rows) : len(rows) + len(new)] = scores
+            rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
         return self.table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))]
 
     def word_marginals(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
@@ -244,7 +276,7 @@ def keep_identified(docs: DataFrame, tagger: Tagger, least: float) -> DataFrame:
     """The rows of ``docs`` with a language of at least this score; letterless texts go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_TEXTS, 2 * SLICE_CHARS):
             texts = [words_in(t or "") for t in column(batch, "text")]
             kept = [len(m) > 0 and m.mean(0).max() >= least for m in tagger.word_marginals(texts)]
             yield batch.filter(pa.array(kept, pa.bool_()))
@@ -266,7 +298,7 @@ def predict(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", BATCH_TEXTS, 2 * SLICE_CHARS):
             texts = [words_in(t) for t in column(batch, "text")]
             langs, scores, switches = [], [], []
             for marginal in tagger.word_marginals(texts):
