@@ -1,21 +1,25 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-The weight of a five-word shingle is its number of occurrences. For each shingle, a Poisson process
+The weight of a five-word shingle that occurs n times is 1 + ln n. For each shingle, a Poisson process
 whose rate is the weight gives arrival times, each arrival in a random component; a component keeps
 the shingle that arrives first. Two texts agree in a component with the probability Jaccard similarity
 of their weights. Arrivals of a shingle stop as soon as they come later than all components' first
 arrivals, so a signature costs little more than reading the shingles once.
 
-Signatures are cut into bands; texts that share a band's key are candidates, and a pair is linked if
-the Jaccard similarity of the shingle sets, computed exactly, is ``THRESHOLD`` or more. Equal shingle
-sets are one representative, so copies make no pairs. Classes are the connected components.
+Signatures are cut into bands; texts that share a band's key are candidates. One bit of each component
+goes with them, and a pair whose bits show a similarity far under the threshold is dropped there. The
+others are linked if the Jaccard similarity of the shingle sets, computed exactly, is ``THRESHOLD`` or
+more. Equal shingle sets are one representative, so copies make no pairs. Classes are the connected
+components.
 
 A bucket of many sets is not expanded into its pairs. In each round, a few members of a bucket, its
 leaders, are compared with the members of other components, and leave the bucket: all their links in
 it are then known, or lie within one component. A bucket within one component is done. This ends with
 the same components as comparing all pairs. The first rounds look at few bands, so that large groups
-of near copies are mostly joined before the other bands are looked at; each later round doubles the
-leaders, so the rounds grow with the logarithm of the largest bucket.
+of near copies are mostly joined before the other bands are looked at; each later round has more
+leaders, so the rounds grow with the logarithm of the largest bucket. Between rounds, labels follow the
+new links by one step only, as they just have to be equal for linked sets alone; at the end they
+follow all links until nothing changes.
 """
 
 from __future__ import annotations
@@ -28,17 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themata.llm.common import column, slices, text_of, words_of
-from themata.storage import drop_table, materialise, new_folder, write_table
+from themata.storage import materialise
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with a probability of 3e-6.
 BANDS, BAND_ROWS = 42, 6
+#: A pair needs this estimate to be verified: at the threshold, 5 standard errors below it.
+LEAST_ESTIMATE = 0.6
 #: Bands that the first rounds look at; later rounds look at all.
-FIRST_BANDS = (1, 4, 12)
+FIRST_BANDS = (2, 12)
+#: Leaders of a bucket in the first round over all bands, and their growth from round to round.
+LEADERS, GROWTH = 4, 4
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SIGNED = "doc_id long, set_id long, shingles array<int>, bands array<long>"
+SIGNED = "doc_id long, set_id long, shingles array<int>, bands array<long>, bits array<long>"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,6 +105,14 @@ def band_keys(owners: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def component_bits(owners: np.ndarray) -> np.ndarray:
+    """One bit per component, as 64-bit integers."""
+    bits = (mix(owners) & np.uint64(1)).astype(np.uint8)
+    whole = np.zeros((owners.shape[0], -(-owners.shape[1] // 64) * 64), np.uint8)
+    whole[:, : owners.shape[1]] = bits
+    return np.packbits(whole, axis=1).view(np.int64)
+
+
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(doc_id, text) to (doc_id, set_id, sorted 32-bit shingle hashes, band keys).
 
@@ -108,13 +124,16 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
         for batch in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t), return_counts=True) for t in column(batch, "text")]
+            weighted = [(s, 1 + np.log(n)) for s, n in sets]
             some = [i for i, (s, _) in enumerate(sets) if s.size]
             ids = np.zeros(len(sets), np.uint64)
             ids[some] = [xxh3_64_intdigest(sets[i][0].tobytes()) for i in some]
             keys = np.empty((len(some), bands), np.int64)
+            bits = np.empty((len(some), -(-bands * rows // 64)), np.int64)
             for a in range(0, len(some), 64):
-                owners = signatures([sets[i] for i in some[a : a + 64]], bands * rows)
+                owners = signatures([weighted[i] for i in some[a : a + 64]], bands * rows)
                 keys[a : a + 64] = band_keys(owners, bands, rows)
+                bits[a : a + 64] = component_bits(owners)
             present = np.array([s.size > 0 for s, _ in sets])
             small = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s, _ in sets]
             yield pa.RecordBatch.from_arrays(
@@ -123,8 +142,9 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     pa.array(ids.view(np.int64), mask=~present),
                     lists(np.array([x.size for x in small]), np.concatenate(small)),
                     lists(present * bands, keys.reshape(-1)),
+                    lists(present * bits.shape[1], bits.reshape(-1)),
                 ],
-                names=["doc_id", "set_id", "shingles", "bands"],
+                names=["doc_id", "set_id", "shingles", "bands", "bits"],
             )
 
     return docs.mapInArrow(run, SIGNED)
@@ -138,7 +158,6 @@ def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of the threshold or more."""
     left = reps.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = reps.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    # Sets whose sizes differ too much cannot reach the threshold; that needs no shingles.
     both = pairs.join(left, "a").join(right, "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,82 +178,82 @@ def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
                 [rows.column(rows.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"]
             )
 
+    # Sets whose sizes differ too much cannot reach the threshold.
     near = F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")) - 1e-9
     return both.where(near).select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
 
 
+def hooked(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """One step: every class of equal labels (id, label) takes the smallest label that a link (a, b)
+    shows any of its members. Returns (id, was, label)."""
+    ends = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
+    seen = ends.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b")
+    low = seen.groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+    to = labels.join(low, "id", "left").select(
+        "id", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("to")
+    )
+    roots = to.groupBy(F.col("was").alias("old")).agg(F.min("to").alias("root"))
+    return to.join(roots, F.col("was") == F.col("old")).select("id", "was", F.col("root").alias("label"))
+
+
 def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Lower the labels (id, label) until linked ids (a, b) share the smallest one.
 
-    Each pass takes the smallest label among the neighbours, then the label of that label. A pass is
-    written out; passes are about the logarithm of the longest chain.
+    Each pass is written out; passes are about the logarithm of the longest chain of labels.
     """
-    spark = labels.sparkSession
-    ends = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    written = []
     while True:
-        seen = ends.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b")
-        low = seen.groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        hooked = labels.join(low, "id", "left").select(
-            "id", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("to")
-        )
-        # The smallest label that any member of a class has seen holds for the whole class.
-        roots = hooked.groupBy(F.col("was").alias("old")).agg(F.min("to").alias("root"))
-        step = hooked.join(roots, F.col("was") == F.col("old")).select("id", "was", F.col("root").alias("label"))
-        path = new_folder(spark, "labels")
-        step = write_table(step, path)
-        written.append(path)
-        if not step.where(F.col("was") != F.col("label")).limit(1).count():
-            for old in written[:-1]:
-                drop_table(spark, old)
-            return step.select("id", "label")
+        step = materialise(hooked(links, labels), "labels")
         labels = step.select("id", "label")
+        if not step.where(F.col("was") != F.col("label")).limit(1).count():
+            return labels
 
 
-def linked_labels(buckets: DataFrame, held: DataFrame, bands: int, threshold: float) -> DataFrame:
+def linked_labels(buckets: DataFrame, held: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
     """Component labels (id, label) of the candidate sets.
 
-    ``buckets`` has (band, key, id) for keys of two or more sets, ``held`` the sets' shingles.
+    ``buckets`` has (band, key, id) for keys of two or more sets and the sets' component bits
+    (s0, s1, ...); ``held`` has the sets' shingles.
     """
-    spark = held.sparkSession
+    bits = [c for c in buckets.columns if c.startswith("s")]
+    # Of unequal components, half differ in their bit.
+    most = int(bands * rows * (1 - LEAST_ESTIMATE) / 2)
+    differ = " + ".join(f"bit_count(x.{c} ^ h.{c})" for c in bits)
     labels = held.select("id", F.col("id").alias("label"))
     links: DataFrame | None = None
-    leaders, turn = 1, 0
+    leaders, turn = LEADERS, 0
     while True:
         looked = FIRST_BANDS[turn] if turn < len(FIRST_BANDS) else bands
+        turn += 1
         now = buckets.where(F.col("band") < looked).join(labels, "id")
         spread = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        live_path = new_folder(spark, "live")
-        live = write_table(
-            now.join(spread.where("low <> high").select("key"), "key").select("band", "key", "id", "label"),
-            live_path,
+        live = materialise(
+            now.join(spread.where("low <> high").select("key"), "key").select("band", "key", "id", "label", *bits),
+            "live",
         )
         if not live.limit(1).count():
-            drop_table(spark, live_path)
             if looked >= bands:
-                return labels
-            turn += 1
+                return labels if links is None else components(links, labels)
             continue
-        heads = (
-            live.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("class"))
-            .agg(F.min("id").alias("head"))
-            .join(labels.select(F.col("id").alias("head"), F.col("label").alias("head_label")), "head")
+        parts = leaders if looked >= bands else 1
+        heads = live.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("class")).agg(
+            F.min("id").alias("head"),
+            F.min_by("label", "id").alias("head_label"),
+            *[F.min_by(c, "id").alias(c) for c in bits],
         )
         pairs = (
-            live.join(heads, (live.key == heads.key) & (live.label != heads.head_label))
+            live.alias("x")
+            .join(heads.alias("h"), F.expr(f"x.key = h.key AND x.label <> h.head_label AND {differ} <= {most}"))
             .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
             .distinct()
         )
         found = materialise(verified(pairs, held, threshold), "links")
         links = found if links is None else links.unionByName(found)
-        labels = components(links, labels)
+        labels = materialise(hooked(found, labels).select("id", "label"), "labels")
         if looked >= bands:
             # Members that led leave; buckets within one component are left out from here on.
             rest = live.join(heads.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti")
-            buckets = materialise(rest.select("band", "key", "id"), "buckets")
-            leaders *= 2
-        drop_table(spark, live_path)
-        turn += 1
+            buckets = materialise(rest.select("band", "key", "id", *bits), "buckets")
+            leaders *= GROWTH
 
 
 def near_duplicate_classes(
@@ -260,16 +279,19 @@ def near_duplicate_classes(
         .drop("one")
     )
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialise(keyed.join(shared, "key").select("band", "key", "id"), "buckets")
+    pairs = materialise(keyed.join(shared, "key").select("band", "key", "id"), "shared-keys")
     # One row per candidate set: that of its first document.
-    chosen = buckets.select("id").distinct().join(firsts, F.col("id") == F.col("set_id")).select("id", "first")
+    chosen = pairs.select("id").distinct().join(firsts, F.col("id") == F.col("set_id")).select("id", "first")
     held = materialise(
         signed.join(chosen, (F.col("set_id") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("first")))
-        .select("id", "shingles")
+        .select("id", "shingles", "bits")
         .dropDuplicates(["id"]),
         "candidates",
     )
-    labels = linked_labels(buckets, held, bands, threshold)
+    words = -(-bands * rows // 64)
+    bits = held.select("id", *[F.col("bits")[k].alias(f"s{k}") for k in range(words)])
+    buckets = materialise(pairs.join(bits, "id"), "buckets")
+    labels = linked_labels(buckets, held.select("id", "shingles"), bands, rows, threshold)
     named = labels.join(firsts, F.col("id") == F.col("set_id")).select("id", "label", "first")
     lowest = named.groupBy("label").agg(F.min("first").alias("class_id"))
     classes = named.join(lowest, "label").select(F.col("id").alias("set_id"), "class_id")
