@@ -118,6 +118,8 @@ def parse(page: str) -> Element:
             break
         at = found.end()
         tag = (found[2] or "").lower()
+        if tag and not found[0].endswith(">"):
+            break  # a tag that the page breaks off in
         if not tag:
             if found[0].startswith("<![CDATA["):
                 here.children.append(found[0][9:].removesuffix("]]>"))
