@@ -121,6 +121,13 @@ def test_other_orders(spark, docs, order):
     check_scores(kneser_ney.train_and_score(frame, order).collect(), [(r["doc_id"], r["text"]) for r in few], order)
 
 
+def test_query_op7_looks_back_two_words(spark, tmp_path):
+    """The last word follows from the word two places before it, and not from the one before."""
+    docs = [(i, f"{'red' if i % 2 else 'blue'} and {'sky' if i % 2 else 'sea'} {i % 7}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    check_scores(op7_kneser_ney(spark, str(tmp_path)).collect(), docs, 3)
+
+
 def test_odd_ngrams(spark, odd):
     check_scores(kneser_ney.train_and_score(odd).collect(), [r[:2] for r in ODD], 2)
     assert kneser_ney.train_and_score(odd.limit(0)).count() == 0

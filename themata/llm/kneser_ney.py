@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from themata.llm.common import column, crc_fold, slices, text_of
 from themata.storage import new_folder
 
-ORDER = 2
+#: Order of the registered query's model.
+ORDER = 3
 #: N-grams that a task sums up before it passes them on.
 SUMMED = 2_000_000
 TEST_FOLDS, TEST_FOLD = 5, 1
@@ -453,7 +454,7 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, SCORES)
 
 
-def train_and_score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def train_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
     """Learn from the documents outside the test fold and score all of them.
 
     The fold is the remainder of the crc32 of doc_id written as text; a null doc_id counts as the

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from themata.llm import line_spread
 from themata.llm.common import table
 from themata.llm.crf import identify
-from themata.llm.kneser_ney import train_and_score
+from themata.llm.kneser_ney import ORDER, train_and_score
 from themata.llm.merkle import edit_likeness
 from themata.llm.packing import pack
 from themata.llm.probminhash import near_duplicate_classes
@@ -54,7 +54,7 @@ def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train_and_score(table(spark, sf_dir, "documents"))
+    return train_and_score(table(spark, sf_dir, "documents"), ORDER)
 
 
 def op8_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
