@@ -234,6 +234,29 @@ def test_markup(markup, text):
     assert style_tree.main_text(markup or "", set()) == text
 
 
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        # Wrappers that are named after their layout.
+        ("<div class='layout with-sidebar'><article>a b</article></div>", "a b"),
+        ("<div id=page class=header-fixed><nav>n</nav><article>a b</article></div>", "a b"),
+        ("<form id=search><main>a b</main></form>", "a b"),
+        ("<div class='has-sidebar'><p>a</p><div class=sidebar>s</div></div>", "a"),
+        # Parts of an article.
+        ("<article>a<section id=discussion><p>b</section><p class=notice>c<div class=ad>d</div></article>", "a b c"),
+        ("<article class='post category-advertising header-fixed'>a</article>", "a"),
+        # Articles that are not main text.
+        ("<div><p>the main text of it</div><article class=comment>c</article>", "the main text of it"),
+        ("<article>a<article class='comment-body'><p>c</article></article>", "a"),
+        ("<article>a</article><div class=comments><article class=comment>c</article></div>", "a"),
+        ("<article>a b</article><aside><article>t</article></aside>", "a b"),
+        ("<div><p>the main text of it</div><article class=card>t</article>", "the main text of it t"),
+    ],
+)
+def test_names_of_wrappers_and_articles(markup, text):
+    assert style_tree.main_text(markup, set()) == text
+
+
 def test_odd_pages(spark):
     rows = [(1, None, "<p>a"), (1, None, "<p>a"), (None, "not a url", None), (2, "http://[", "<p>b"), (3, "ftp://u@H:1/", "")]
     frame = spark.createDataFrame([(*r, "x", 5) for r in rows], "page_id long, url string, html string, host string, page int")

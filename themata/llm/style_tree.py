@@ -8,8 +8,10 @@ weighs the entropy of its contents with that of its presentations. Menus, notice
 their importance is low, and branches under ``MIN_IMPORTANCE`` leave each page.
 
 A host with few pages says little, and some branches vary on every page without being main text. So
-elements that name their own role (``ROLE_TAGS``, ``ROLE_WORDS``) leave as well. Branches that hold an
-article, and running text inside one, always stay: copies of an article on one host repeat too.
+elements that name their own role (``ROLE_TAGS``, ``ROLE_WORDS``) leave as well, also articles that are
+comments or advertisements. Of the others, branches that hold an article, and running text inside one, stay
+whatever their classes say: wrappers are named after their layout, and copies of an article on one host
+repeat too. Text outside articles is main text if it is the larger part of what is left.
 """
 
 from __future__ import annotations
@@ -45,6 +47,10 @@ TEXT_TAGS = frozenset(
     "p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure "
     "figcaption hgroup".split()
 )
+#: Text that inside an article is running text whatever it is called.
+PROSE_TAGS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 blockquote pre table caption thead tbody tfoot tr td th figure figcaption hgroup".split()
+)
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -68,6 +74,16 @@ ROLE_WORDS = frozenset(
     "recommended recommendations widget widgets pagination pager copyright legal disclaimer skip search form "
     "hidden contentinfo complementary search dialog".split()
 )
+#: Role words that inside an article also name parts of its text.
+PART_WORDS = frozenset(
+    "discussion notice notices alert consent legal disclaimer copyright recommendations header".split()
+)
+#: Role words that in compound names of an article tell its layout.
+LAYOUT_WORDS = frozenset(
+    "sidebar side rail menu nav navbar navigation header masthead topbar toolbar footer search form skip".split()
+)
+#: A name that begins so tells what a wrapper has, not what it is.
+HAVING = frozenset("with without has no".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
@@ -77,6 +93,21 @@ COUNTS = "host string, path long, kind int, feature long, n long"
 PATHS = "page long, host string, path long"
 
 
+def roles_of(tag: str, names: list[str]) -> frozenset[str]:
+    """The role words by which an element says what it is.
+
+    Names of articles often tell topics or the layout, so only the first word of each counts.
+    """
+    roles: set[str] = set()
+    for words in filter(None, map(WORD.findall, names)):
+        if tag == "article":
+            if len(words) == 1 or words[0] not in LAYOUT_WORDS:
+                roles.add(words[0])
+        elif tag != "main" and words[0] not in HAVING:
+            roles.update(words)
+    return frozenset(roles & ROLE_WORDS - (PART_WORDS if tag == "article" else frozenset()))
+
+
 class Element:
     __slots__ = ("tag", "label", "roles", "hidden", "parent", "children")
 
@@ -90,7 +121,8 @@ class Element:
             if classes:
                 self.label = f"{tag}.{classes}"
             named = " ".join(found.get(a, "") for a in ("class", "id", "role")).lower()
-            self.roles = frozenset(WORD.findall(named)) & ROLE_WORDS
+            if not ROLE_WORDS.isdisjoint(WORD.findall(named)):
+                self.roles = roles_of(tag, named.split())
             style = found.get("style", "").replace(" ", "").lower()
             bare = ATTRIBUTE.sub(" ", attributes).lower().split()
             self.hidden = "display:none" in style or "visibility:hidden" in style or "hidden" in bare
@@ -157,28 +189,37 @@ def parse(page: str) -> Element:
     return root
 
 
-def is_apart(node: Element, in_article: bool) -> bool:
+def never_text(node: Element, holds: bool) -> bool:
+    """Whether a branch leaves by its tag or style; a form around an article is a wrapper."""
+    return node.hidden or node.tag in ROLE_TAGS and not (node.tag == "form" and holds)
+
+
+def is_apart(node: Element, in_article: bool, found: dict[int, bool]) -> bool:
     """Whether an element says itself that it is not main text."""
-    if node.hidden or node.tag in ROLE_TAGS:
+    if never_text(node, found[id(node)]):
         return True
-    if node.tag in ARTICLE_TAGS:
+    if found[id(node)] or in_article and node.tag in PROSE_TAGS:
         return False
-    return bool(node.roles) or (node.tag == "header" and not in_article)
+    if in_article and node.tag not in ARTICLE_TAGS:
+        return not node.roles <= PART_WORDS
+    return bool(node.roles) or node.tag == "header"
 
 
-def has_article(node: Element, found: dict[int, bool]) -> bool:
-    """Whether a branch holds an article element; remembered by element."""
-    stack = [(node, False)]
+def articles(root: Element) -> dict[int, bool]:
+    """Whether a branch is or holds an article that names no other role; by element."""
+    found: dict[int, bool] = {}
+    stack = [(root, False)]
     while stack:
         at, ready = stack.pop()
         if ready:
-            found[id(at)] = at.tag in ARTICLE_TAGS or any(
+            holds = at.tag in ARTICLE_TAGS and not at.roles or any(
                 found[id(c)] for c in at.children if isinstance(c, Element)
             )
+            found[id(at)] = holds and not never_text(at, holds)
         else:
             stack.append((at, True))
             stack.extend((c, False) for c in at.children if isinstance(c, Element))
-    return found[id(node)]
+    return found
 
 
 def text_blocks(node: Element, skip: set[int]) -> list[str]:
@@ -217,15 +258,13 @@ def hash64(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def branches(root: Element) -> Iterator[tuple[int, Element, bool]]:
+def branches(root: Element, found: dict[int, bool]) -> Iterator[tuple[int, Element, bool]]:
     """Elements that may leave by their importance, with the hash of their chain of labels.
 
     Those are elements outside articles that hold none, down to running text; and, inside articles,
     elements that are not running text. Elements that name their role are included, as the tree
     counts them, but not what lies in them.
     """
-    found: dict[int, bool] = {}
-    has_article(root, found)
     stack = [(c, "", False) for c in root.children if isinstance(c, Element)]
     while stack:
         node, chain, inside = stack.pop()
@@ -236,7 +275,7 @@ def branches(root: Element) -> Iterator[tuple[int, Element, bool]]:
         running = node.tag in TEXT_TAGS
         if not found[id(node)] and not (inside and running):
             yield hash64(chain), node, inside
-        if not is_apart(node, inside) and not running:
+        if not is_apart(node, inside, found) and not running:
             stack.extend((c, chain, inside) for c in node.children if isinstance(c, Element))
 
 
@@ -244,7 +283,8 @@ def features(page: str) -> dict[int, tuple[int, int]]:
     """By path: hashes of the presentation and of the content of all the page's elements there."""
     styles: dict[int, list[str]] = {}
     contents: dict[int, list[str]] = {}
-    for path, node, _ in branches(parse(page)):
+    root = parse(page)
+    for path, node, _ in branches(root, articles(root)):
         labels = [c.label for c in node.children if isinstance(c, Element)]
         runs = [x for i, x in enumerate(labels) if not i or labels[i - 1] != x]
         styles.setdefault(path, []).append(",".join(runs))
@@ -255,29 +295,33 @@ def features(page: str) -> dict[int, tuple[int, int]]:
 def main_text(page: str, unimportant: set[int]) -> str:
     """The text of a page without branches that name their role or have an unimportant path."""
     root = parse(page)
-    skip = {id(node) for path, node, _ in branches(root) if path in unimportant}
+    found = articles(root)
+    skip = {id(node) for path, node, _ in branches(root, found) if path in unimportant}
     stack = [(c, False) for c in root.children if isinstance(c, Element)]
     while stack:
         node, inside = stack.pop()
         inside |= node.tag in ARTICLE_TAGS
-        if is_apart(node, inside):
+        if is_apart(node, inside, found):
             skip.add(id(node))
         else:
             stack.extend((c, inside) for c in node.children if isinstance(c, Element))
-    found: dict[int, bool] = {}
-    if has_article(root, found):
-        # Text outside the articles is not main text.
-        tops, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if id(node) in skip:
-                continue
-            if node.tag in ARTICLE_TAGS:
-                tops.append(node)
-            else:
-                stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
-        if tops:
-            return " ".join(b for top in tops for b in text_blocks(top, skip))
+    tops, stack = [], [root] if found[id(root)] else []
+    while stack:
+        node = stack.pop()
+        if id(node) in skip:
+            continue
+        if node.tag in ARTICLE_TAGS:
+            tops.append(node)
+        else:
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
+    if tops:
+        # Beside a main element, or articles that are most of what is left, other text is not main text.
+        inner = " ".join(b for top in tops for b in text_blocks(top, skip))
+        if any(top.tag == "main" for top in tops):
+            return inner
+        outer = " ".join(text_blocks(root, skip | {id(top) for top in tops}))
+        if len(outer) <= len(inner):
+            return inner
     return " ".join(text_blocks(root, skip))
 
 
@@ -330,7 +374,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = MIN_IMP
             found = [
                 (page, host, path)
                 for page, host, text in zip(*(column(batch, n) for n in ("page", "host", "html")), strict=True)
-                for path in {p for p, _, _ in branches(parse(text))}
+                for root in (parse(text),)
+                for path in {p for p, _, _ in branches(root, articles(root))}
             ]
             columns = zip(*found, strict=True) if found else [[]] * 3
             kinds = (pa.int64(), pa.string(), pa.int64())
