@@ -110,6 +110,23 @@ def test_groups_that_share_buckets(spark):
     check_classes(frame, bands=60, rows=2)
 
 
+def test_near_copies_with_repeated_passages(spark):
+    """Sets at 0.8 or more whose texts repeat different shares of their shingles, and small sets."""
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(40):
+        base = [word() for _ in range(189)]
+        near = base[:-14] + [word() for _ in range(14)]
+        rows += [" ".join(base), " ".join(near[:60] * (10 + i) + near[60:]), " ".join(base[:50] * 5 + base[50:])]
+    for _ in range(200):
+        few = [word() for _ in range(9)]
+        rows += [" ".join(few), " ".join(few[:-1])]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert len({c for _, c in plain_classes(list(enumerate(rows)))}) == 240
+    check_classes(frame)
+
+
 def test_odd_classes(spark, odd):
     check_classes(odd)
     assert probminhash.near_duplicate_classes(odd.limit(0)).count() == 0

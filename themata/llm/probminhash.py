@@ -1,14 +1,18 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-The weight of a five-word shingle that occurs n times is 1 + ln n. For each shingle, a Poisson process
-whose rate is the weight gives arrival times, each arrival in a random component; a component keeps
-the shingle that arrives first. Two texts agree in a component with the probability Jaccard similarity
-of their weights. Arrivals of a shingle stop as soon as they come later than all components' first
-arrivals, so a signature costs little more than reading the shingles once.
-
-Signatures are cut into bands; texts that share a band's key are candidates. One bit of each component
-goes with them, and a pair whose bits show a similarity far under the threshold is dropped there. The
-others are linked if the Jaccard similarity of the shingle sets, computed exactly, is ``THRESHOLD`` or
+For each five-word shingle, a Poisson process whose rate is the shingle's weight gives arrival times,
+each arrival in a random component; a component keeps the shingle that arrives first. Two texts agree in
+a component with the probability Jaccard similarity of their weights. Arrivals of a shingle stop as soon
+as they come later than all components' first arrivals, so a signature costs little more than reading
+the shingles once.
+
+Links are defined by the shingle sets, so the signature that finds them has equal weights: its components
+agree with the Jaccard similarity of the sets. A text that repeats shingles has a second signature, in
+which a shingle that occurs n times weighs 1 + ln n; without repeats it would be the same.
+
+Signatures are cut into bands; texts that share a band's key, of either signature, are candidates. One bit
+of each component of the first signature goes with them, and a pair whose bits show a similarity far under
+the threshold is dropped there. The others are linked if the Jaccard similarity of the shingle sets, computed exactly, is ``THRESHOLD`` or
 more. Equal shingle sets are one representative, so copies make no pairs. Classes are the connected
 components.
 
@@ -38,7 +42,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with a probability of 3e-6.
 BANDS, BAND_ROWS = 42, 6
-#: A pair needs this estimate to be verified: at the threshold, 5 standard errors below it.
+#: A pair needs this estimate of its sets' similarity to be verified: at the threshold, 5 standard errors
+#: below it.
 LEAST_ESTIMATE = 0.6
 #: Bands that the first rounds look at; later rounds look at all.
 FIRST_BANDS = (2, 12)
@@ -106,17 +111,24 @@ def band_keys(owners: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def component_bits(owners: np.ndarray) -> np.ndarray:
-    """One bit per component, as 64-bit integers."""
-    bits = (mix(owners) & np.uint64(1)).astype(np.uint8)
+    """One bit per component, as 64-bit integers.
+
+    The bit depends on the component too: where few shingles own all components, equal bits of two of
+    them would else show in many components at once.
+    """
+    salts = np.arange(1, owners.shape[1] + 1, dtype=np.uint64) * MIX
+    bits = (mix(owners ^ salts) & np.uint64(1)).astype(np.uint8)
     whole = np.zeros((owners.shape[0], -(-owners.shape[1] // 64) * 64), np.uint8)
     whole[:, : owners.shape[1]] = bits
     return np.packbits(whole, axis=1).view(np.int64)
 
 
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, set_id, sorted 32-bit shingle hashes, band keys).
+    """(doc_id, text) to (doc_id, set_id, sorted 32-bit shingle hashes, band keys, component bits).
 
-    ``set_id`` is a 64-bit hash of the shingle set; texts without words have null and no bands.
+    ``set_id`` is a 64-bit hash of the shingle set; texts without words have null and no bands. Texts
+    that repeat shingles have the bands of their weighted signature after those of the other one. The
+    bits depend on the shingle set only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +136,21 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
         for batch in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t), return_counts=True) for t in column(batch, "text")]
-            weighted = [(s, 1 + np.log(n)) for s, n in sets]
             some = [i for i, (s, _) in enumerate(sets) if s.size]
             ids = np.zeros(len(sets), np.uint64)
             ids[some] = [xxh3_64_intdigest(sets[i][0].tobytes()) for i in some]
-            keys = np.empty((len(some), bands), np.int64)
+            keys = np.empty((len(some), 2, bands), np.int64)
+            used = np.ones((len(sets), 2), bool)
+            used[:, 1] = [bool((n > 1).any()) for _, n in sets]
             bits = np.empty((len(some), -(-bands * rows // 64)), np.int64)
             for a in range(0, len(some), 64):
-                owners = signatures([weighted[i] for i in some[a : a + 64]], bands * rows)
-                keys[a : a + 64] = band_keys(owners, bands, rows)
+                part = some[a : a + 64]
+                owners = signatures([(sets[i][0], np.ones(sets[i][0].size)) for i in part], bands * rows)
+                keys[a : a + 64, 0] = band_keys(owners, bands, rows)
                 bits[a : a + 64] = component_bits(owners)
+                if repeats := [i for i in part if used[i, 1]]:
+                    owners = signatures([(sets[i][0], 1 + np.log(sets[i][1])) for i in repeats], bands * rows)
+                    keys[a : a + 64][used[part, 1], 1] = band_keys(owners, bands, rows)
             present = np.array([s.size > 0 for s, _ in sets])
             small = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s, _ in sets]
             yield pa.RecordBatch.from_arrays(
@@ -141,7 +158,7 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     batch.column(batch.schema.get_field_index("doc_id")),
                     pa.array(ids.view(np.int64), mask=~present),
                     lists(np.array([x.size for x in small]), np.concatenate(small)),
-                    lists(present * bands, keys.reshape(-1)),
+                    lists(present * used.sum(1) * bands, keys[used[some]].reshape(-1)),
                     lists(present * bits.shape[1], bits.reshape(-1)),
                 ],
                 names=["doc_id", "set_id", "shingles", "bands", "bits"],
@@ -272,7 +289,8 @@ def near_duplicate_classes(
     firsts = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     keyed = (
         signed.where("set_id is not null")
-        .select(F.col("set_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+        .select(F.col("set_id").alias("id"), F.posexplode("bands").alias("at", "key"))
+        .select("id", (F.col("at") % bands).alias("band"), "key")
         .repartition("key")
         .groupBy("key", "band", "id")
         .agg(F.lit(1).alias("one"))
