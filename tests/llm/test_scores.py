@@ -176,6 +176,12 @@ def test_labels_of_switched_text(spark):
     assert labels == ["en"] * 7 + ["de"] * 7
 
 
+def test_copies_do_not_thin_the_sample(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [("der die das kopie", "de")] * 20_000 + [(f"text von {name(i)}", "de") for i in range(60)]
+    assert len(crf.sample(spark.createDataFrame(rows, "text string, lang string"))) == 61
+
+
 def test_odd_languages(spark, odd):
     rows = crf.identify(odd).collect()
     assert len(rows) == len(ODD)

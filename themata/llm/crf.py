@@ -241,12 +241,14 @@ def fit(samples: list[tuple[str, list[str]]]) -> Tagger:
 def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
     """Labelled runs of words from ``docs`` (text, lang): bounded, and a function of the contents.
 
-    A text's hash decides whether it is taken; the share taken falls with the number of a language's
-    texts, so that about ``SAMPLE_TEXTS`` of each come, whatever the size of the corpus. Only these
-    are sent to the driver, each cut to a run of words that starts at a place given by its hash.
+    A text's hash decides whether it is taken, once for all its copies; the share taken falls with the
+    number of a language's distinct texts, so that about ``SAMPLE_TEXTS`` of each come, whatever the size of the corpus. Only these
+    are sent to the driver, each cut to a run of words that starts at a place given by its hash. Only the
+    ``MAX_LANGUAGES`` languages of the most distinct texts are learned; others are never predicted.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    totals = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    texts = labelled.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    totals = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     # One row per language, at most MAX_LANGUAGES.
     shares = totals.select("lang", (F.lit(float(SAMPLE_TEXTS)) / F.col("n")).alias("share"))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
