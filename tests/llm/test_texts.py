@@ -135,6 +135,14 @@ def test_odd_classes(spark, odd):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "5", "6", "7", "8", "None"]
 
 
+def test_one_row_of_classes_without_or_with_repeated_ids(spark):
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    near = [t + " more" for t in base]
+    rows = [(None, base[0]), (None, near[0]), (None, base[1]), (1, near[1]), (5, base[2]), (2, near[2]), (5, base[3]), (5, base[3])]
+    kept = probminhash.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 4 and {(1, near[1]), (2, near[2]), (5, base[3])} < {tuple(r) for r in kept}
+
+
 # --- lines ---------------------------------------------------------------------------------------
 
 

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themata.llm.common import column, slices, text_of, words_of
@@ -51,7 +51,7 @@ FIRST_BANDS = (2, 12)
 LEADERS, GROWTH = 4, 4
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SIGNED = "doc_id long, set_id long, shingles array<int>, bands array<long>, bits array<long>"
+SIGNED = "doc_id long, text_id long, set_id long, shingles array<int>, bands array<long>, bits array<long>"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def component_bits(owners: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, set_id, sorted 32-bit shingle hashes, band keys, component bits).
+    """(doc_id, text_id, text) to (doc_id, text_id, set_id, sorted 32-bit shingle hashes, band keys, component bits).
 
     ``set_id`` is a 64-bit hash of the shingle set; texts without words have null and no bands. Texts
     that repeat shingles have the bands of their weighted signature after those of the other one. The
@@ -156,12 +156,13 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index("doc_id")),
+                    batch.column(batch.schema.get_field_index("text_id")),
                     pa.array(ids.view(np.int64), mask=~present),
                     lists(np.array([x.size for x in small]), np.concatenate(small)),
                     lists(present * used.sum(1) * bands, keys[used[some]].reshape(-1)),
                     lists(present * bits.shape[1], bits.reshape(-1)),
                 ],
-                names=["doc_id", "set_id", "shingles", "bands", "bits"],
+                names=["doc_id", "text_id", "set_id", "shingles", "bands", "bits"],
             )
 
     return docs.mapInArrow(run, SIGNED)
@@ -273,19 +274,16 @@ def linked_labels(buckets: DataFrame, held: DataFrame, bands: int, rows: int, th
             leaders *= GROWTH
 
 
-def near_duplicate_classes(
-    docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS
-) -> DataFrame:
-    """The class of each row of ``docs`` (doc_id, text): (doc_id, class_id).
+def text_id() -> Column:
+    return F.xxhash64(text_of())
 
-    ``class_id`` is the smallest doc_id of the class. Null text is the empty text. Texts without
-    words have no near copies: their class_id is their doc_id. Rows with a null doc_id take part and
-    have the class's smallest doc_id, or null. Repeated rows are kept. Other columns are ignored. An
-    empty table gives no rows.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+
+def labelled_sets(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets (doc_id, text_id, set_id), the first doc_id of each set (set_id, first), and the
+    component labels (id, label) of the candidate sets."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id().alias("text_id"), text_of().alias("text"))
     signed = materialise(sign(texts, bands, rows), "signed")
-    members = signed.select("doc_id", "set_id")
+    members = signed.select("doc_id", "text_id", "set_id")
     firsts = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     keyed = (
         signed.where("set_id is not null")
@@ -309,7 +307,20 @@ def near_duplicate_classes(
     words = -(-bands * rows // 64)
     bits = held.select("id", *[F.col("bits")[k].alias(f"s{k}") for k in range(words)])
     buckets = materialise(pairs.join(bits, "id"), "buckets")
-    labels = linked_labels(buckets, held.select("id", "shingles"), bands, rows, threshold)
+    return members, firsts, linked_labels(buckets, held.select("id", "shingles"), bands, rows, threshold)
+
+
+def near_duplicate_classes(
+    docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS
+) -> DataFrame:
+    """The class of each row of ``docs`` (doc_id, text): (doc_id, class_id).
+
+    ``class_id`` is the smallest doc_id of the class. Null text is the empty text. Texts without
+    words have no near copies: their class_id is their doc_id. Rows with a null doc_id take part and
+    have the class's smallest doc_id, or null. Repeated rows are kept. Other columns are ignored. An
+    empty table gives no rows.
+    """
+    members, firsts, labels = labelled_sets(docs, threshold, bands, rows)
     named = labels.join(firsts, F.col("id") == F.col("set_id")).select("id", "label", "first")
     lowest = named.groupBy("label").agg(F.min("first").alias("class_id"))
     classes = named.join(lowest, "label").select(F.col("id").alias("set_id"), "class_id")
@@ -320,15 +331,27 @@ def near_duplicate_classes(
     )
 
 
-def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """The row of ``docs`` whose doc_id names its class, for each class; all columns stay.
+def one_of_each_class(
+    docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS
+) -> DataFrame:
+    """One row of ``docs`` for each class, that with the smallest doc_id; all columns stay.
 
-    Rows with one doc_id and text count as one row. Rows without a doc_id stay if no row of their
-    class has one.
+    Rows with one doc_id and text count as one row. Of rows with the smallest doc_id and different
+    texts, and of a class without doc_ids, the one with the smallest hash of the text stays. Texts
+    without words are classes of their own.
     """
-    classes = near_duplicate_classes(docs, **options)
-    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    repeated = chosen.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    keep = chosen.select(F.col("doc_id").alias("_keep"))
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    members, _, labels = labelled_sets(docs, threshold, bands, rows)
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_id")
+    found = members.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+    chosen = (
+        found.where("set_id is not null")
+        .groupBy(F.coalesce("label", "set_id").alias("class"))
+        .agg(F.min(rank).alias("kept"))
+        .select("kept.doc_id", "kept.text_id")
+        .union(members.where("set_id is null").select("doc_id", "text_id").distinct())
+        .select(F.col("doc_id").alias("_keep"), F.col("text_id").alias("_text"))
+    )
+    repeated = members.groupBy("doc_id", "text_id").count().where("count > 1").limit(1).count()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (text_id() == F.col("_text"))
+    kept = docs.join(chosen, same, "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
