@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from themata.llm import line_spread
 from themata.llm.common import table
 from themata.llm.crf import identify
+from themata.llm.dialogue_repair import damage, digests, repair
 from themata.llm.hash_tree import shard_documents
 from themata.llm.kneser_ney import ORDER, train_and_score
 from themata.llm.merkle import edit_likeness
@@ -72,6 +73,10 @@ def op10_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*columns, "base_failed", "kept", "quality")
 
 
+def op11_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(repair(damage(table(spark, sf_dir, "conversations"))))
+
+
 def op13_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_streaming_viterbi": op8_streaming_viterbi,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_weak_rules": op10_weak_rules,
+    "op11_edit_lattice": op11_edit_lattice,
     "op13_hash_tree": op13_hash_tree,
 }
 
