@@ -10,6 +10,7 @@ from themata.llm import line_spread
 from themata.llm.common import table
 from themata.llm.crf import identify
 from themata.llm.dialogue_repair import damage, digests, repair
+from themata.llm.dialogue_trie import prefix_trie
 from themata.llm.hash_tree import shard_documents
 from themata.llm.kneser_ney import ORDER, train_and_score
 from themata.llm.merkle import edit_likeness
@@ -77,6 +78,10 @@ def op11_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repair(damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_double_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_weak_rules": op10_weak_rules,
     "op11_edit_lattice": op11_edit_lattice,
+    "op12_double_array": op12_double_array,
     "op13_hash_tree": op13_hash_tree,
 }
 
