@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from themata.operators.estep import e_step  # noqa: E402
-from themata.operators.mstep import m_step  # noqa: E402
+from themata.operators.topictable import store_rows  # noqa: E402
 from themata.operators.topicword import lambda_sums  # noqa: E402
 from themata.params import TopicParams  # noqa: E402
 from themata.plans.score import score_topics  # noqa: E402
@@ -135,9 +135,10 @@ def main() -> None:
             lambda: run(e_step(corpus, model, spec, "stats", broadcast_bytes=1)),
         )
         stats = materialise(e_step(corpus, model, spec, "stats"), "stats")
+        rows = store_rows(model.lam, int(cpus), num_topics, new_folder(spark, "rows"))
         timed(
             f"mstep_{tag}",
-            lambda: run(m_step(model.lam, stats, 0.1, params.eta, num_docs, num_docs)),
+            lambda: rows.add(stats, 0.1, params.eta, 1.0, new_folder(spark, "mstep")),
         )
         timed(f"lambda_sums_{tag}", lambda: lambda_sums(model.lam))
         timed(f"perplexity_{tag}", lambda: evaluate(corpus, model, params))

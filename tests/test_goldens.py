@@ -16,6 +16,8 @@ from themata.operators.distributions import sparse_topics, topic_cells, word_dis
 from themata.operators.estep import e_step
 from themata.operators.kernel import InferenceSpec
 from themata.operators.mstep import m_step
+from themata.operators.topictable import store_rows
+from themata.storage import new_folder
 from themata.operators.topicword import lambda_sums, peak_median
 from themata.params import TopicParams
 
@@ -66,16 +68,21 @@ def test_statistics_and_update(model, corpus):
     params = TopicParams(eta=0.1, mini_batch_fraction=0.1, num_topics=2)
     rho = params.step_size(1)
     assert rho == pytest.approx(0.0078071639, abs=1e-10)
-    updated = m_step(model.lam, stats, rho, 0.1, 10, 1).orderBy("word_id").collect()
+    rewritten = m_step(model.lam, sum_by_key(stats, "word_id", "s"), rho, 0.1, 10.0)
+    path = new_folder(model.lam.sparkSession, "golden")
+    table, touched = store_rows(model.lam, 2, 2, f"{path}/a").add(stats, rho, 0.1, 10.0, path)
     expected = [[2.20971326, 1.0026416], [1.04418395, 3.00422047], [0.99297355, 0.99297355]]
-    for row, want in zip(updated, expected):
-        assert row["lambda"] == pytest.approx(want, abs=1e-8)
-    assert [r["touched"] for r in updated] == [1.0, 1.0, 0.0]
+    for updated in (rewritten, table.lam()):
+        for row, want in zip(updated.orderBy("word_id").collect(), expected):
+            assert row["lambda"] == pytest.approx(want, abs=1e-8)
+    assert touched == 2
+    assert table.lambda_sums() == pytest.approx([4.24687076, 4.99983562], abs=1e-8)
 
 
 def test_updated_sums(model, corpus):
     stats = e_step(corpus, model, spec(model), "stats")
-    updated = m_step(model.lam, stats, 1025.0**-0.7, 0.1, 10, 1)
+    stats = sum_by_key(stats, "word_id", "s")
+    updated = m_step(model.lam, stats, 1025.0**-0.7, 0.1, 10.0)
     assert lambda_sums(updated) == pytest.approx([4.24687076, 4.99983562], abs=1e-8)
 
 

@@ -12,15 +12,19 @@ from themata import schemas
 from themata.functions.vectors import sum_by_key
 from themata.operators.estep import e_step
 from themata.operators.mstep import m_step
-from themata.operators.topicword import start_lambda, word_range
+from themata.operators.sampling import BatchWindow, DirectBatches, draw_minibatch, lanes_of
+from themata.operators.topictable import compensated, store_rows, sum_statistics
+from themata.operators.topicword import lambda_sums, start_lambda, word_range
 from themata.params import TopicParams
 from themata.plans.train import (
     evaluate,
     inference_spec,
     model_of,
     new_model,
+    next_window,
     resume_training,
     train,
+    trainable,
     update,
 )
 from themata.sources import corpus as C
@@ -122,12 +126,133 @@ def test_sums_follow_the_update(corpus, params):
 def test_update_drops_words_outside_the_table(spark):
     lam = start_lambda(word_range(spark, 0, 3, 1), 2)
     stats = spark.createDataFrame([(1, [1.0, 2.0]), (9, [5.0, 5.0]), (1, [1.0, 0.0])], schemas.STATS)
-    rows = {r["word_id"]: r["lambda"] for r in m_step(lam, stats, 0.5, 0.1, 4, 2).collect()}
+    rows = {r["word_id"]: r["lambda"] for r in m_step(lam, sum_by_key(stats, "word_id", "s"), 0.5, 0.1, 2.0).collect()}
     assert set(rows) == {0, 1, 2}
     assert rows[1] == pytest.approx([0.5 + 0.5 * (0.1 + 4.0), 0.5 + 0.5 * (0.1 + 4.0)])
     assert rows[0] == pytest.approx([0.55, 0.55])
 
 
+def table_after(model, stats_of, params, path, iterations, **held):
+    """The table after so many M-steps, and lambda by the plain update of all rows."""
+    table = store_rows(model.lam, 4, params.num_topics, f"{path}/start", **held)
+    ids, plain = model.rows()
+    at = {w: i for i, w in enumerate(ids)}
+    for i in range(1, iterations + 1):
+        stats, rho = stats_of(i), params.step_size(i)
+        table, touched = table.add(stats, rho, params.eta, 2.0, f"{path}/{i}")
+        plain = (1 - rho) * plain + rho * params.eta
+        words = set()
+        for row in stats.collect():
+            if row["word_id"] in at:
+                plain[at[row["word_id"]]] += rho * 2.0 * np.asarray(row["s"])
+                words.add(row["word_id"])
+        assert touched == len(words)
+    return table, ids, plain
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("decay", [8.0, 0.0])
+def test_deltas_add_up_to_the_plain_update(spark, params, tmp_path, limit, decay):
+    """Over several merges, repeated words and, without decay, a first step that leaves nothing."""
+    few = replace(params, vocab_size=30, num_topics=3, lambda_start="gamma", decay=decay)
+    model = new_model(spark, few)
+
+    def stats_of(i):
+        rows = [((7 * i + j) % 30, [float(i), j / 3.0, 1.0]) for j in range(1 + i % 9)]
+        return spark.createDataFrame(rows + rows[:1], schemas.STATS)
+
+    table, ids, plain = table_after(model, stats_of, few, str(tmp_path), 20, limit=limit)
+    found = {r["word_id"]: r["lambda"] for r in table.lam().collect()}
+    assert sorted(found) == list(ids)
+    for w, row in zip(ids, plain):
+        assert found[w] == pytest.approx(row, rel=1e-12)
+    assert table.lambda_sums() == pytest.approx(plain.sum(axis=0), rel=1e-12)
+    assert (table.held is not None) == (limit > 0)
+    if limit:
+        assert table.held_lambda()[1] == pytest.approx(plain, rel=1e-12)
+    # Merged deltas are gone from storage.
+    assert len(table.deltas) < 20 and not Path(tmp_path / "2" / "delta").exists()
+
+
+def test_sums_do_not_drift(spark, params, tmp_path):
+    few = replace(params, vocab_size=50, num_topics=2, lambda_start="gamma")
+    model = new_model(spark, few)
+    draw = np.random.default_rng(5)
+
+    def stats_of(i):
+        words = draw.choice(50, 10, replace=False).tolist()
+        values = (10.0 ** draw.uniform(-8, 3, (10, 2))).tolist()
+        return spark.createDataFrame(list(zip(words, values)), schemas.STATS)
+
+    table = store_rows(model.lam, 2, 2, str(tmp_path / "start"))
+    for i in range(1, 101):
+        table, _ = table.add(stats_of(i), few.step_size(i), 0.1, 50.0, str(tmp_path / str(i)))
+    assert table.lambda_sums() == pytest.approx(lambda_sums(table.lam()), rel=1e-9)
+
+
+def test_compensated_sums_keep_small_parts():
+    total, carry = np.array([1e16]), np.zeros(1)
+    for _ in range(1000):
+        total, carry = compensated(total, carry, np.array([1.0]))
+    assert total + carry == 1e16 + 1000
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_only_statistics_are_shuffled(spark, params, tmp_path):
+    few = replace(params, vocab_size=40, num_topics=3)
+    stats = spark.createDataFrame([(w, [1.0, 2.0, 3.0]) for w in range(0, 40, 3)], schemas.STATS)
+    table = store_rows(new_model(spark, few).lam, 4, 3, str(tmp_path / "start"))
+    for i in (1, 2):
+        assert exchanges(sum_statistics(stats, 1.0, 4)) == 1
+        table, _ = table.add(stats, 0.5, 0.1, 2.0, str(tmp_path / str(i)))
+    assert exchanges(table.lam()) == 0
+    rows = table.lam()
+    rows.collect()
+    plan = rows._jdf.queryExecution().toString()
+    assert plan.count("Bucketed: true") >= 3
+    # A condition on words reaches the files of rows and deltas.
+    some = table.lam().where("word_id < 3")._jdf.queryExecution().executedPlan().toString()
+    assert some.count("LessThan(word_id,3)") >= 3
+
+
+def test_an_iteration_writes_the_touched_rows_only(spark, corpus, params, tmp_path):
+    large = replace(params, vocab_size=200_000, broadcast_bytes=1 << 10)
+    model = trainable(new_model(spark, large), large, str(tmp_path / "start"))
+    few = corpus.limit(5)
+    new, words = update(model, few, 5, large, str(tmp_path / "one"))
+    delta = spark.read.parquet(str(tmp_path / "one" / "delta"))
+    assert delta.count() == words < 5_000
+    assert new.lam.count() == 200_000
+    size = lambda p: sum(f.stat().st_size for f in Path(p).rglob("*.parquet"))
+    assert [p.name for p in (tmp_path / "one").iterdir()] == ["delta"]
+    assert size(tmp_path / "one") < words * 8 * params.num_topics + 100_000
+
+
+def test_large_batches_are_drawn_from_the_corpus(spark, corpus, params):
+    small = replace(params, mini_batch_fraction=0.05)
+    direct, window = next_window(corpus, params, 1), next_window(corpus, small, 1)
+    assert isinstance(direct, DirectBatches) and isinstance(window, BatchWindow)
+    for batches, fraction in ((direct, 0.3), (window, 0.05)):
+        for i in (1, 3):
+            want = draw_minibatch(corpus, fraction, params.seed, i).orderBy("doc_id").collect()
+            found = batches.batch(i).orderBy("doc_id").collect()
+            assert [(r["doc_id"], r["draws"], r["word_cts"]) for r in found] == [
+                (r["doc_id"], r["draws"], r["word_cts"]) for r in want
+            ]
+            assert batches.docs.get(i, 0) == sum(r["draws"] for r in want)
+    wide = BatchWindow(corpus, 0.1, params.seed, 1, 4, 10 * 32 * 8)
+    for i in range(1, 5):
+        # As many files as lanes, so as many tasks, and no lane in two of them.
+        files = list((Path(wide.path) / f"iteration={i}").glob("*.parquet"))
+        assert 4 <= len(files) <= lanes_of(32 * 8, 8) == 8
+    window.drop()
+    wide.drop()
+    assert not Path(wide.path).exists()
+
+
 def test_prior_update(corpus, params):
     on = replace(params, max_outer_iter=3, optimize_doc_concentration=True, perplexity=False)
     model = train(corpus, on)

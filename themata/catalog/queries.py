@@ -28,6 +28,7 @@ from themata.operators.estep import e_step
 from themata.operators.kernel import InferenceSpec
 from themata.operators.mstep import m_step
 from themata.operators.sampling import draw_minibatch, heldout_draw
+from themata.operators.topictable import store_rows
 from themata.operators.topicword import (
     join_lambda,
     lambda_peaks,
@@ -414,13 +415,21 @@ def estep_stats(spark, sf_dir):
     return stats.select("word_id", *topics("s", "s", 5))
 
 
-def _updated(x: Inputs) -> DataFrame:
+def mstep_update(spark, sf_dir):
+    """One M-step as a delta to the stored table."""
+    x = inputs(spark, sf_dir)
+    path = new_folder(spark, "mstep")
+    table = store_rows(x.model.lam, 8, S.TOPICS, f"{path}/start")
     rho = query_params(x).step_size(1)
-    return m_step(x.model.lam, _stats(x), rho, S.ETA, x.num_docs, x.num_docs)
+    updated, _ = table.add(_stats(x), rho, S.ETA, 1.0, path)
+    return updated.lam().select("word_id", *topics("lambda", "l", 5))
 
 
-def mstep_update(spark, sf_dir):
-    updated = _updated(inputs(spark, sf_dir))
+def mstep_rewrite(spark, sf_dir):
+    """The same M-step with all rows written anew."""
+    x = inputs(spark, sf_dir)
+    stats = sum_by_key(_stats(x), "word_id", "s")
+    updated = m_step(x.model.lam, stats, query_params(x).step_size(1), S.ETA, 1.0)
     return updated.select("word_id", *topics("lambda", "l", 5))
 
 
@@ -646,6 +655,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "estep_blocks": estep_blocks,
     "estep_stats": estep_stats,
     "mstep_update": mstep_update,
+    "mstep_rewrite": mstep_rewrite,
     "alpha_update": alpha_update,
     "bound_topic_lgamma": bound_topic_lgamma,
     "perplexity": perplexity,

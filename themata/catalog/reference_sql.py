@@ -269,6 +269,7 @@ _ESTEP = (
     f"CAST({S.INNER_STEPS} AS INTEGER) AS steps FROM full_docs JOIN full_bound USING (doc_id)"
 )
 _TOPICS = "SELECT doc_id, topic, round(prob, 5) AS prob FROM topic_rows"
+_MSTEP = f"SELECT word_id, {_rounded('l', 5)} FROM lam_full"
 _TRAINED = f"SELECT word_id, {_rounded('l', 4)} FROM lam2"
 _DIGEST = (
     "SELECT doc_id, count(*) AS n_words, min(word_id) AS lowest, max(word_id) AS highest, "
@@ -432,9 +433,8 @@ ORACLE: dict[str, Callable[[], str]] = {
     "estep_stats": lambda: statement(
         ["full_stats"], f"SELECT word_id, {_rounded('s', 5)} FROM full_stats"
     ),
-    "mstep_update": lambda: statement(
-        ["lam_full"], f"SELECT word_id, {_rounded('l', 5)} FROM lam_full"
-    ),
+    "mstep_update": lambda: statement(["lam_full"], _MSTEP),
+    "mstep_rewrite": lambda: statement(["lam_full"], _MSTEP),
     "alpha_update": lambda: statement(
         ["full_docs"], _alpha_step("full_docs", number(S.ALPHA_WEIGHT))
     ),

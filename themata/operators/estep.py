@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from themata import schemas
 from themata.functions.special import digamma
 from themata.functions.vectors import matrix_vector, vector_matrix
-from themata.model import TopicModel
+from themata.model import TopicModel, collect_rows
 from themata.operators.kernel import (
     Documents,
     InferenceSpec,
+    TableRows,
     WordRows,
-    infer_tile,
+    infer,
     tile_bounds,
     tile_statistics,
 )
@@ -89,8 +90,7 @@ def _infer(
             batch.column(2).flatten().to_numpy(),
             words,
         )
-        for tile in docs.tiles(spec.num_topics):
-            res = infer_tile(tile, words, spec)
+        for tile, res in infer(docs, words, spec):
             if sums is not None:
                 rows, s = tile_statistics(tile, words, res)
                 sums[rows] += s
@@ -118,22 +118,18 @@ def _infer(
 
 def _broadcast_e_step(
     corpus: DataFrame,
-    lam: DataFrame,
+    rows: tuple[np.ndarray, np.ndarray],
     lambda_sum: np.ndarray,
     spec: InferenceSpec,
     want: str,
     resources: ExitStack,
 ) -> DataFrame:
-    """``lam`` is within the broadcast limit: the caller has checked its size."""
-    table = lam.select("word_id", "lambda").toArrow()
-    rows = vector_matrix(table.column("lambda")).reshape(table.num_rows, len(lambda_sum))
-    shared = corpus.sparkSession.sparkContext.broadcast(
-        (table.column("word_id").to_numpy(), digamma(rows) - digamma(lambda_sum))
-    )
+    """``rows`` are within the broadcast limit: the caller has checked their size."""
+    shared = corpus.sparkSession.sparkContext.broadcast((*rows, digamma(lambda_sum)))
     resources.callback(shared.destroy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _infer(batches, WordRows(*shared.value), spec, want)
+        yield from _infer(batches, TableRows(*shared.value), spec, want)
 
     return corpus.mapInArrow(run, SCHEMAS[want])
 
@@ -195,7 +191,7 @@ def e_step(
     resources = resources or ExitStack()
     corpus = corpus.select("doc_id", "word_ids", "word_cts")
     if model.table_bytes <= broadcast_bytes:
-        return _broadcast_e_step(corpus, model.lam, model.lambda_sum, spec, want, resources)
+        return _broadcast_e_step(corpus, model.rows(), model.lambda_sum, spec, want, resources)
 
     size = F.size("word_ids")
     pairs, widest = corpus.agg(
@@ -205,7 +201,7 @@ def e_step(
     # The corpus has at most as many distinct words as (document, word) pairs.
     if pairs * word_bytes <= broadcast_bytes:
         words = corpus.select(F.explode("word_ids").alias("word_id")).distinct()
-        found = rows_of_words(model.lam, words)
+        found = collect_rows(rows_of_words(model.lam, words), model.num_topics)
         return _broadcast_e_step(corpus, found, model.lambda_sum, spec, want, resources)
 
     limit = max(1, block_bytes // word_bytes)

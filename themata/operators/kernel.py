@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 
 from themata.functions.draws import gamma_draws
-from themata.functions.special import dirichlet_expectation, lgamma
+from themata.functions.special import digamma, dirichlet_expectation, lgamma
 
 # Fixed value: keeps the normaliser of a word away from zero.
 TINY = 1e-100
 # Documents are updated together as long as their word rows stay in cache.
 TILE_VALUES = 1 << 18
-# Settled documents are let go once fewer than this share of a tile is unsettled.
-COMPACT = 0.75
+# Documents whose tiles are regrouped together: this many values of gamma, about.
+POOL_VALUES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -66,6 +66,26 @@ class WordRows:
         return np.where(self.word_ids[at] == ids, at, -1)
 
 
+class TableRows(WordRows):
+    """The same for a whole table of sorted rows, of which a task needs those of its own words."""
+
+    def __init__(self, word_ids: np.ndarray, lam: np.ndarray, log_sums: np.ndarray):
+        self.word_ids, self.lam, self.log_sums = word_ids, lam, log_sums
+        # Rows that are not needed are not written, so they take no memory.
+        self.log_beta, self.beta = np.empty_like(lam), np.empty_like(lam)
+        self.ready = np.zeros(len(word_ids), dtype=bool)
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        rows = super().find(ids)
+        new = np.zeros(len(self.word_ids) + 1, dtype=bool)
+        new[rows] = True
+        new = np.flatnonzero(new[:-1] & ~self.ready)
+        self.log_beta[new] = digamma(self.lam[new]) - self.log_sums
+        self.beta[new] = np.exp(self.log_beta[new])
+        self.ready[new] = True
+        return rows
+
+
 @dataclass
 class Documents:
     """Documents with at least one modelled word: flat words with document starts."""
@@ -85,18 +105,19 @@ class Documents:
         starts = np.r_[0, np.cumsum(size[present])]
         return cls(doc_ids[present], starts, rows[known], counts[known])
 
-    def tiles(self, num_topics: int):
-        """Groups of documents of similar length whose word rows fill about one tile."""
-        size = np.diff(self.starts)
+    def tiles(self, members: np.ndarray, num_topics: int) -> Iterator[np.ndarray]:
+        """Groups of the given documents of similar length whose word rows fill about one tile."""
+        size = self.starts[members + 1] - self.starts[members]
         order = np.argsort(size, kind="stable")
-        ordered = size[order]
+        ordered, members = size[order], members[order]
         lo = 0
-        while lo < len(order):
+        while lo < len(members):
             # Padded to the longest, the last one, the group has n * length rows.
-            n = np.arange(1, len(order) - lo + 1)
-            fits = n * ordered[lo:] * num_topics <= TILE_VALUES
+            most = max(1, TILE_VALUES // int(ordered[lo] * num_topics))
+            near = ordered[lo : lo + most]
+            fits = np.arange(1, len(near) + 1) * near * num_topics <= TILE_VALUES
             hi = lo + max(1, int(np.count_nonzero(fits)))
-            yield Tile.of(self, order[lo:hi])
+            yield members[lo:hi]
             lo = hi
 
 
@@ -126,41 +147,75 @@ class TileResult:
     theta: np.ndarray
     steps: np.ndarray
 
+    def of(self, at: np.ndarray) -> TileResult:
+        return TileResult(self.gamma[at], self.theta[at], self.steps[at])
+
 
 def word_norms(beta: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return np.matmul(beta, theta[:, :, None])[:, :, 0] + TINY
 
 
-def infer_tile(tile: Tile, words: WordRows, spec: InferenceSpec) -> TileResult:
-    """Update gamma of the documents until each has settled."""
-    gamma = spec.start(tile.doc_ids)
-    theta = np.exp(dirichlet_expectation(gamma))
-    steps = np.zeros(len(gamma), dtype=np.int32)
-    # Documents still held, and which of them have not settled.
-    held, going = np.arange(len(gamma)), np.ones(len(gamma), dtype=bool)
+def infer(
+    docs: Documents, words: WordRows, spec: InferenceSpec
+) -> Iterator[tuple[Tile, TileResult]]:
+    """Update gamma of all documents until each has settled, tile by tile."""
+    step = max(1, POOL_VALUES // spec.num_topics)
+    for first in range(0, len(docs.doc_ids), step):
+        members = np.arange(first, min(first + step, len(docs.doc_ids)))
+        yield from _infer_pool(docs, members, words, spec)
+
+
+def _infer_pool(
+    docs: Documents, members: np.ndarray, words: WordRows, spec: InferenceSpec
+) -> Iterator[tuple[Tile, TileResult]]:
+    """Documents take very different numbers of steps. A tile is left once half of its documents have
+    settled, and the others of all tiles form new ones, so a step is always one of a full tile as
+    long as enough documents are open."""
+    first = members[0]
+    gamma = spec.start(docs.doc_ids[members])
+    res = TileResult(gamma, np.exp(dirichlet_expectation(gamma)), np.zeros(len(gamma), np.int32))
+    unsettled = members
+    while len(unsettled):
+        left = []
+        for at in docs.tiles(unsettled, spec.num_topics):
+            open_ = _advance(Tile.of(docs, at), res, at - first, words, spec)
+            left.append(at[open_])
+        unsettled = np.concatenate(left)
+    for at in docs.tiles(members, spec.num_topics):
+        yield Tile.of(docs, at), res.of(at - first)
+
+
+def _advance(
+    tile: Tile, res: TileResult, at: np.ndarray, words: WordRows, spec: InferenceSpec
+) -> np.ndarray:
+    """Steps of the documents ``at`` until half of them have settled: which ones have not."""
     beta, counts = words.beta[tile.rows], tile.counts
-    for _ in spec.steps():
-        ratio = counts / word_norms(beta, theta[held])
+    gamma, theta, steps = res.gamma[at], res.theta[at], res.steps[at]
+    going = np.ones(len(at), dtype=bool)
+    while True:
+        ratio = counts / word_norms(beta, theta)
         weight = np.matmul(ratio[:, None, :], beta)[:, 0, :]
-        at = held[going]
-        new = theta[at] * weight[going] + spec.alpha
-        if not np.isfinite(new).all():
-            bad = tile.doc_ids[at[~np.isfinite(new).all(axis=1)]][0]
+        # Settled documents stay as they are.
+        new = theta * weight + spec.alpha
+        if not np.isfinite(new[going]).all():
+            bad = tile.doc_ids[going & ~np.isfinite(new).all(axis=1)][0]
             raise FloatingPointError(
                 f"gamma is not finite in document {bad}; check lambda, alpha and its counts"
             )
-        moved = np.abs(new - gamma[at]).mean(axis=1)
-        gamma[at] = new
-        theta[at] = np.exp(dirichlet_expectation(new))
-        steps[at] += 1
-        going[going] = moved >= spec.threshold
-        left = np.count_nonzero(going)
-        if not left:
+        moved = np.abs(new - gamma).mean(axis=1)
+        if going.all():
+            gamma, theta = new, np.exp(dirichlet_expectation(new))
+        else:
+            gamma[going] = new[going]
+            theta[going] = np.exp(dirichlet_expectation(new[going]))
+        steps += going
+        going &= moved >= spec.threshold
+        if spec.max_steps is not None:
+            going &= steps < spec.max_steps
+        if 2 * np.count_nonzero(going) <= len(going):
             break
-        if left < COMPACT * len(held):
-            held, beta, counts = held[going], beta[going], counts[going]
-            going = np.ones(left, dtype=bool)
-    return TileResult(gamma, theta, steps)
+    res.gamma[at], res.theta[at], res.steps[at] = gamma, theta, steps
+    return going
 
 
 def tile_statistics(tile: Tile, words: WordRows, res: TileResult):

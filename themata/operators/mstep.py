@@ -1,62 +1,24 @@
-"""The M-step: decay every topic-word row and add the statistics of touched words."""
+"""The M-step as one expression: decay every topic-word row and add the statistics of its word.
 
-from __future__ import annotations
+Training adds deltas instead (``topictable.py``); this is the form that rewrites all rows.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themata.functions.vectors import matrix_vector, sum_runs, vector_matrix
-
-UPDATED = "word_id BIGINT, lambda ARRAY<DOUBLE>, touched DOUBLE"
-
 
-def m_step(
-    lam: DataFrame,
-    stats: DataFrame,
-    rho: float,
-    eta: float,
-    total_docs: int,
-    batch_docs: int,
-) -> DataFrame:
-    """``(word_id, lambda, touched)`` after one step.
+def m_step(lam: DataFrame, stats: DataFrame, rho: float, eta: float, ratio: float) -> DataFrame:
+    """``(word_id, lambda)`` after one step, from one row of summed statistics per touched word.
 
-    ``stats`` may hold several rows per word. Old rows and statistics meet in one
-    shuffle by word: the sort puts the rows of a word next to each other, and the
-    stream sums ``(1 - rho) lambda`` and ``rho D / |mb| s``. Words without a row in
-    ``lam`` are dropped, as in a left join from ``lam``.
+    ``ratio`` is D / |mb|. Words without a row in ``lam`` are dropped.
     """
-    scale = rho * total_docs / batch_docs
-
-    def blocks(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            if batch.num_rows:
-                old = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-                factor = np.where(old == 1.0, 1.0 - rho, scale)
-                rows = vector_matrix(batch.column(2)) * factor[:, None]
-                yield batch.column(0).to_numpy(), np.column_stack([rows, old, 1.0 - old])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sums in sum_runs(blocks(batches)):
-            known = sums[:, -2] > 0
-            if known.any():
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys[known], pa.int64()),
-                        matrix_vector(sums[known, :-2] + rho * eta),
-                        pa.array((sums[known, -1] > 0).astype(float)),
-                    ],
-                    names=["word_id", "lambda", "touched"],
-                )
-
-    old = lam.select("word_id", F.lit(True).alias("old"), F.col("lambda").alias("v"))
-    new = stats.select("word_id", F.lit(False).alias("old"), F.col("s").alias("v"))
-    return (
-        old.unionByName(new)
-        .repartition("word_id")
-        .sortWithinPartitions("word_id")
-        .mapInArrow(merge, UPDATED)
+    decay, floor, gain = F.lit(1.0 - rho), F.lit(rho * eta), F.lit(rho * ratio)
+    untouched = F.transform("lambda", lambda v: decay * v + floor)
+    touched = F.zip_with("lambda", "s", lambda v, s: decay * v + floor + gain * s)
+    joined = lam.select("word_id", "lambda").join(
+        stats.select("word_id", "s").hint("merge"), "word_id", "left"
     )
+    new = F.when(F.col("s").isNull(), untouched).otherwise(touched)
+    return joined.select("word_id", new.alias("lambda"))

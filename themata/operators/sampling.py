@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from themata.functions.draws import poisson_thresholds, uniform_col
 from themata.functions.vectors import against
-from themata.storage import new_folder
+from themata.storage import drop_table, new_folder, spread
 
 # Documents of a batch that one file, and so one task, holds at least and at most, about.
 DOCS_PER_TASK = 32
@@ -73,14 +73,18 @@ class BatchWindow:
         self.last = last
         cores = self.spark.sparkContext.defaultParallelism
         lanes = lanes_of(docs * fraction, cores)
+        tasks = max(lanes, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         batches = draw_minibatches(
             corpus.select("doc_id", "word_ids", "word_cts"), fraction, seed, first, last
         )
         self.schema = batches.schema
+        # The lanes of an iteration are different tasks, so a batch has a file for each of them.
+        lane = F.pmod(F.xxhash64("doc_id"), F.lit(lanes))
+        task = F.pmod(lane + F.col("iteration") * F.lit(lanes), F.lit(tasks)).cast("int")
         (
-            batches.withColumn("_lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
-            .repartition("iteration", "_lane")
-            .drop("_lane")
+            batches.withColumn("_task", task)
+            .repartitionById(tasks, "_task")
+            .drop("_task")
             .write.partitionBy("iteration")
             .parquet(self.path)
         )
@@ -99,6 +103,34 @@ class BatchWindow:
     def batch(self, iteration: int) -> DataFrame:
         return self._table().where(F.col("iteration") == iteration).drop("iteration")
 
+    def drop(self) -> None:
+        drop_table(self.spark, self.path)
+
+
+class DirectBatches:
+    """Batches that are a large share of the corpus: each is drawn while the corpus is read.
+
+    Nothing is written or shuffled. Only the numbers of draws are counted beforehand, for all
+    iterations in one scan of the document ids.
+    """
+
+    #: From this fraction on, reading the corpus costs less than writing and reading a window.
+    LEAST_FRACTION = 1 / 8
+
+    def __init__(self, corpus: DataFrame, fraction: float, seed: int, first: int, last: int):
+        self.corpus = spread(corpus.select("doc_id", "word_ids", "word_cts"))
+        self.fraction, self.seed, self.last = fraction, seed, last
+        bare = corpus.select("doc_id", F.array().cast("array<double>").alias("word_cts"))
+        drawn = draw_minibatches(bare, fraction, seed, first, last)
+        sizes = drawn.groupBy("iteration").agg(F.sum("draws").alias("n")).collect()
+        self.docs = {row["iteration"]: row["n"] for row in sizes}
+
+    def batch(self, iteration: int) -> DataFrame:
+        return draw_minibatch(self.corpus, self.fraction, self.seed, iteration)
+
+    def drop(self) -> None:
+        """Nothing was written."""
+
 
 def heldout_draw(corpus: DataFrame, n: int, seed: int) -> DataFrame:
     """The ``n`` documents that come first in a seeded random order of the ids."""

@@ -8,20 +8,24 @@ from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from themata.functions.vectors import folded_vector
 from themata.model import TopicModel
 from themata.operators.alpha import update_alpha
 from themata.operators.bound import log_perplexity
 from themata.operators.estep import e_step
 from themata.operators.kernel import InferenceSpec
-from themata.operators.mstep import m_step
-from themata.operators.sampling import BatchWindow
+from themata.operators.sampling import BatchWindow, DirectBatches
+from themata.operators.topictable import store_rows
 from themata.operators.topicword import lambda_sums, peak_median, start_lambda, word_range
 from themata.params import TopicParams
 from themata.sources.metrics import append_metrics
-from themata.sources.models import load_model, read_lambda, save_lambda, save_model
+from themata.sources.models import (
+    load_model,
+    read_lambda,
+    save_lambda,
+    save_model,
+    stored_lambda,
+)
 from themata.storage import drop_table, new_folder, write_table
 
 # Iterations whose metrics are appended as one file.
@@ -79,13 +83,30 @@ def _sizes(params: TopicParams) -> dict[str, int]:
     return {"broadcast_bytes": params.broadcast_bytes, "block_bytes": params.block_bytes}
 
 
+def trainable(model: TopicModel, params: TopicParams, path: str) -> TopicModel:
+    """The model with its table in buckets, written to ``path`` unless it has them already.
+
+    A table within the broadcast limit is held on the driver as well.
+    """
+    table, limit = model.table, params.broadcast_bytes
+    if table is None:
+        held = limit if model.table_bytes <= limit else 0
+        table = store_rows(model.lam, params.partitions, model.num_topics, path, held)
+    else:
+        # What another run has written stays.
+        table = replace(table, paths=()).hold(model.num_topics, limit)
+    return replace(model, lam=table.lam(), table=table, lambda_sum=table.lambda_sums())
+
+
 def update(
     model: TopicModel, batch: DataFrame, batch_docs: int, params: TopicParams, path: str
 ) -> tuple[TopicModel, int]:
-    """One iteration on a drawn batch: the new model, its table at ``path``, and the
+    """One iteration on a drawn batch: the new model, with what it writes under ``path``, and the
     number of modelled words in the batch."""
     iteration = model.num_updates + 1
     rho = params.step_size(iteration)
+    if model.table is None:
+        model = trainable(model, params, f"{path}/start")
     spec = inference_spec(model, params, iteration)
     want = "both" if params.optimize_doc_concentration else "stats"
     alpha = model.alpha
@@ -97,28 +118,29 @@ def update(
             result = write_table(result, folder)
             alpha = update_alpha(alpha, result.where("doc_id IS NOT NULL"), rho)
             result = result.where("word_id IS NOT NULL")
-        updated = write_table(
-            m_step(model.lam, result, rho, model.eta, model.total_docs, batch_docs), path
+        table, words = model.table.add(
+            result, rho, model.eta, model.total_docs / batch_docs, path
         )
-    # One scan gives the topic sums and, as a last value, the touched words.
-    sums = folded_vector(
-        updated.select(F.concat("lambda", F.array("touched")).alias("v")), "v", "sum"
-    )
     new = replace(
         model,
-        lam=updated.select("word_id", "lambda"),
+        lam=table.lam(),
         alpha=alpha,
         num_updates=iteration,
-        lambda_sum=sums[:-1],
+        lambda_sum=table.lambda_sums(),
         source=None,
+        table=table,
     )
-    return new, round(float(sums[-1]))
+    return new, words
 
 
-def next_window(corpus: DataFrame, params: TopicParams, first: int) -> BatchWindow:
+def next_window(
+    corpus: DataFrame, params: TopicParams, first: int
+) -> BatchWindow | DirectBatches:
     fraction = params.mini_batch_fraction
     last = first + BatchWindow.size(fraction, params.batches_per_scan) - 1
     last = min(last, params.max_outer_iter)
+    if fraction >= DirectBatches.LEAST_FRACTION:
+        return DirectBatches(corpus, fraction, params.seed, first, last)
     return BatchWindow(corpus, fraction, params.seed, first, last, params.total_docs)
 
 
@@ -131,9 +153,10 @@ def train(
 ) -> TopicModel:
     """Train for ``max_outer_iter`` iterations in all, and save the model under ``root``.
 
-    ``corpus`` should be a stored table: it is scanned once per window of batches.
-    The topic-word table of each iteration is written to the shared folder, which
-    ends its lineage; the version before the last is removed again.
+    ``corpus`` should be a stored table: it is scanned once per window of batches, or once per
+    iteration if those are a large share of it. An iteration writes the rows of the words that its
+    batch touches to the shared folder, which ends their lineage; what is merged or saved since is
+    removed again.
     """
     spark = corpus.sparkSession
     if model is None:
@@ -141,18 +164,29 @@ def train(
     work = new_folder(spark, "train")
     with ExitStack() as resources:
         # Whatever ends the loop, its last window goes.
-        windows: list[BatchWindow] = []
-        resources.callback(lambda: [drop_table(spark, w.path) for w in windows])
-        model, used, log = _iterate(corpus, params, root, heldout, model, work, windows)
+        windows: list[BatchWindow | DirectBatches] = []
+        resources.callback(lambda: [w.drop() for w in windows])
+        model, log = _iterate(corpus, params, root, heldout, model, work, windows)
     if root:
         append_metrics(spark, f"{root}/metrics", log)
-        model = save_model(model, root)
-        if used:
-            model = replace(model, lam=read_lambda(spark, f"{model.source}/lambda"))
-            drop_table(spark, used)
+        model = _saved(model, root)
     return model
 
 
+def _saved(model: TopicModel, root: str) -> TopicModel:
+    """The model saved under ``root``, with that save as its table; deltas go."""
+    spark = model.lam.sparkSession
+    model = save_model(model, root)
+    old = model.table
+    if old is None:
+        return model
+    lam, table = stored_lambda(spark, model.source, old.buckets, model.num_words, model.lambda_sum)
+    for path in old.paths:
+        drop_table(spark, path)
+    held = old.held_lambda() if old.held is not None else None
+    return replace(model, lam=lam, table=replace(table, held=held))
+
+
 def _iterate(
     corpus: DataFrame,
     params: TopicParams,
@@ -160,31 +194,28 @@ def _iterate(
     heldout: DataFrame | None,
     model: TopicModel,
     work: str,
-    windows: list[BatchWindow],
-) -> tuple[TopicModel, str | None, list[tuple[int, str, float]]]:
-    """The iterations of ``train``: the model, the folder of its table, and metrics not yet written.
+    windows: list[BatchWindow | DirectBatches],
+) -> tuple[TopicModel, list[tuple[int, str, float]]]:
+    """The iterations of ``train``: the model and metrics not yet written.
 
     ``windows`` holds the window of batches in use, if any.
     """
     spark = corpus.sparkSession
     log: list[tuple[int, str, float]] = []
-    used: str | None = None
+    if model.num_updates < params.max_outer_iter:
+        model = trainable(model, params, f"{work}/start")
     while model.num_updates < params.max_outer_iter:
         began = time.monotonic()
         iteration = model.num_updates + 1
         if not windows or iteration > windows[0].last:
             if windows:
-                drop_table(spark, windows.pop().path)
+                windows.pop().drop()
             windows.append(next_window(corpus, params, iteration))
         window = windows[0]
-        batch = window.batch(iteration)
         batch_docs = window.docs.get(iteration, 0)
         if batch_docs:
-            path = f"{work}/lambda-{iteration}"
-            model, words = update(model, batch, batch_docs, params, path)
-            if used:
-                drop_table(spark, used)
-            used = path
+            batch = window.batch(iteration)
+            model, words = update(model, batch, batch_docs, params, f"{work}/{iteration}")
         else:
             model, words = replace(model, num_updates=iteration, source=None), 0
         if (
@@ -195,7 +226,7 @@ def _iterate(
             value = evaluate(heldout, model, params).value
             log.append((iteration, "log_perplexity", value))
         if root and iteration % params.check_point_freq == 0:
-            model = save_model(model, root)
+            model = _saved(model, root)
             log.append((iteration, "peak_median", peak_median(model.lam).first()[0]))
         log.append((iteration, "batch_docs", batch_docs))
         log.append((iteration, "batch_words", words))
@@ -204,7 +235,7 @@ def _iterate(
         if root and (len(log) >= METRIC_ROWS or iteration % params.check_point_freq == 0):
             append_metrics(spark, f"{root}/metrics", log)
             log = []
-    return model, used, log
+    return model, log
 
 
 def evaluate(heldout: DataFrame, model: TopicModel, params: TopicParams):

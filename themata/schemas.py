@@ -17,6 +17,7 @@ DOC_TOPIC = "doc_id BIGINT, topic_idx ARRAY<INT>, prob ARRAY<DOUBLE>"
 DOC_WORD = "doc_id BIGINT, word_ids ARRAY<BIGINT>, probs ARRAY<DOUBLE>"
 MODEL_META = (
     "alpha ARRAY<DOUBLE>, eta DOUBLE, num_updates INT, num_topics INT, "
-    "total_docs BIGINT, num_words BIGINT, lambda_sum ARRAY<DOUBLE>"
+    "total_docs BIGINT, num_words BIGINT, lambda_sum ARRAY<DOUBLE>, "
+    "buckets INT"
 )
 METRICS = "iter INT, metric STRING, value DOUBLE"

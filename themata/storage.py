@@ -45,6 +45,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return write_table(df, new_folder(df.sparkSession, label))
 
 
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` in a fixed number of buckets by ``key`` and return it read back.
+
+    Joins and sums by ``key`` of tables with the same buckets shuffle none of them.
+    """
+    name = f"themata_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, key)
+        .sortWithinPartitions(key)
+        .write.bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return read_buckets(df.sparkSession, path, columns, key, buckets)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """A table of ``write_buckets``; ``schema`` is DDL.
+
+    Only the catalog can tell Spark about buckets. The entry points to files outside of the
+    warehouse and is needed while the frame is made, so none is left behind.
+    """
+    name = f"themata_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+        f"INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a table that a run wrote itself and no longer needs."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
