@@ -10,10 +10,11 @@ from themata.functions.draws import gamma_draws
 from themata.functions.vectors import sum_by_key
 from themata.model import TopicModel
 from themata.operators import distributions, sampling
-from themata.operators.distributions import word_distributions
+from themata.operators.distributions import word_distributions, word_visits
 from themata.operators.estep import e_step
 from themata.operators.kernel import InferenceSpec
 from themata.operators.topicword import start_lambda, word_range
+from themata.operators.wordsearch import lane_size, lanes_of_documents
 from themata.params import TopicParams
 from themata.plans.score import score_topics, score_words
 from themata.plans.train import model_of
@@ -237,6 +238,66 @@ def test_chunks_keep_documents_without_words(spark):
                 assert a["probs"] == pytest.approx(b["probs"])
 
 
+def random_documents(draw, topics, n):
+    """Sparse documents, half of them of one topic, some of all."""
+    rows = []
+    for d in range(n):
+        size = 1 if d % 2 else draw.integers(1, topics + 1)
+        chosen = np.sort(draw.choice(topics, size, replace=False) if d % 2 == 0 else [d % 3 // 2])
+        share = draw.dirichlet(np.full(size, 0.5))
+        rows.append((d, chosen.tolist(), share.tolist()))
+    return rows
+
+
+@pytest.mark.parametrize("topics_held", [0, 2, 7, 12])
+def test_threshold_search_finds_all_words(spark, topics_held):
+    draw = np.random.default_rng(8)
+    topics, words = 12, 700
+    lam = draw.gamma(0.05, 1.0, (words, topics)) + 1e-3
+    table = spark.createDataFrame(
+        [(int(w), row.tolist()) for w, row in enumerate(lam)], schemas.LAMBDA
+    )
+    params = TopicParams(
+        eta=0.1, mini_batch_fraction=0.5, num_topics=topics, vocab_size=words, total_docs=1
+    )
+    model = model_of(table, params)
+    rows = random_documents(draw, topics, 300) + [(300, [], []), (301, [4], [0.0])]
+    docs = spark.createDataFrame(rows, schemas.DOC_TOPIC).repartition(3)
+    beta = lam / lam.sum(axis=0)
+    found = {r["doc_id"]: r for r in word_distributions(docs, model, 1, 8 * words * topics_held).collect()}
+    assert sorted(found) == list(range(302))
+    for d, k, theta in rows:
+        p = beta[:, k] @ np.array(theta) if k else np.zeros(words)
+        want = np.flatnonzero((p >= 1 / words) & (p > 0))
+        assert found[d]["word_ids"] == want.tolist()
+        assert found[d]["probs"] == pytest.approx(p[want] / max(p[want].sum(), 1e-300))
+    if topics_held == 12:
+        visits = {r["doc_id"]: r for r in word_visits(docs, model, 8 * words * topics_held).collect()}
+        for d, k, theta in rows:
+            assert visits[d]["kept"] == len(found[d]["word_ids"]) <= visits[d]["visited"]
+            if len(k) == 1:
+                assert visits[d]["visited"] == visits[d]["kept"]
+        # Far fewer pairs than documents times words.
+        assert sum(r["visited"] for r in visits.values()) < 0.5 * len(rows) * words
+
+
+def test_lanes_hold_a_bounded_number_of_topics(spark):
+    draw = np.random.default_rng(9)
+    rows = random_documents(draw, 12, 400)
+    docs = spark.createDataFrame(rows, schemas.DOC_TOPIC)
+    laned = lanes_of_documents(docs, 4, 5, 30).collect()
+    by_lane = {}
+    for r in laned:
+        by_lane.setdefault(r["lane"], []).append(r["topic_idx"])
+    assert len(laned) == 400
+    assert all(len(k) > 5 for k in by_lane.pop(-1))
+    for topics in by_lane.values():
+        assert len(topics) <= 30 and len(set().union(*topics)) <= 5
+    # The topic that a third of the documents have is in many lanes.
+    assert sum([1] in topics for topics in by_lane.values()) >= 2
+    assert lane_size(10, 5) == lane_size(10**6, 1) < lane_size(10**9, 3000)
+
+
 def test_tasks_grow_with_documents():
     assert distributions.lanes_of(10, 4, 200) == 50
     assert distributions.lanes_of(10**9, 400, 200) > 10_000

@@ -23,7 +23,12 @@ from themata.functions.vectors import (
 from themata.model import TopicModel
 from themata.operators.alpha import update_alpha
 from themata.operators.bound import count_tokens, log_perplexity, topic_bound
-from themata.operators.distributions import sparse_topics, topic_cells, word_distributions
+from themata.operators.distributions import (
+    sparse_topics,
+    topic_cells,
+    word_distributions,
+    word_visits,
+)
 from themata.operators.estep import e_step
 from themata.operators.kernel import InferenceSpec
 from themata.operators.mstep import m_step
@@ -611,6 +616,26 @@ def doc_word_chunks(spark, sf_dir):
     return _word_digest(words)
 
 
+def _search_bytes(x: Inputs) -> int:
+    """Room for the words of three of the four topics."""
+    return 8 * S.SEARCH_TOPICS * x.model.num_words
+
+
+def doc_word_search(spark, sf_dir):
+    """The same by threshold search; documents of all topics go past the chunks."""
+    x = inputs(spark, sf_dir)
+    doc_topic = materialise(_doc_topic(x), "doc-topic")
+    return _word_digest(word_distributions(doc_topic, x.model, 1 << 10, _search_bytes(x)))
+
+
+def doc_word_visits(spark, sf_dir):
+    """Words that the threshold search visits for each document, and those it keeps."""
+    x = inputs(spark, sf_dir)
+    doc_topic = materialise(_doc_topic(x), "doc-topic")
+    few = doc_topic.where(F.size("topic_idx") <= S.SEARCH_TOPICS)
+    return word_visits(few, x.model, _search_bytes(x))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train a small model on the documents and score them with it."""
     x = inputs(spark, sf_dir)
@@ -670,6 +695,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_topic_scores": doc_topic_scores,
     "doc_word_dist": doc_word_dist,
     "doc_word_chunks": doc_word_chunks,
+    "doc_word_search": doc_word_search,
+    "doc_word_visits": doc_word_visits,
     "doc_topic_public": doc_topic_public,
     "doc_word_cell": doc_word_cell,
 }

@@ -276,6 +276,16 @@ _DIGEST = (
     "round(max(p), 9) AS top_prob, round(sum(p * (word_id % 1000)), 4) AS weighted "
     "FROM word_probs GROUP BY doc_id"
 )
+# Words that one of a document's topics gives a share of 1 / (V mass).
+_VISITS = (
+    "SELECT doc_id, CAST(sum(CAST(p >= 1e0 / v AS INTEGER)) AS BIGINT) AS kept, "
+    "CAST(sum(CAST(share * (1e0 + 1e-9) >= 1e0 / (v * mass) AS INTEGER)) AS BIGINT) AS visited FROM "
+    f"(SELECT doc_id, v, {each('coalesce(p#, 0e0) * l# / t#', ' + ')} AS p, "
+    f"greatest({each('CASE WHEN p# > 0 THEN l# / t# END')}) AS share, "
+    f"{each('coalesce(p#, 0e0)', ' + ')} AS mass, {each('CAST(p# IS NOT NULL AS INTEGER)', ' + ')} AS n "
+    f"FROM kept CROSS JOIN lam CROSS JOIN full_sums CROSS JOIN sizes) WHERE n <= {S.SEARCH_TOPICS} "
+    "GROUP BY doc_id"
+)
 _DAMAGE = (
     "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN replace(doc, ',', '') WHEN 1 THEN 'x' || doc "
     "WHEN 2 THEN split_part(doc, ',', 1) || ',' WHEN 3 THEN replace(doc, ',', ',NaN:') "
@@ -467,6 +477,8 @@ ORACLE: dict[str, Callable[[], str]] = {
     "doc_topic_cell": lambda: statement(["topic_rows"], _TOPICS),
     "doc_word_dist": lambda: statement(["word_probs"], _DIGEST),
     "doc_word_chunks": lambda: statement(["word_probs"], _DIGEST),
+    "doc_word_search": lambda: statement(["word_probs"], _DIGEST),
+    "doc_word_visits": lambda: statement(["kept", "lam", "full_sums", "sizes"], _VISITS),
     "doc_topic_public": lambda: statement(["topic_rows"], _TOPICS),
     "doc_word_cell": lambda: statement(["word_probs"], _DIGEST),
 }

@@ -15,6 +15,8 @@ LOWEST_WORD = 100
 BATCH_SIZE = 50
 TRAIN_ITERATIONS = 2
 ALPHA_WEIGHT = 0.5
+# Topics whose words a task may hold in the threshold search.
+SEARCH_TOPICS = 3
 
 # Start table of the queries: lambda = 1 + ((31 word + 17 topic + frequency) mod 97) / 128, with the
 # frequency of the word in the documents. The values are dyadic, so their sums are exact in any order.
