@@ -21,6 +21,16 @@ def add_corpus(parser: argparse.ArgumentParser) -> None:
     parser.add_argument("--quarantine", help="folder for malformed cells")
 
 
+def add_sizes(parser: argparse.ArgumentParser) -> None:
+    parser.add_argument("--broadcast-bytes", type=int, help="largest table that is broadcast")
+    parser.add_argument("--block-bytes", type=int, help="rows of a larger table in one task")
+
+
+def sizes(args: argparse.Namespace, *names: str) -> dict[str, int]:
+    """The given sizes, without those that are not set."""
+    return {n: getattr(args, n) for n in names if getattr(args, n) is not None}
+
+
 def load_corpus(
     spark: SparkSession, path: str, form: str, partitions: int | None, quarantine: str | None
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parents[1])]
 
+from common import sizes  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 from themata.plans.score import score_words  # noqa: E402
@@ -27,14 +28,17 @@ def main(argv: list[str] | None = None) -> None:
     )
     parser.add_argument("--model", required=True)
     parser.add_argument("--out", required=True)
+    parser.add_argument("--broadcast-bytes", type=int, help="largest table that is broadcast")
+    parser.add_argument("--chunk-bytes", type=int, help="rows of a larger table in one task")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("document-words").getOrCreate()
     ship_package(spark)
     scored = spark.read.parquet(args.topics)
     topics = topic_distributions(scored.select("doc_id", "cell")) if args.from_cells else scored
-    score_words(topics.select("doc_id", "topic_idx", "prob"), load_model(spark, args.model)).write.mode(
-        "overwrite"
-    ).parquet(args.out)
+    model = load_model(spark, args.model)
+    limits = sizes(args, "broadcast_bytes", "chunk_bytes")
+    scored = score_words(topics.select("doc_id", "topic_idx", "prob"), model, **limits)
+    scored.write.mode("overwrite").parquet(args.out)
 
 
 if __name__ == "__main__":

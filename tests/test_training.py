@@ -28,6 +28,7 @@ from themata.plans.train import (
     update,
 )
 from themata.sources import corpus as C
+from themata.sources.heldout import split_heldout
 from themata.sources.metrics import read_metrics
 from themata.sources.models import load_model, save_lambda, save_model, saved_versions
 from themata.storage import materialise, new_folder
@@ -436,3 +437,35 @@ def test_command_lines(spark, corpus, params, tmp_path, monkeypatch):
     doc_words.main(["--topics", topics, "--model", model, "--out", words, "--from-cells"])
     assert spark.read.parquet(words).count() == spark.read.parquet(topics).count()
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 0
+
+
+def test_a_stored_split_is_kept(spark, corpus, tmp_path):
+    path = str(tmp_path / "model" / "heldout")
+    training, held = split_heldout(corpus, path, 20, 5)
+    again, same_held = split_heldout(corpus, path, 50, 6)
+    ids = lambda frame: sorted(r["doc_id"] for r in frame.select("doc_id").collect())
+    assert len(ids(held)) == 20 and ids(held) == ids(same_held)
+    assert ids(training) == ids(again) == sorted(set(ids(corpus)) - set(ids(held)))
+    other, _ = split_heldout(corpus, str(tmp_path / "other"), 20, 6)
+    assert ids(other) != ids(training)
+
+
+def test_training_options_of_the_command_line(monkeypatch):
+    monkeypatch.syspath_prepend(str(Path(__file__).resolve().parents[1] / "apps"))
+    sys.modules.pop("train", None)
+    import train as train_app
+
+    base = ["--corpus", "c", "--model", "m", "--topics", "2", "--total-docs", "10", "--vocab-size", "5"]
+    base += ["--mini-batch", "5", "--eta", "0.1"]
+    usual = train_app.parameters(train_app.parse(base))
+    assert usual == TopicParams(eta=0.1, mini_batch_fraction=0.5, vocab_size=5, num_topics=2, total_docs=10)
+    more = [
+        "--alpha", "0.1", "0.4", "--threshold", "0.01", "--max-inner-iter", "7", "--update-alpha", "true",
+        "--lambda-start", "gamma", "--broadcast-bytes", "100", "--block-bytes", "200",
+    ]
+    params = train_app.parameters(train_app.parse(base + more))
+    assert params.alpha == (0.1, 0.4) and params.convergence_threshold == 0.01
+    assert params.max_inner_iter == 7 and params.optimize_doc_concentration
+    assert (params.broadcast_bytes, params.block_bytes) == (100, 200)
+    with pytest.raises(SystemExit):
+        train_app.parse([*base, "--heldout", "h", "--heldout-docs", "3"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +31,19 @@ from themata.operators.distributions import (
     word_distributions,
     word_visits,
 )
-from themata.operators.estep import e_step
+from themata.operators.estep import e_step, start_gamma
 from themata.operators.kernel import InferenceSpec
 from themata.operators.mstep import m_step
-from themata.operators.sampling import draw_minibatch, heldout_draw
+from themata.operators.sampling import (
+    batch_size,
+    batch_words,
+    count_words,
+    draw_minibatch,
+    heldout_draw,
+)
 from themata.operators.topictable import store_rows
 from themata.operators.topicword import (
+    document_rows,
     join_lambda,
     lambda_peaks,
     peak_median,
@@ -47,9 +56,11 @@ from themata.plans.score import score_topics, score_words
 from themata.plans.train import inference_spec, model_of, new_model, resume_training, train
 from themata.session import ship_package
 from themata.sources import corpus as C
+from themata.sources.heldout import split_heldout
 from themata.sources.metrics import read_metrics
 from themata.sources.models import load_model, read_lambda, save_lambda, save_model
 from themata.storage import materialise, new_folder, spread
+from themata.streaming.scoring import read_cells, score_stream
 
 
 @dataclass
@@ -228,6 +239,18 @@ def heldout(spark, sf_dir):
     return drawn.select("doc_id", F.size("word_ids").cast("bigint").alias("n_words"))
 
 
+def heldout_split(spark, sf_dir):
+    """The stored split, asked for twice: training and held-out documents."""
+    x = inputs(spark, sf_dir)
+    path = f"{new_folder(spark, 'split')}/heldout"
+    split_heldout(x.corpus, path, S.HELDOUT_DOCS, S.SEED)
+    training, held = split_heldout(x.corpus, path, 2 * S.HELDOUT_DOCS, S.SEED + 1)
+    n_words = F.size("word_ids").cast("bigint").alias("n_words")
+    parts = [part.select("doc_id", n_words, F.lit(out).alias("heldout")) for part, out in
+             ((training, False), (held, True))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def explode_docs(spark, sf_dir):
     return long_bow(inputs(spark, sf_dir))
 
@@ -248,30 +271,16 @@ def minibatch_sample(spark, sf_dir):
 
 
 def batch_size_merge(spark, sf_dir):
-    batch = _batch(inputs(spark, sf_dir))
-    tokens = F.aggregate("word_cts", F.lit(0.0), lambda a, b: a + b)
-    return batch.agg(
-        F.count("*").alias("documents"),
-        F.sum("draws").alias("batch_size"),
-        F.sum(tokens).alias("tokens"),
-    )
-
-
-def _batch_words(x: Inputs) -> DataFrame:
-    return _batch(x).select(F.explode("word_ids").alias("word_id")).distinct()
+    return batch_size(_batch(inputs(spark, sf_dir)))
 
 
 def batch_word_count(spark, sf_dir):
-    words = _batch_words(inputs(spark, sf_dir))
-    return words.agg(
-        F.count("*").alias("words"),
-        F.count(F.when(F.col("word_id") >= S.LOWEST_WORD, 1)).alias("modelled"),
-    )
+    return count_words(_batch(inputs(spark, sf_dir)), S.LOWEST_WORD)
 
 
 def lambda_semi(spark, sf_dir):
     x = inputs(spark, sf_dir)
-    found = rows_of_words(x.model.lam, _batch_words(x))
+    found = rows_of_words(x.model.lam, batch_words(_batch(x)))
     return found.select("word_id", *topics("lambda", "l"))
 
 
@@ -284,6 +293,12 @@ def lambda_init(spark, sf_dir):
     return start_lambda(words, S.TOPICS).select("word_id", *topics("lambda", "l"))
 
 
+def lambda_init_gamma(spark, sf_dir):
+    words = word_range(spark, 0, inputs(spark, sf_dir).model.num_words, 8)
+    start = start_lambda(words, S.TOPICS, "gamma", S.SEED)
+    return start.select("word_id", *topics("lambda", "l", 9))
+
+
 def lambda_roundtrip(spark, sf_dir):
     path = new_folder(spark, "roundtrip")
     save_lambda(inputs(spark, sf_dir).model.lam, path)
@@ -318,14 +333,15 @@ def bow_join_lambda(spark, sf_dir):
 
 
 def doc_word_rows(spark, sf_dir):
-    """The joined rows collected by document, words by rising id."""
-    rows = F.sort_array(F.collect_list(F.struct("word_id", "cnt", "lambda")))
-    docs = _joined(inputs(spark, sf_dir)).groupBy("doc_id").agg(rows.alias("rows"))
-    return docs.select(
-        "doc_id",
-        F.size("rows").cast("bigint").alias("n_words"),
-        F.concat_ws(":", F.transform("rows.word_id", lambda w: w.cast("string"))).alias("words"),
+    """The joined rows of a document, in parts of some words, by rising id."""
+    x = inputs(spark, sf_dir)
+    parts = document_rows(x.corpus, x.model.lam, S.TOPICS, 1 << 16, S.ROWS_IN_PART)
+    words = F.transform("rows.word_id", lambda w: w.cast("string"))
+    lines = parts.groupBy("doc_id").agg(
+        F.sum(F.size("rows")).cast("bigint").alias("n_words"),
+        F.sort_array(F.collect_list(F.struct("part", F.concat_ws(":", words).alias("w")))).alias("p"),
     )
+    return lines.select("doc_id", "n_words", F.concat_ws(":", F.col("p.w")).alias("words"))
 
 
 def dirichlet_expectation(spark, sf_dir):
@@ -400,6 +416,23 @@ def estep_fixed(spark, sf_dir):
     )
 
 
+def gamma_draws(spark, sf_dir):
+    """What inference of the first iteration starts from."""
+    x = inputs(spark, sf_dir)
+    spec = replace(fixed_spec(x), gamma_start="gamma")
+    return start_gamma(x.corpus, spec).select("doc_id", *topics("gamma", "g", 9))
+
+
+def estep_converged(spark, sf_dir):
+    """Inference that the stop rule ends."""
+    x = inputs(spark, sf_dir)
+    spec = replace(fixed_spec(x), threshold=S.THRESHOLD, max_steps=None)
+    docs = e_step(x.corpus, x.model, spec, "docs")
+    return docs.select(
+        "doc_id", *topics("gamma", "g", 5), F.round("bound", 3).alias("bound"), "tokens", "steps"
+    )
+
+
 def estep_blocks(spark, sf_dir):
     """The same with the topic-word table shuffled to blocks of documents."""
     x = inputs(spark, sf_dir)
@@ -508,22 +541,78 @@ def train_alpha(spark, sf_dir):
     )
 
 
-def train_metrics(spark, sf_dir):
-    """Held-out perplexity, peak median and batch sizes of a run with random starts."""
-    x = inputs(spark, sf_dir)
-    root = new_folder(spark, "model")
-    usual = query_params(
-        x,
+def usual_params(num_words: int, num_docs: int) -> TopicParams:
+    """Random starts and the stop rule, for a short run with a metric of every iteration."""
+    return params(
+        num_words,
+        num_docs,
         gamma_start="gamma",
-        max_inner_iter=100,
-        convergence_threshold=0.001,
+        max_inner_iter=S.MOST_STEPS,
+        convergence_threshold=S.THRESHOLD,
         perplexity_freq=1,
         check_point_freq=1,
-        decay=8.0,
+        decay=S.FAST_DECAY,
     )
-    held = materialise(heldout_draw(x.corpus, S.HELDOUT_DOCS, S.SEED), "heldout")
-    train(x.corpus, usual, root, held, new_model(spark, usual))
-    return read_metrics(spark, f"{root}/metrics").where("metric <> 'seconds'")
+
+
+def train_metrics(spark, sf_dir):
+    """Held-out perplexity, peak median and batch sizes of a run with random starts."""
+    x = inputs(spark, sf_dir)
+    root = new_folder(spark, "model")
+    training, held = split_heldout(x.corpus, f"{root}/heldout", S.HELDOUT_DOCS, S.SEED)
+    usual = usual_params(x.model.num_words, training.count())
+    train(training, usual, root, held, new_model(spark, usual))
+    found = read_metrics(spark, f"{root}/metrics").where("metric <> 'seconds'")
+    return found.withColumn("value", F.round("value", 4))
+
+
+_runs: dict[tuple[str, str], str] = {}
+
+
+def _app(name: str):
+    """The module of a command-line job."""
+    path = Path(__file__).resolve().parents[2] / "apps" / f"{name}.py"
+    spec = importlib.util.spec_from_file_location(f"themata_app_{name}", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
+def _app_run(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a model, topics and words that the command-line jobs wrote, from encoded cells."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _runs:
+        x, root = inputs(spark, sf_dir), new_folder(spark, "apps")
+        C.corpus_to_cells(x.corpus).write.parquet(f"{root}/cells")
+        source = ["--corpus", f"{root}/cells", "--format", "cells", "--model", f"{root}/model"]
+        docs = x.num_docs - S.HELDOUT_DOCS
+        base = [
+            *source, "--topics", S.TOPICS, "--total-docs", docs, "--vocab-size", x.model.num_words,
+            "--mini-batch", docs * S.FRACTION, "--eta", S.ETA, "--alpha", S.ALPHA, "--decay", S.FAST_DECAY,
+            "--learning-rate", S.LEARNING_RATE, "--partitions", 8, "--seed", S.SEED, "--lambda-start",
+            "gamma", "--max-inner-iter", S.MOST_STEPS, "--threshold", S.THRESHOLD, "--heldout-docs",
+            S.HELDOUT_DOCS, "--check-point-freq", 1,
+        ]
+        job = _app("train")
+        job.main([str(a) for a in (*base, "--iterations", 1)])
+        job.main([str(a) for a in (*base, "--iterations", S.TRAIN_ITERATIONS, "--continue", "true")])
+        scoring = [*source, "--out", f"{root}/topics", "--seed", str(S.SEED)]
+        _app("doc_topics").main([*scoring, "--quarantine", f"{root}/bad"])
+        words = ["--topics", f"{root}/topics", "--model", f"{root}/model", "--out", f"{root}/words"]
+        _app("doc_words").main([*words, "--from-cells"])
+        _runs[key] = root
+    return _runs[key]
+
+
+def app_topics(spark, sf_dir):
+    """Topics by the jobs that train, continue and score."""
+    found = spark.read.parquet(f"{_app_run(spark, sf_dir)}/topics")
+    return _topic_rows(found, 4)
+
+
+def app_words(spark, sf_dir):
+    """Words by the job that scores the topics' cells."""
+    return _word_digest(spark.read.parquet(f"{_app_run(spark, sf_dir)}/words"))
 
 
 def model_roundtrip(spark, sf_dir):
@@ -549,10 +638,10 @@ def _doc_topic(x: Inputs) -> DataFrame:
     return sparse_topics(docs, S.TOPICS)
 
 
-def _topic_rows(doc_topic: DataFrame) -> DataFrame:
+def _topic_rows(doc_topic: DataFrame, digits: int = 5) -> DataFrame:
     pairs = doc_topic.select("doc_id", F.explode(F.arrays_zip("topic_idx", "prob")).alias("p"))
     return pairs.select(
-        "doc_id", F.col("p.topic_idx").alias("topic"), F.round("p.prob", 5).alias("prob")
+        "doc_id", F.col("p.topic_idx").alias("topic"), F.round("p.prob", digits).alias("prob")
     )
 
 
@@ -568,10 +657,22 @@ def doc_topic_cell(spark, sf_dir):
 def doc_topic_scores(spark, sf_dir):
     """Scores with random starts and the usual stop rule."""
     x = inputs(spark, sf_dir)
-    scored = score_topics(x.corpus, x.model, seed=S.SEED)
-    return scored.select(
-        "doc_id", F.size("topic_idx").alias("n_topics"), F.col("topic_idx")[0].alias("first_topic")
-    )
+    return _topic_rows(score_topics(x.corpus, x.model, seed=S.SEED), 4)
+
+
+def doc_topic_stream(spark, sf_dir):
+    """Cells that arrive as files, scored by a stream that is stopped and started again."""
+    x, root = inputs(spark, sf_dir), new_folder(spark, "stream")
+    cells = C.corpus_to_cells(x.corpus)
+    options = {"threshold": 0.0, "max_inner_iter": S.INNER_STEPS, "gamma_start": "ones"}
+    for part in range(2):
+        arrived = cells.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part)
+        arrived.repartition(6).write.mode("append").parquet(f"{root}/cells")
+        stream = read_cells(spark, f"{root}/cells", files_per_batch=4)
+        query = score_stream(stream, x.model, f"{root}/out", f"{root}/progress", **options)
+        query.awaitTermination()
+    found = spark.read.parquet(f"{root}/out/topics").select("doc_id", "cell")
+    return _topic_rows(C.topic_distributions(found))
 
 
 def doc_topic_public(spark, sf_dir):
@@ -655,6 +756,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_batches": doc_batches,
     "doc_topic_batches": doc_topic_batches,
     "heldout_draw": heldout,
+    "heldout_split": heldout_split,
     "explode_docs": explode_docs,
     "tf_filter_tokens": tf_filter_tokens,
     "minibatch_sample": minibatch_sample,
@@ -662,6 +764,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_word_count": batch_word_count,
     "lambda_semi": lambda_semi,
     "lambda_init": lambda_init,
+    "lambda_init_gamma": lambda_init_gamma,
     "lambda_roundtrip": lambda_roundtrip,
     "lambda_colsum": lambda_colsum,
     "lambda_peak": lambda_peak,
@@ -677,6 +780,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "logsumexp": logsumexp,
     "learning_rate": learning_rate,
     "estep_fixed": estep_fixed,
+    "estep_converged": estep_converged,
+    "gamma_draws": gamma_draws,
     "estep_blocks": estep_blocks,
     "estep_stats": estep_stats,
     "mstep_update": mstep_update,
@@ -689,10 +794,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_resume_finished": train_resume_finished,
     "train_alpha": train_alpha,
     "train_metrics": train_metrics,
+    "app_words": app_words,
+    "app_topics": app_topics,
     "model_roundtrip": model_roundtrip,
     "topic_normalize_sparsify": topic_normalize_sparsify,
     "doc_topic_cell": doc_topic_cell,
     "doc_topic_scores": doc_topic_scores,
+    "doc_topic_stream": doc_topic_stream,
     "doc_word_dist": doc_word_dist,
     "doc_word_chunks": doc_word_chunks,
     "doc_word_search": doc_word_search,

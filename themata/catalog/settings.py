@@ -17,6 +17,12 @@ TRAIN_ITERATIONS = 2
 ALPHA_WEIGHT = 0.5
 # Topics whose words a task may hold in the threshold search.
 SEARCH_TOPICS = 3
+# Words in a part of a document's joined rows.
+ROWS_IN_PART = 64
+# The stop rule, and a run with the usual settings.
+THRESHOLD = 0.001
+MOST_STEPS = 100
+FAST_DECAY = 8.0
 
 # Start table of the queries: lambda = 1 + ((31 word + 17 topic + frequency) mod 97) / 128, with the
 # frequency of the word in the documents. The values are dyadic, so their sums are exact in any order.

@@ -172,6 +172,19 @@ def _block_e_step(
     )
 
 
+def start_gamma(corpus: DataFrame, spec: InferenceSpec) -> DataFrame:
+    """``(doc_id, gamma)``: what inference starts from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gamma = spec.start(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), matrix_vector(gamma)], names=["doc_id", "gamma"]
+            )
+
+    return corpus.select("doc_id").mapInArrow(run, "doc_id BIGINT, gamma ARRAY<DOUBLE>")
+
+
 def e_step(
     corpus: DataFrame,
     model: TopicModel,

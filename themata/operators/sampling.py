@@ -132,7 +132,35 @@ class DirectBatches:
         """Nothing was written."""
 
 
+def batch_size(batch: DataFrame) -> DataFrame:
+    """``(documents, batch_size, tokens)``: different documents of a batch, draws, and drawn tokens."""
+    tokens = F.aggregate("word_cts", F.lit(0.0), lambda a, b: a + b)
+    return batch.agg(
+        F.count("*").alias("documents"),
+        F.sum("draws").alias("batch_size"),
+        F.sum(tokens).alias("tokens"),
+    )
+
+
+def batch_words(batch: DataFrame) -> DataFrame:
+    """``(word_id)``: the different words of a batch."""
+    return batch.select(F.explode("word_ids").alias("word_id")).distinct()
+
+
+def count_words(batch: DataFrame, low: int) -> DataFrame:
+    """``(words, modelled)``: different words of a batch, and those whose id is at least ``low``."""
+    return batch_words(batch).agg(
+        F.count("*").alias("words"),
+        F.count(F.when(F.col("word_id") >= low, 1)).alias("modelled"),
+    )
+
+
 def heldout_draw(corpus: DataFrame, n: int, seed: int) -> DataFrame:
     """The ``n`` documents that come first in a seeded random order of the ids."""
     u = uniform_col(seed, F.lit(0), F.col("doc_id"))
     return corpus.withColumn("_u", u).orderBy("_u", "doc_id").limit(n).drop("_u")
+
+
+def training_part(corpus: DataFrame, heldout: DataFrame) -> DataFrame:
+    """The documents that are not held out."""
+    return corpus.join(heldout.select("doc_id"), "doc_id", "left_anti")

@@ -85,6 +85,22 @@ def join_lambda(bow: DataFrame, lam: DataFrame, num_topics: int, broadcast_bytes
     return joined.select("doc_id", "word_id", "cnt", "lambda")
 
 
+def document_rows(
+    corpus: DataFrame, lam: DataFrame, num_topics: int, broadcast_bytes: int, most: int
+) -> DataFrame:
+    """``(doc_id, part, rows)``: the joined rows of a document by rising word, ``most`` in a part at most."""
+    words = corpus.select("doc_id", F.posexplode(F.arrays_zip("word_ids", "word_cts")).alias("at", "w"))
+    bow = words.select(
+        "doc_id",
+        F.floor(F.col("at") / most).alias("part"),
+        F.col("w.word_ids").alias("word_id"),
+        F.col("w.word_cts").alias("cnt"),
+    )
+    joined = split_join(bow, lam, num_topics, broadcast_bytes)
+    rows = F.sort_array(F.collect_list(F.struct("word_id", "cnt", "lambda")))
+    return joined.groupBy("doc_id", "part").agg(rows.alias("rows"))
+
+
 def log_beta(lam: DataFrame, lambda_sum: np.ndarray) -> DataFrame:
     """E[log beta] for every row: ``(word_id, log_beta)``."""
     offset = digamma(lambda_sum)[None, :]

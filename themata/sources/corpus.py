@@ -69,13 +69,18 @@ def explode_documents(corpus: DataFrame) -> DataFrame:
     )
 
 
-def document_batches(corpus: DataFrame, batch_size: int = 50) -> DataFrame:
-    """Number the documents in key order and cut them into batches of ``batch_size``.
+def batch_numbers(corpus: DataFrame, batch_size: int = 50) -> DataFrame:
+    """``(doc_id, batch)``: the documents in key order, cut into batches of ``batch_size``.
 
-    Keys order as text, as they do in a store whose row key is the decimal id.
+    Keys order as text, as they do in a store whose row key is the decimal id. Only ids are sorted.
     """
-    numbered = dense_ids(corpus, [F.col("doc_id").cast("string")], "_row")
-    return numbered.withColumn("batch", F.floor(F.col("_row") / batch_size)).drop("_row")
+    numbered = dense_ids(corpus.select("doc_id"), [F.col("doc_id").cast("string")], "_row")
+    return numbered.select("doc_id", F.floor(F.col("_row") / batch_size).alias("batch"))
+
+
+def document_batches(corpus: DataFrame, batch_size: int = 50) -> DataFrame:
+    """The documents with the number of their batch. Ids are those of one document each."""
+    return corpus.join(batch_numbers(corpus, batch_size), "doc_id")
 
 
 # --- raw text ---------------------------------------------------------------
