@@ -189,6 +189,10 @@ def test_odd_languages(spark, odd):
     for doc_id in (7, 3, 4, 6):
         assert (by_text[doc_id]["lang_pred"], by_text[doc_id]["score"]) == ("und", 0.0)
     assert by_text[5]["lang_pred"] != "und"
+    numerals = spark.createDataFrame([(1, "½ ² Ⅷ ①", "en"), (2, "x² + ½", "en")], "doc_id long, text string, lang string")
+    tagger = crf.fit([("en", ["a", "b"] * 9), ("de", ["ä", "ö"] * 9)])
+    held = numerals.withColumn("held_out", F.lit(True))
+    assert [r["lang_pred"] == "und" for r in crf.predict(held, tagger).orderBy("doc_id").collect()] == [True, False]
     assert crf.identify(odd.limit(0)).count() == 0
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in crf.identify(unlabelled).collect()} == {"und"}

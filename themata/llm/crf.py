@@ -5,8 +5,8 @@ letter n-grams, and the languages in whose lexicon it is frequent; learned trans
 words together, so a word that fits two languages follows its surroundings, and a text that switches
 language switches where the evidence does. Probabilities come from the forward-backward recursions.
 
-The model is fitted on a bounded sample: ``SAMPLE_TEXTS`` labelled texts per language, chosen by a hash
-of their content, and of each a run of ``SAMPLE_WORDS`` words. Training sequences alternate runs of
+The model is fitted on a bounded sample: ``SAMPLE_TEXTS`` labelled texts, ``LANGUAGE_TEXTS`` of one language
+at most, chosen by a hash of their content, and of each a run of ``SAMPLE_WORDS`` words. Training sequences alternate runs of
 different languages, which is what teaches the transitions. The fit runs on the driver, and the
 weights (``FEATURES`` rows) go to the tasks. Prediction reads whole texts.
 """
@@ -26,22 +26,26 @@ from pyspark.sql import functions as F
 from themata.llm.common import SLICE_CHARS, column, crc_fold, slices, text_of
 
 FEATURES = 1 << 16
-SAMPLE_TEXTS = 400
+SAMPLE_TEXTS, LANGUAGE_TEXTS = 1600, 400
 SAMPLE_WORDS = 100
 #: Words of one language before a training sequence may switch.
 RUN_WORDS = 12
 LEXICON_WORDS = 300
 EPOCHS = 60
 RATE, PENALTY = 0.5, 1e-6
+#: Marginals that the fit holds at once.
+FIT_VALUES = 1 << 21
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
 FOLDS, TEST_FOLD = 3, 1
 CACHED_WORDS = 300_000
 KNOWN_FEATURES = 200_000
 #: Texts and words that take their steps together; more of them need fewer steps.
-BATCH_TEXTS, BATCH_WORDS = 2048, 1_000_000
+BATCH_TEXTS, BATCH_WORDS = 2048, 700_000
 
-WORDS = re.compile(r"[^\W\d_]+")
+#: Letter-like numbers (fractions, superscripts, Roman numerals) count as word characters, but are no letters.
+NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORDS = re.compile(f"[^\\W\\d_{re.escape(NUMERALS)}]+")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, switches long"
 
 
@@ -97,9 +101,10 @@ def forward_backward(
     at = np.arange(len(which)) - np.repeat(np.cumsum(long) - long, long)
     source = np.empty(len(which), np.int64)
     source[first[at] + which] = starts[order][which] + at
-    score = emission[source]
-    top = score.max(1)
-    local = np.exp(score - top[:, None])
+    local = emission[source]
+    top = local.max(1)
+    local -= top[:, None]
+    np.exp(local, out=local)
     step = np.exp(transition)
     back = np.ascontiguousarray(step.T)
     forward = np.empty_like(local)
@@ -110,7 +115,8 @@ def forward_backward(
         total = alpha.sum(1)
         alpha /= total[:, None]
         forward[a : a + n], scale[a : a + n] = alpha, total
-    marginal = forward.copy()
+    # Forward values of a step are not needed once its marginals are there.
+    marginal = forward
     local /= scale[:, None]
     pairs = np.zeros((labels, labels))
     beta = np.ones((count, labels))
@@ -120,8 +126,9 @@ def forward_backward(
         pairs += forward[before : before + n].T @ ahead
         beta[:n] = ahead @ back
         marginal[before : before + n] *= beta[:n]
-    out = np.empty_like(emission)
-    out[source] = marginal / marginal.sum(1, keepdims=True)
+    marginal /= marginal.sum(1, keepdims=True)
+    out = local
+    out[source] = marginal
     logs = np.empty(count)
     owner = np.empty(len(which), np.int64)
     owner[first[at] + which] = which
@@ -186,6 +193,12 @@ class Tagger:
         return [(w, self.languages[k]) for w, k in zip(words, marginal.argmax(1), strict=True)]
 
 
+def word_scores(weights: np.ndarray, feature: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of feature weights by word, one label at a time."""
+    columns = [np.add.reduceat(np.ascontiguousarray(weights[:, j])[feature], bounds) for j in range(weights.shape[1])]
+    return np.stack(columns, 1)
+
+
 def fit(samples: list[tuple[str, list[str]]]) -> Tagger:
     """Fit a model to (language, words) runs."""
     languages = sorted({lang for lang, _ in samples})
@@ -204,7 +217,7 @@ def fit(samples: list[tuple[str, list[str]]]) -> Tagger:
     mixed = np.random.default_rng(0).permutation(len(runs))
     words = [w for r in mixed for w in runs[r][1]]
     truth = np.array([runs[r][0] for r in mixed for _ in runs[r][1]], np.int64)
-    length = max(1, SAMPLE_WORDS)
+    length = SAMPLE_WORDS
     starts = np.arange(0, len(words), length)
     sizes = np.diff(np.append(starts, len(words)))
     vocabulary = sorted(set(words))
@@ -223,11 +236,17 @@ def fit(samples: list[tuple[str, list[str]]]) -> Tagger:
     np.add.at(seen, (truth[at - 1], truth[at]), 1)
     bounds = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if owner.size else owner
     for _ in range(EPOCHS if k > 1 else 0):
-        by_word = np.add.reduceat(weights[feature], bounds)
-        marginal, pairs, _ = forward_backward(by_word[of], starts, sizes, transition)
-        error = -marginal
-        error[np.arange(len(of)), truth] += 1
-        per_word = np.stack([np.bincount(of, error[:, j], len(vocabulary)) for j in range(k)], 1)
+        by_word = word_scores(weights, feature, bounds)
+        per_word, pairs = np.zeros((len(vocabulary), k)), np.zeros((k, k))
+        # A bounded number of sequences at once, whatever the number of languages.
+        for first in range(0, len(starts), max(1, FIT_VALUES // (length * k))):
+            part = slice(first, first + max(1, FIT_VALUES // (length * k)))
+            a, b = starts[part][0], starts[part][-1] + sizes[part][-1]
+            marginal, seen_here, _ = forward_backward(by_word[of[a:b]], starts[part] - a, sizes[part], transition)
+            pairs += seen_here
+            marginal[np.arange(b - a), truth[a:b]] -= 1
+            for j in range(k):
+                per_word[:, j] -= np.bincount(of[a:b], marginal[:, j], len(vocabulary))
         gradient = np.stack([np.bincount(feature, per_word[owner, j], FEATURES) for j in range(k)], 1)
         gradient -= PENALTY * len(words) * weights
         square_w += gradient**2
@@ -242,15 +261,17 @@ def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
     """Labelled runs of words from ``docs`` (text, lang): bounded, and a function of the contents.
 
     A text's hash decides whether it is taken, once for all its copies; the share taken falls with the
-    number of a language's distinct texts, so that about ``SAMPLE_TEXTS`` of each come, whatever the size of the corpus. Only these
-    are sent to the driver, each cut to a run of words that starts at a place given by its hash. Only the
+    number of a language's distinct texts, so that about equally many of each come, whatever the size of the
+    corpus: ``SAMPLE_TEXTS`` in all, and not more than ``LANGUAGE_TEXTS`` of a language. Only these are sent to the driver, each cut to a run of words that starts at a place given by its hash. Only the
     ``MAX_LANGUAGES`` languages of the most distinct texts are learned; others are never predicted.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     texts = labelled.select("lang", F.xxhash64("text").alias("hash")).distinct()
     totals = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     # One row per language, at most MAX_LANGUAGES.
-    shares = totals.select("lang", (F.lit(float(SAMPLE_TEXTS)) / F.col("n")).alias("share"))
+    counted = [(r["lang"], r["n"]) for r in totals.collect()]
+    each = min(LANGUAGE_TEXTS, SAMPLE_TEXTS / max(1, len(counted)))
+    shares = docs.sparkSession.createDataFrame([(lang, each / n) for lang, n in counted], "lang string, share double")
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")
 
@@ -270,14 +291,19 @@ def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
 
     rows = chosen.mapInArrow(cut, "lang string, words array<string>")
     # Copies of one text share a hash, so one hot text could come many times: equal runs count once.
-    found = rows.distinct().orderBy(F.xxhash64("words"), "lang").limit(2 * SAMPLE_TEXTS * MAX_LANGUAGES).collect()
+    found = rows.distinct().orderBy(F.xxhash64("words"), "lang").limit(2 * SAMPLE_TEXTS).collect()
     return sorted((r["lang"], list(r["words"])) for r in found if r["words"])
 
 
 def keep_identified(docs: DataFrame, tagger: Tagger, least: float) -> DataFrame:
-    """The rows of ``docs`` with a language of at least this score; letterless texts go."""
+    """The rows of ``docs`` with a language of at least this score; letterless and null texts go.
+
+    All columns stay; repeated rows are judged one by one, and an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = shared.value
         for batch in slices(batches, "text", BATCH_TEXTS, 2 * SLICE_CHARS):
             texts = [words_in(t or "") for t in column(batch, "text")]
             kept = [len(m) > 0 and m.mean(0).max() >= least for m in tagger.word_marginals(texts)]
@@ -287,7 +313,11 @@ def keep_identified(docs: DataFrame, tagger: Tagger, least: float) -> DataFrame:
 
 
 def learn(docs: DataFrame) -> Tagger:
-    """Fit a model to the labelled documents outside the test fold of ``docs``."""
+    """Fit a model to the labelled documents outside the test fold of ``docs`` (doc_id, text, lang).
+
+    Null texts and languages are left out, copies of a text count once, other columns are ignored. From
+    an empty table nothing is learned.
+    """
     return fit(sample(docs.where(crc_fold("doc_id", FOLDS) != TEST_FOLD).select("text", F.col("lang").cast("string"))))
 
 
@@ -298,8 +328,11 @@ def predict(docs: DataFrame, tagger: Tagger) -> DataFrame:
     ``switches`` counts neighbouring words of different most probable languages. Null and letterless
     texts are ``und`` with score 0, and so are all texts if nothing could be learned.
     """
+    # At most FEATURES weights for each of MAX_LANGUAGES languages.
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = shared.value
         for batch in slices(batches, "text", BATCH_TEXTS, 2 * SLICE_CHARS):
             texts = [words_in(t) for t in column(batch, "text")]
             langs, scores, switches = [], [], []
