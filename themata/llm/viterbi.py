@@ -1,21 +1,25 @@
 """SentencePiece ids by a streaming Viterbi search over the pieces of a given model, and back.
 
-The search finds the segmentation with the largest sum of piece scores. It reads a text once. Ends of
-pieces reach at most the longest piece ahead, so the surviving paths are as many as that; whenever
-their backpointers meet in one boundary, the ids up to it are committed and forgotten, so a text of
-any length needs a window only. Equal scores go to the path whose last piece is longer. Characters
-that no piece has are written as their UTF-8 bytes.
+The model's scores are the order of its merges, so the search does not add them up: a piece may follow
+another one only if merging could have left this pair, that is, if no merge across their boundary comes
+before the merges that made them. These pairs decide everything: every beginning of a text then has one
+valid last piece, and the path of valid pairs has the ids that merging gives (tests compare them with
+the library's).
+
+The search reads a text once. Ends of pieces reach at most the longest piece ahead, so the surviving
+paths are as many as that; whenever their backpointers meet in one boundary, the ids up to it are
+committed and forgotten, so a text of any length needs a window only. Where no piece holds a space
+behind another character, all paths meet before each space, so a stretch from one space to the next has
+the same ids wherever it stands and those met before are remembered. Characters that no piece has are
+written as their UTF-8 bytes; nothing merges with them.
 
-Where no piece holds a space behind another character, all paths meet before each space, so a stretch
-from one space to the next has the same ids wherever it stands and those met before are remembered.
-
-The model's scores are the ranks of its merges; the best sum is not always what merging would give.
 Decoding gives back every text exactly: it gets one space in front, like in the library, which is
 taken off again, and the library's mark for spaces is no piece when it stands in a text itself.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -32,24 +36,25 @@ from themata.llm.common import column, slices, text_of
 SPACE = "▁"
 CACHED_STRETCHES = 400_000
 CACHED_LENGTH = 48
-#: A byte costs this much more than the worst piece.
-BYTE_PENALTY = 10.0
+#: Pairs of pieces that were judged.
+CACHED_PAIRS = 200_000
+#: Instead of a last piece: a place that no path reaches, and one behind bytes or at the start.
+NONE, FREE = -2, -1
 
 ENCODED = "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, exact boolean"
 
 
 class Pieces:
-    """The pieces of a model as a tree of characters, and the bytes behind each id."""
+    """The pieces of a model, the merges that make them, and the bytes behind each id."""
 
     def __init__(self, model_file: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_file)
-        self.tree: dict = {}
         self.of_byte = [-1] * 256
         self.bytes: list[bytes] = []
-        self.longest, self.splits = 1, True
-        worst = 0.0
+        texts: dict[str, int] = {}
+        order: dict[str, float] = {}
         for number in range(model.get_piece_size()):
             piece = model.id_to_piece(number)
             if model.is_byte(number):
@@ -62,17 +67,67 @@ class Pieces:
                 continue
             text = piece.replace(SPACE, " ")
             self.bytes.append(text.encode())
-            score = model.get_score(number)
-            worst = min(worst, score)
-            self.longest = max(self.longest, len(text))
-            self.splits &= re.search(r"[^ ] ", text) is None
-            node = self.tree
-            for c in text:
-                node = node.setdefault(c, {})
-            node[""] = (score, number)
-        self.byte_score = worst - BYTE_PENALTY
+            texts[text] = number
+            # Merges come by falling score; a single character is there from the start.
+            order[text] = -model.get_score(number) if len(text) > 1 else -math.inf
         if min(self.of_byte) < 0:
             raise ValueError("the model has no pieces for single bytes")
+        parts = {t: last_merge(t, order) for t in texts if len(t) > 1}
+        # Pieces that merging their own characters does not give never occur.
+        self.ids = {t: i for t, i in texts.items() if len(t) == 1 or parts[t]}
+        self.begins = {t[:n] for t in self.ids for n in range(1, len(t))}
+        self.longest = max(map(len, self.ids), default=1)
+        self.splits = all(re.search(r"[^ ] ", t) is None for t in self.ids)
+        self.order = {i: order[t] for t, i in self.ids.items()}
+        self.parts = {self.ids[t]: (self.ids[a], self.ids[b]) for t, (a, b) in
+                      ((t, p) for t, p in parts.items() if p)}
+        self.merged = {
+            (self.ids[t[:n]], self.ids[t[n:]]): order[t]
+            for t in self.ids for n in range(1, len(t)) if t[:n] in self.ids and t[n:] in self.ids
+        }
+        self.judged: dict[int, bool] = {}
+
+    def may_follow(self, x: int, y: int) -> bool:
+        """Whether merging can leave piece ``y`` behind piece ``x``.
+
+        The later of the merges that made the two symbols at the boundary is undone, again and again.
+        Before it, no merge across the boundary may have had its turn: of merges of the same piece, the
+        one on the left comes first.
+        """
+        key = x << 32 | y
+        known = self.judged.get(key)
+        if known is None:
+            known = self._judge(x, y)
+            if len(self.judged) < CACHED_PAIRS:
+                self.judged[key] = known
+        return known
+
+    def _judge(self, x: int, y: int) -> bool:
+        order, merged = self.order, self.merged
+        turn, left_first = math.inf, False
+        while True:
+            across = merged.get((x, y))
+            if across is not None and (across < turn or across == turn and left_first):
+                return False
+            if order[x] > order[y]:
+                turn, left_first, x = order[x], False, self.parts[x][1]
+            elif order[y] == -math.inf:
+                return True
+            else:
+                turn, left_first, y = order[y], True, self.parts[y][0]
+
+
+def last_merge(text: str, order: dict[str, float]) -> tuple[str, str] | None:
+    """The two symbols that merging the characters of ``text`` joins last, if one symbol is left."""
+    symbols, last = list(text), None
+    while len(symbols) > 1:
+        pairs = [(order.get(a + b, math.inf), k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))]
+        turn, k = min(pairs)
+        if turn == math.inf:
+            return None
+        last = symbols[k], symbols[k + 1]
+        symbols[k : k + 2] = ["".join(last)]
+    return last
 
 
 class StreamingEncoder:
@@ -82,58 +137,54 @@ class StreamingEncoder:
         self.pieces = pieces
         self.text = ""  # characters that are not committed
         self.done = 0  # how many of them have been searched from
-        # By place in ``text``: the best sum, where its last piece began, and that piece's ids.
-        self.best: list[float] = [0.0]
+        # By place in ``text``: the last piece of the path to it, and where that began.
+        self.last: list[int] = [FREE]
         self.back: list[int] = [0]
-        self.ids: list[tuple[int, ...]] = [()]
         self.largest_window = 0
 
     def _extend(self, at: int) -> None:
         """Follow the pieces that begin at a place all of whose longest pieces are known."""
-        text, best = self.text, self.best
-        here, node, end, size = best[at], self.pieces.tree, at, len(text)
-        while len(best) < min(size, at + self.pieces.longest) + 1:
-            best.append(float("-inf"))
-            self.back.append(0)
-            self.ids.append(())
-        single = False
-        while end < size:
-            node = node.get(text[end])
-            if node is None:
+        text, last, back, pieces = self.text, self.last, self.back, self.pieces
+        size = min(len(text), at + pieces.longest)
+        new = size + 1 - len(last)
+        if new > 0:
+            last += [NONE] * new
+            back += [0] * new
+        before, ids, begins = last[at], pieces.ids, pieces.begins
+        if text[at] not in ids:
+            last[at + 1], back[at + 1] = FREE, at
+            return
+        for end in range(at + 1, size + 1):
+            part = text[at:end]
+            number = ids.get(part)
+            if number is not None:
+                # A beginning of the text has one valid last piece; a place that has it is done.
+                if last[end] == NONE and (before == FREE or pieces.may_follow(before, number)):
+                    last[end], back[end] = number, at
+            if part not in begins:
                 break
-            end += 1
-            found = node.get("")
-            if found is not None:
-                single |= end == at + 1
-                if here + found[0] > best[end]:
-                    best[end], self.back[end], self.ids[end] = here + found[0], at, (found[1],)
-        if not single:
-            data = text[at].encode("utf-8", "surrogatepass")
-            value = here + self.pieces.byte_score * len(data)
-            if value > best[at + 1]:
-                best[at + 1], self.back[at + 1] = value, at
-                self.ids[at + 1] = tuple(self.pieces.of_byte[b] for b in data)
-
-    def _path(self, to: int) -> list[int]:
-        steps = []
-        while to:
-            steps.append(to)
-            to = self.back[to]
-        return steps[::-1]
+
+    def _ids(self, place: int) -> list[int]:
+        """The ids of the path's last step to a place, the last one first."""
+        if self.last[place] != FREE:
+            return [self.last[place]]
+        data = self.text[place - 1].encode("utf-8", "surrogatepass")
+        return [self.pieces.of_byte[b] for b in reversed(data)]
 
     def _commit(self, to: int) -> list[int]:
-        out = [i for place in self._path(to) for i in self.ids[place]]
+        out, place = [], to
+        while place:
+            out += self._ids(place)
+            place = self.back[place]
         self.text = self.text[to:]
-        base = self.best[to]
-        self.best = [b - base for b in self.best[to:]]
+        self.last = self.last[to:]
         self.back = [0, *(b - to for b in self.back[to + 1 :])]
-        self.ids = [(), *self.ids[to + 1 :]]
         self.done -= to
-        return out
+        return out[::-1]
 
     def _meeting(self) -> int:
         """The last boundary that the paths to all open ends share."""
-        ends = [p for p in range(self.done, len(self.best)) if self.best[p] > float("-inf")]
+        ends = [p for p in range(self.done, len(self.last)) if self.last[p] != NONE]
         while len(ends) > 1:
             # The furthest end steps back; a path that reaches another one joins it.
             last = ends.pop()
@@ -150,7 +201,7 @@ class StreamingEncoder:
         longest = self.pieces.longest
         # A place is searched from when all characters of its longest piece are there.
         while self.done < len(self.text) and (final or self.done + longest <= len(self.text)):
-            if self.best[self.done] > float("-inf"):
+            if self.last[self.done] != NONE:
                 self._extend(self.done)
             self.done += 1
             self.largest_window = max(self.largest_window, self.done)
@@ -241,7 +292,11 @@ def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
 
 def round_trips(docs: DataFrame, model_file: str) -> DataFrame:
     """Encode and decode every text: doc_id, n_ids, ids_crc32 (of little-endian unsigned 32-bit ids),
-    decoded_crc32 (of the decoded text's UTF-8) and whether the decoded text is the text."""
+    decoded_crc32 (of the decoded text's UTF-8) and whether the decoded text is the text.
+
+    Null text is the empty text, which has no ids. Null and repeated ids are kept, row by row; other
+    columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
