@@ -304,6 +304,52 @@ def test_odd_fingerprints(spark, odd):
     assert merkle.fingerprints(odd).count() == len(ODD)
 
 
+def plain_likeness(a, b):
+    """Leaves in common order by dynamic programming, for trees of one paragraph."""
+    x, y = (merkle.tree(f)[1][0][0] for f in (a, b))
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+    return 2 * best[-1][-1] / (len(x) + len(y))
+
+
+def test_likeness_of_aligned_branches():
+    hasher = merkle.Hasher()
+    draw = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    for _ in range(60):
+        words = draw.choices(vocabulary, k=draw.randint(1, 120))
+        other = words[: draw.randint(0, len(words))] + draw.choices(vocabulary, k=draw.randint(0, 40))
+        a, b = (hasher.fingerprint(" ".join(w)) for w in (words, other))
+        if a != b and all(len(merkle.tree(f)[1]) == 1 for f in (a, b)):
+            assert merkle.likeness(a, b) == pytest.approx(plain_likeness(a, b))
+        assert merkle.likeness(a, b) == merkle.likeness(b, a)
+    lines = [f"Paragraph {i} has words of its own. It ends with number {i}." for i in range(12)]
+    whole = hasher.fingerprint("\n".join(lines))
+    for order in (lines[::-1], lines[1:] + lines[:1], [lines[1], lines[0], *lines[2:]]):
+        near = merkle.likeness(whole, hasher.fingerprint("\n".join(order)))
+        assert near < 1
+    assert near == pytest.approx(11 / 12)
+    # One paragraph taken out of 12, also where that moves the cut between sections.
+    for gone in range(12):
+        rest = hasher.fingerprint("\n".join(lines[:gone] + lines[gone + 1 :]))
+        assert merkle.likeness(whole, rest) == pytest.approx(22 / 23)
+    assert merkle.likeness(whole, hasher.fingerprint("")) < 0.05
+    assert merkle.likeness(hasher.fingerprint("a"), hasher.fingerprint("b")) == 0
+    # The same words, cut into paragraphs in another way.
+    assert 0.7 < merkle.likeness(hasher.fingerprint("a b c d\ne f g h"), hasher.fingerprint("a b c d e f g h")) < 1
+
+
+def test_pairs_keep_their_order():
+    draw = random.Random(8)
+    for _ in range(300):
+        a, b = (draw.choices("abcde", k=draw.randint(0, 12)) for _ in range(2))
+        pairs = merkle.paired(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+
+
 def test_edits_are_located():
     hasher = merkle.Hasher()
     lines = [f"Paragraph {i} has words of its own. It ends with number {i}." for i in range(60)]

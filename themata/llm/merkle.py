@@ -5,15 +5,20 @@ space, and a sentence's leaves are runs of ``LEAF_WORDS`` words. Cutting and joi
 text, so a tree stands for one text. A section ends behind a paragraph whose digest has its low bits
 zero, wherever the paragraph stands, so an edit does not move the sections behind it.
 
-A fingerprint is a string: the root's digest, a colon, and the leaves by ``;`` between sections and
-``,`` between paragraphs, each leaf by the leading digits of its digest. Equal roots mean equal texts;
-``differing`` walks down differing branches to the leaves that were edited.
+A fingerprint is a string: the root's digest, a colon, and the sections by ``;``. A section is its digest,
+``/`` and its paragraphs by ``,``; a paragraph is its digest, ``.`` and its leaves, all by the leading digits
+of their digests. Equal roots mean equal texts. Two trees are compared from the top: sections of equal
+digests that stand in the same order are paired and not entered, between them paragraphs are paired in
+the same way, and leaves between those. What is left are the edits, and the share of paired leaves is the
+likeness: paragraphs that change places do not keep it at one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import math
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +33,10 @@ LEAF_WORDS = 4
 LEAF_DIGITS = 6
 #: A section has this many paragraphs on average.
 SECTION_PARAGRAPHS = 4
-#: Ranges of documents per shuffle partition.
-RANGES = 4
+#: Hexadecimal digits of a section or paragraph in the fingerprint.
+BRANCH_DIGITS = 8
+#: Ranges of documents per shuffle partition at least, and bytes of text of a range, about.
+RANGES, RANGE_BYTES = 4, 64 << 20
 
 EDITED = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
@@ -70,45 +77,133 @@ class Hasher:
                     d = known[leaf] = digest(leaf.encode("utf-8", "surrogatepass"))
                 found.append(d)
             branch = digest(b"p" + b"".join(found))
-            sections[-1].append("".join([d.hex()[:LEAF_DIGITS] for d in found]))
+            leaves = "".join([d.hex()[:LEAF_DIGITS] for d in found])
+            sections[-1].append(f"{branch.hex()[:BRANCH_DIGITS]}.{leaves}")
             branches[-1].append(branch)
             if branch[-1] % SECTION_PARAGRAPHS == 0:
                 sections.append([])
                 branches.append([])
-        root = digest(b"r" + b"".join(digest(b"s" + b"".join(b)) for b in branches))
-        return f"{root.hex()}:{';'.join(','.join(s) for s in sections)}"
+        digests = [digest(b"s" + b"".join(b)) for b in branches]
+        written = [f"{d.hex()[:BRANCH_DIGITS]}/{','.join(s)}" for d, s in zip(digests, sections, strict=True)]
+        return f"{digest(b'r' + b''.join(digests)).hex()}:{';'.join(written)}"
+
+
+# A node of a parsed tree: its digest, its first leaf, the number of its leaves, and its branches as text.
+Node = tuple[str, int, int, str]
+
+
+def _nodes(text: str, sign: str, mark: str, first: int) -> list[Node]:
+    """Branches in a row, by their sign, with digests that end at the mark."""
+    out = []
+    for part in text.split(sign):
+        name, _, rest = part.partition(mark)
+        count = _leaf_count(rest)
+        out.append((name, first, count, rest))
+        first += count
+    return out
+
+
+def _leaf_count(text: str) -> int:
+    """Leaves of paragraphs, or of one paragraph."""
+    paragraphs = text.count(".")
+    if not paragraphs:
+        return len(text) // LEAF_DIGITS
+    # Each paragraph has its digest, a point and, but for the first, a comma.
+    return (len(text) - paragraphs * (BRANCH_DIGITS + 2) + 1) // LEAF_DIGITS
 
 
 def tree(fingerprint: str) -> tuple[str, list[list[list[str]]]]:
     """The root and the leaves by section and paragraph."""
     root, _, rest = fingerprint.partition(":")
     cut = lambda p: [p[i : i + LEAF_DIGITS] for i in range(0, len(p), LEAF_DIGITS)]
-    return root, [[cut(p) for p in s.split(",")] if s else [] for s in rest.split(";")]
+    sections = [s.partition("/")[2] for s in rest.split(";")]
+    return root, [[cut(p.partition(".")[2]) for p in s.split(",")] if s else [] for s in sections]
 
 
-def _leaves(fingerprint: str) -> Counter[str]:
-    rest = fingerprint.partition(":")[2].replace(";", "").replace(",", "")
-    return Counter([rest[i : i + LEAF_DIGITS] for i in range(0, len(rest), LEAF_DIGITS)])
+def paired(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of equal elements in the same order: the common beginning, the common end, and as many
+    as possible between them, where the nth occurrence stands for the nth one."""
+    first, n, m = 0, len(a), len(b)
+    while first < min(n, m) and a[first] == b[first]:
+        first += 1
+    while n > first and m > first and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    out = [(i, i) for i in range(first)]
+    if n > first and m > first:
+        places = defaultdict(list)
+        for j in range(m - 1, first - 1, -1):
+            places[b[j]].append(j)
+        both = [(i, places[a[i]].pop()) for i in range(first, n) if places.get(a[i])]
+        # The longest run of rising places: the last place of the best run of each length.
+        tails: list[int] = []
+        at: list[int] = []
+        before = []
+        for k, (_, j) in enumerate(both):
+            size = bisect_left(tails, j)
+            tails[size:size + 1] = [j]
+            at[size:size + 1] = [k]
+            before.append(at[size - 1] if size else -1)
+        run, k = [], at[-1] if at else -1
+        while k >= 0:
+            run.append(both[k])
+            k = before[k]
+        out += run[::-1]
+    return out + [(n + i, m + i) for i in range(len(a) - n)]
+
+
+def _compare(a: list[Node], b: list[Node], level: int) -> Iterator[tuple[int, int, int, int]]:
+    """Differing runs of leaves, ``(first, end)`` in a and in b, below nodes in a row."""
+    names = [[x[0] for x in side] for side in (a, b)]
+    i = j = 0
+    for p, q in [*paired(*names), (len(a), len(b))]:
+        if p > i or q > j:
+            yield from _open(a[i:p], b[j:q], _place(a, i), _place(b, j), level)
+        i, j = p + 1, q + 1
+
+
+def _place(nodes: list[Node], at: int) -> int:
+    """The first leaf of a node, or the one behind the last."""
+    return nodes[at][1] if at < len(nodes) else nodes[-1][1] + nodes[-1][2] if nodes else 0
+
+
+def _open(a: list[Node], b: list[Node], at: int, there: int, level: int) -> Iterator[tuple[int, int, int, int]]:
+    """The same for nodes without a counterpart: their branches are compared, at the end their leaves."""
+    if level == 0:
+        sides = [[n for x in side if x[3] for n in _nodes(x[3], ",", ".", x[1])] for side in (a, b)]
+    else:
+        sides = [
+            [(x[3][k : k + LEAF_DIGITS], x[1] + k // LEAF_DIGITS, 1, "") for x in side for k in range(0, len(x[3]), LEAF_DIGITS)]
+            for side in (a, b)
+        ]
+    x, y = sides
+    if not x or not y or level > 1:
+        yield at, at + sum(n[2] for n in a), there, there + sum(n[2] for n in b)
+        return
+    yield from _compare(x, y, level + 1)
+
+
+def changes(a: str, b: str) -> list[tuple[int, int, int, int]]:
+    """Runs of leaves in which text a differs from text b: ``(first, end)`` in a and in b."""
+    if a[:32] == b[:32]:
+        return []
+    sides = [_nodes(x.partition(":")[2], ";", "/", 0) for x in (a, b)]
+    return list(_compare(*sides, 0))
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of leaves that two fingerprints have in common, 1 for equal roots."""
+    """Share of leaves that stand in paired branches of two fingerprints, 1 for equal roots.
+
+    Unequal roots are less than 1, also where only the cut into branches differs.
+    """
     if a[:32] == b[:32]:
         return 1.0
-    x, y = _leaves(a), _leaves(b)
-    total = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / total if total else 0.0
+    total = sum(_leaf_count_of(x) for x in (a, b))
+    apart = sum(end - first + last - there for first, end, there, last in changes(a, b))
+    return (total - apart) / (total + 1) if total and not apart else (total - apart) / total if total else 0.0
 
 
-def _changed(a: list, b: list) -> tuple[int, int, int]:
-    """Length of the common beginning, and the ends of what lies between it and the common end."""
-    first = 0
-    while first < min(len(a), len(b)) and a[first] == b[first]:
-        first += 1
-    last = 0
-    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
-        last += 1
-    return first, len(a) - last, len(b) - last
+def _leaf_count_of(fingerprint: str) -> int:
+    return sum(n[2] for n in _nodes(fingerprint.partition(":")[2], ";", "/", 0))
 
 
 def differing(a: str, b: str) -> list[tuple[int, int, int]]:
@@ -117,28 +212,12 @@ def differing(a: str, b: str) -> list[tuple[int, int, int]]:
     Branches with equal contents are not entered. Where b has only more text, the place is that
     of the leaf before which it stands, or one behind the last.
     """
-    (ra, ta), (rb, tb) = tree(a), tree(b)
-    if ra == rb:
-        return []
+    places = [(i, j, k) for i, s in enumerate(tree(a)[1]) for j, p in enumerate(s) for k in range(len(p))]
+    behind = (places[-1][0], places[-1][1], places[-1][2] + 1) if places else (0, 0, 0)
     found = []
-    s, s_end, s_other = _changed(ta, tb)
-    for i in range(s, s_end) if s_end > s else [s]:
-        if i >= s_end or i >= s_other or s_end - s != s_other - s:
-            # Sections without one counterpart: all their leaves that the other side's do not hold.
-            there = {tuple(p) for section in tb[s:s_other] for p in section}
-            section = ta[i] if i < s_end else []
-            found += [(i, j, k) for j, p in enumerate(section) if tuple(p) not in there for k in range(len(p))]
-            if not section:
-                found.append((i, 0, 0))
-            continue
-        p, p_end, p_other = _changed(ta[i], tb[i])
-        for j in range(p, p_end) if p_end > p else [p]:
-            if j >= p_end or p_end - p != p_other - p:
-                found += [(i, j, k) for k in range(len(ta[i][j]))] if j < p_end else [(i, j, 0)]
-                continue
-            k, k_end, _ = _changed(ta[i][j], tb[i][j])
-            found += [(i, j, x) for x in (range(k, k_end) if k_end > k else [k])]
-    return found
+    for first, end, _, _ in changes(a, b):
+        found += places[first:end] if end > first else [places[first] if first < len(places) else behind]
+    return sorted(set(found))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -202,10 +281,12 @@ def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    if ranges is None:
-        ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if not rows.limit(1).count():
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+    if not size:
         return spark.createDataFrame([], EDITED)
+    if ranges is None:
+        least = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(least, math.ceil(size / RANGE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -236,7 +317,7 @@ def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
     dealt = in_ranges(rows, ranges).withColumn("tie", F.xxhash64("text"))
     return (
-        dealt.repartition("part")
+        dealt.repartitionById(ranges, F.col("part").cast("int"))
         .sortWithinPartitions("part", "guard", "at", "doc_id", "tie", "text")
         .select("part", "guard", "doc_id", "text")
         .mapInArrow(run, EDITED)
