@@ -43,15 +43,17 @@ KNOWN_FEATURES = 200_000
 #: Texts and words that take their steps together; more of them need fewer steps.
 BATCH_TEXTS, BATCH_WORDS = 2048, 700_000
 
-#: Letter-like numbers (fractions, superscripts, Roman numerals) count as word characters, but are no letters.
-NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORDS = re.compile(f"[^\\W\\d_{re.escape(NUMERALS)}]+")
+WORDS = re.compile(r"[^\W\d_]+")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, switches long"
 
 
 def words_in(text: str) -> list[str]:
     """Runs of letters, in lower case."""
-    return WORDS.findall(text.lower())
+    words = WORDS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    # The pattern also takes letter-like numbers: fractions, superscripts, Roman numerals.
+    return [run for w in words for run in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 class FeatureNumbers(dict):
