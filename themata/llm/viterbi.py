@@ -35,7 +35,6 @@ from themata.llm.common import column, slices, text_of
 # Fixed value: how the library writes a space inside a piece.
 SPACE = "▁"
 CACHED_STRETCHES = 400_000
-CACHED_LENGTH = 48
 #: Pairs of pieces that were judged.
 CACHED_PAIRS = 200_000
 #: Instead of a last piece: a place that no path reaches, and one behind bytes or at the start.
@@ -75,7 +74,9 @@ class Pieces:
         parts = {t: last_merge(t, order) for t in texts if len(t) > 1}
         # Pieces that merging their own characters does not give never occur.
         self.ids = {t: i for t, i in texts.items() if len(t) == 1 or parts[t]}
-        self.begins = {t[:n] for t in self.ids for n in range(1, len(t))}
+        # By string: the id of the piece or NONE, and whether longer pieces begin so.
+        self.strings = {t[:n]: (NONE, True) for t in self.ids for n in range(1, len(t))}
+        self.strings |= {t: (i, t in self.strings) for t, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.splits = all(re.search(r"[^ ] ", t) is None for t in self.ids)
         self.order = {i: order[t] for t, i in self.ids.items()}
@@ -102,6 +103,49 @@ class Pieces:
                 self.judged[key] = known
         return known
 
+    def extend(self, text: str, at: int, size: int, last: list[int], back: list[int]) -> None:
+        """Follow the pieces that begin at a place, up to ``size``: the last piece of the path to each
+        place of the text, and where that began."""
+        before, strings, judged = last[at], self.strings, self.judged
+        if text[at] not in self.ids:
+            last[at + 1], back[at + 1] = FREE, at
+            return
+        for end in range(at + 1, size + 1):
+            known = strings.get(text[at:end])
+            if known is None:
+                return
+            number, longer = known
+            # A beginning of the text has one valid last piece; a place that has it is done.
+            if number != NONE and last[end] == NONE:
+                follows = before == FREE or judged.get(before << 32 | number)
+                if follows is None:
+                    follows = self.may_follow(before, number)
+                if follows:
+                    last[end], back[end] = number, at
+            if not longer:
+                return
+
+    def steps(self, text: str, to: int, last: list[int], back: list[int]) -> list[int]:
+        """The ids of the path to a place."""
+        out, place = [], to
+        while place:
+            if last[place] != FREE:
+                out.append(last[place])
+            else:
+                out += [self.of_byte[b] for b in reversed(text[place - 1].encode("utf-8", "surrogatepass"))]
+            place = back[place]
+        return out[::-1]
+
+    def window(self, text: str) -> list[int]:
+        """The ids of a text that fits a window."""
+        n = len(text)
+        last, back = [NONE] * (n + 1), [0] * (n + 1)
+        last[0] = FREE
+        for at in range(n):
+            if last[at] != NONE:
+                self.extend(text, at, min(n, at + self.longest), last, back)
+        return self.steps(text, n, last, back)
+
     def _judge(self, x: int, y: int) -> bool:
         order, merged = self.order, self.merged
         turn, left_first = math.inf, False
@@ -143,44 +187,20 @@ class StreamingEncoder:
         self.largest_window = 0
 
     def _extend(self, at: int) -> None:
-        """Follow the pieces that begin at a place all of whose longest pieces are known."""
-        text, last, back, pieces = self.text, self.last, self.back, self.pieces
-        size = min(len(text), at + pieces.longest)
-        new = size + 1 - len(last)
+        size = min(len(self.text), at + self.pieces.longest)
+        new = size + 1 - len(self.last)
         if new > 0:
-            last += [NONE] * new
-            back += [0] * new
-        before, ids, begins = last[at], pieces.ids, pieces.begins
-        if text[at] not in ids:
-            last[at + 1], back[at + 1] = FREE, at
-            return
-        for end in range(at + 1, size + 1):
-            part = text[at:end]
-            number = ids.get(part)
-            if number is not None:
-                # A beginning of the text has one valid last piece; a place that has it is done.
-                if last[end] == NONE and (before == FREE or pieces.may_follow(before, number)):
-                    last[end], back[end] = number, at
-            if part not in begins:
-                break
-
-    def _ids(self, place: int) -> list[int]:
-        """The ids of the path's last step to a place, the last one first."""
-        if self.last[place] != FREE:
-            return [self.last[place]]
-        data = self.text[place - 1].encode("utf-8", "surrogatepass")
-        return [self.pieces.of_byte[b] for b in reversed(data)]
+            self.last += [NONE] * new
+            self.back += [0] * new
+        self.pieces.extend(self.text, at, size, self.last, self.back)
 
     def _commit(self, to: int) -> list[int]:
-        out, place = [], to
-        while place:
-            out += self._ids(place)
-            place = self.back[place]
+        out = self.pieces.steps(self.text, to, self.last, self.back)
         self.text = self.text[to:]
         self.last = self.last[to:]
         self.back = [0, *(b - to for b in self.back[to + 1 :])]
         self.done -= to
-        return out[::-1]
+        return out
 
     def _meeting(self) -> int:
         """The last boundary that the paths to all open ends share."""
@@ -227,22 +247,23 @@ class Codec:
                 first = False
         yield from encoder.feed("", final=True)
 
-    def _search(self, stretch: str) -> bytes:
-        return array("I", StreamingEncoder(self.pieces).feed(stretch, final=True)).tobytes()
+    def _fresh(self, stretch: str) -> bytes:
+        if len(stretch) > 2 * self.pieces.longest:
+            return array("I", StreamingEncoder(self.pieces).feed(stretch, final=True)).tobytes()
+        ids = array("I", self.pieces.window(stretch)).tobytes()
+        if len(self.cache) < CACHED_STRETCHES:
+            self.cache[stretch] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit integers; none for the empty text."""
         if not text:
             return b""
-        cache, out = self.cache, []
-        for stretch in self.stretch.findall(" " + text):
-            ids = cache.get(stretch)
-            if ids is None:
-                ids = self._search(stretch)
-                if len(cache) < CACHED_STRETCHES and len(stretch) <= CACHED_LENGTH:
-                    cache[stretch] = ids
-            out.append(ids)
-        return b"".join(out)
+        stretches = self.stretch.findall(" " + text)
+        found = list(map(self.cache.get, stretches))
+        if None in found:
+            found = [self._fresh(s) if ids is None else ids for s, ids in zip(stretches, found, strict=True)]
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
         """The text behind ids; ids that no text gives may stand for broken characters."""
