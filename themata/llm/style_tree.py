@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,6 +83,12 @@ PART_WORDS = frozenset(
 LAYOUT_WORDS = frozenset(
     "sidebar side rail menu nav navbar navigation header masthead topbar toolbar footer search form skip".split()
 )
+#: Words of a name behind its role word that say where or how large it is, not what.
+NEUTRAL = frozenset(
+    "box boxes wrapper wrap container inner outer area block blocks slot unit section panel left right top bottom "
+    "bar row list item items link links button buttons icon icons posts content main primary secondary global "
+    "site page fixed sticky small large desktop mobile".split()
+)
 #: A name that begins so tells what a wrapper has, not what it is.
 HAVING = frozenset("with without has no".split())
 
@@ -96,7 +103,9 @@ PATHS = "page long, host string, path long"
 def roles_of(tag: str, names: list[str]) -> frozenset[str]:
     """The role words by which an element says what it is.
 
-    Names of articles often tell topics or the layout, so only the first word of each counts.
+    Names of articles often tell topics or the layout, so only the first word of each counts. Of other
+    compound names, the last word counts (``post-comments``; but ``side-effects`` is about effects), or the
+    first one if the others only say where it stands (``ad-box``).
     """
     roles: set[str] = set()
     for words in filter(None, map(WORD.findall, names)):
@@ -104,7 +113,9 @@ def roles_of(tag: str, names: list[str]) -> frozenset[str]:
             if len(words) == 1 or words[0] not in LAYOUT_WORDS:
                 roles.add(words[0])
         elif tag != "main" and words[0] not in HAVING:
-            roles.update(words)
+            rest = [w for w in words[1:] if len(w) > 1 and w not in NEUTRAL]
+            roles.add(words[-1] if rest else words[0])
+            roles.add(words[-1])
     return frozenset(roles & ROLE_WORDS - (PART_WORDS if tag == "article" else frozenset()))
 
 
@@ -132,12 +143,21 @@ def parse(page: str) -> Element:
     """The page's elements as a tree; broken markup is mended like browsers do in the common cases."""
     root = Element("html", "", None)
     here, at, size = root, 0, len(page)
+    # Open elements by tag: what is not open is not looked for.
+    opened: Counter[str] = Counter()
 
-    def end(tags: tuple[str, ...], within: tuple[str, ...] = ()) -> Element:
+    def leave(to: Element) -> Element:
         node = here
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+        return to
+
+    def end(tags: tuple[str, ...], within: tuple[str, ...] = ()) -> Element:
+        node = here if any(opened[t] for t in tags) else root
         while node is not root and node.tag not in within:
             if node.tag in tags:
-                return node.parent
+                return leave(node.parent)
             node = node.parent
         return here
 
@@ -161,14 +181,14 @@ def parse(page: str) -> Element:
                 here.children.append(Element("br", "", here))
             elif tag not in ("html", "body"):
                 # A closing tag that opens nothing is left out; an inline one does not end blocks.
-                node = here
+                node = here if opened[tag] else root
                 while node is not root and node.tag != tag:
                     if tag in INLINE_TAGS and node.tag not in INLINE_TAGS:
                         node = root
                         break
                     node = node.parent
                 if node is not root:
-                    here = node.parent
+                    here = leave(node.parent)
             continue
         if tag in ("html", "body"):
             continue
@@ -186,6 +206,7 @@ def parse(page: str) -> Element:
             at = close.end() if close else size
             continue
         here = child
+        opened[tag] += 1
     return root
 
 
@@ -265,18 +286,34 @@ def branches(root: Element, found: dict[int, bool]) -> Iterator[tuple[int, Eleme
     elements that are not running text. Elements that name their role are included, as the tree
     counts them, but not what lies in them.
     """
-    stack = [(c, "", False) for c in root.children if isinstance(c, Element)]
+    stack = [(c, 0, False) for c in root.children if isinstance(c, Element)]
     while stack:
-        node, chain, inside = stack.pop()
+        node, above, inside = stack.pop()
         if node.tag in INLINE_TAGS or node.tag == "br" or node.tag in RAW_TAGS or node.tag == "head":
             continue
-        chain = f"{chain}>{node.label}"
+        path = hash64(f"{above}>{node.label}")
         inside |= node.tag in ARTICLE_TAGS
         running = node.tag in TEXT_TAGS
         if not found[id(node)] and not (inside and running):
-            yield hash64(chain), node, inside
+            yield path, node, inside
         if not is_apart(node, inside, found) and not running:
-            stack.extend((c, chain, inside) for c in node.children if isinstance(c, Element))
+            stack.extend((c, path, inside) for c in node.children if isinstance(c, Element))
+
+
+def content_hashes(root: Element) -> dict[int, int]:
+    """Hashes of the texts of all branches, each made of those of its children."""
+    out: dict[int, int] = {}
+    stack: list[tuple[Element, bool]] = [(root, False)]
+    while stack:
+        node, ready = stack.pop()
+        inner = [c for c in node.children if isinstance(c, Element)]
+        if not ready and inner:
+            stack.append((node, True))
+            stack.extend((c, False) for c in inner)
+            continue
+        parts = (out[id(c)] if isinstance(c, Element) else " ".join(c.split()) for c in node.children)
+        out[id(node)] = hash64("\x1f".join(str(p) for p in parts if p))
+    return out
 
 
 def features(page: str) -> dict[int, tuple[int, int]]:
@@ -284,11 +321,12 @@ def features(page: str) -> dict[int, tuple[int, int]]:
     styles: dict[int, list[str]] = {}
     contents: dict[int, list[str]] = {}
     root = parse(page)
+    texts = content_hashes(root)
     for path, node, _ in branches(root, articles(root)):
         labels = [c.label for c in node.children if isinstance(c, Element)]
         runs = [x for i, x in enumerate(labels) if not i or labels[i - 1] != x]
         styles.setdefault(path, []).append(",".join(runs))
-        contents.setdefault(path, []).append("\n".join(text_blocks(node, set())))
+        contents.setdefault(path, []).append(str(texts[id(node)]))
     return {p: (hash64("\x1d".join(styles[p])), hash64("\x1d".join(contents[p]))) for p in styles}
 
 
@@ -296,15 +334,18 @@ def main_text(page: str, unimportant: set[int]) -> str:
     """The text of a page without branches that name their role or have an unimportant path."""
     root = parse(page)
     found = articles(root)
-    skip = {id(node) for path, node, _ in branches(root, found) if path in unimportant}
+    low = {id(node) for path, node, _ in branches(root, found) if path in unimportant}
+    skip, hidden = set(low), set()
     stack = [(c, False) for c in root.children if isinstance(c, Element)]
     while stack:
         node, inside = stack.pop()
         inside |= node.tag in ARTICLE_TAGS
         if is_apart(node, inside, found):
             skip.add(id(node))
-        else:
-            stack.extend((c, inside) for c in node.children if isinstance(c, Element))
+            if never_text(node, found[id(node)]) or node.tag == "header":
+                hidden.add(id(node))
+                continue
+        stack.extend((c, inside) for c in node.children if isinstance(c, Element))
     tops, stack = [], [root] if found[id(root)] else []
     while stack:
         node = stack.pop()
@@ -322,15 +363,14 @@ def main_text(page: str, unimportant: set[int]) -> str:
         outer = " ".join(text_blocks(root, skip | {id(top) for top in tops}))
         if len(outer) <= len(inner):
             return inner
-    return " ".join(text_blocks(root, skip))
+    # A page whose whole text stands in a wrapper with the name of a role has that text.
+    return " ".join(text_blocks(root, skip)) or " ".join(text_blocks(root, low | hidden))
 
 
 def unimportant_paths(pages: DataFrame, min_pages: int = MIN_PAGES, least: float = MIN_IMPORTANCE) -> DataFrame:
     """(host, path) of the branches of ``pages`` (host, html) whose importance is too low."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         for batch in slices(batches, "html"):
             seen: Counter[tuple] = Counter()
             for host, page in zip(column(batch, "host"), column(batch, "html"), strict=True):
