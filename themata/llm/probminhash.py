@@ -229,13 +229,17 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
 def linked_labels(buckets: DataFrame, held: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
     """Component labels (id, label) of the candidate sets.
 
-    ``buckets`` has (band, key, id) for keys of two or more sets and the sets' component bits
-    (s0, s1, ...); ``held`` has the sets' shingles.
+    ``buckets`` has (band, key, id) for keys of two or more sets, the sets' component bits
+    (s0, s1, ...), and the numbers of their shingles, all of them and those that other sets have too;
+    ``held`` has the sets' shingles.
     """
     bits = [c for c in buckets.columns if c.startswith("s")]
     # Of unequal components, half differ in their bit.
     most = int(bands * rows * (1 - LEAST_ESTIMATE) / 2)
     differ = " + ".join(f"bit_count(x.{c} ^ h.{c})" for c in bits)
+    # What two sets share is shared, so it is not more than either shares with any set.
+    shared = f"least(x.common, h.common) * {1 + threshold} >= {threshold} * (x.number + h.number) - 1e-6"
+    carried = [*bits, "number", "common"]
     labels = held.select("id", F.col("id").alias("label"))
     links: DataFrame | None = None
     leaders, turn = LEADERS, 0
@@ -245,7 +249,7 @@ def linked_labels(buckets: DataFrame, held: DataFrame, bands: int, rows: int, th
         now = buckets.where(F.col("band") < looked).join(labels, "id")
         spread = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         live = materialise(
-            now.join(spread.where("low <> high").select("key"), "key").select("band", "key", "id", "label", *bits),
+            now.join(spread.where("low <> high").select("key"), "key").select("band", "key", "id", "label", *carried),
             "live",
         )
         if not live.limit(1).count():
@@ -256,11 +260,11 @@ def linked_labels(buckets: DataFrame, held: DataFrame, bands: int, rows: int, th
         heads = live.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("class")).agg(
             F.min("id").alias("head"),
             F.min_by("label", "id").alias("head_label"),
-            *[F.min_by(c, "id").alias(c) for c in bits],
+            *[F.min_by(c, "id").alias(c) for c in carried],
         )
         pairs = (
             live.alias("x")
-            .join(heads.alias("h"), F.expr(f"x.key = h.key AND x.label <> h.head_label AND {differ} <= {most}"))
+            .join(heads.alias("h"), F.expr(f"x.key = h.key AND x.label <> h.head_label AND {shared} AND {differ} <= {most}"))
             .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
             .distinct()
         )
@@ -270,10 +274,32 @@ def linked_labels(buckets: DataFrame, held: DataFrame, bands: int, rows: int, th
         if looked >= bands:
             # Members that led leave; buckets within one component are left out from here on.
             rest = live.join(heads.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti")
-            buckets = materialise(rest.select("band", "key", "id", *bits), "buckets")
+            buckets = materialise(rest.select("band", "key", "id", *carried), "buckets")
             leaders *= GROWTH
 
 
+def shared_shingles(held: DataFrame, threshold: float) -> DataFrame:
+    """``held`` with the ``number`` of shingles of each set and how many of them are ``common``, that is,
+    in another set too. Sets of which less than the threshold is common have no links and are left out.
+
+    Near copies that were changed in many places have many shingles of their own, so most pairs of
+    them need no verification. Sets are counted before they are shuffled.
+    """
+    alone = (
+        held.select("id", F.explode("shingles").alias("s"))
+        .groupBy("s")
+        .agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        .where("n = 1")
+        .groupBy("id")
+        .agg(F.count("*").alias("alone"))
+    )
+    number = F.size("shingles")
+    counted = held.join(alone, "id", "left").select(
+        "id", "bits", number.alias("number"), (number - F.coalesce("alone", F.lit(0))).alias("common")
+    )
+    return counted.where(F.col("common") >= threshold * F.col("number") - 1e-6)
+
+
 def text_id() -> Column:
     return F.xxhash64(text_of())
 
@@ -305,7 +331,9 @@ def labelled_sets(docs: DataFrame, threshold: float, bands: int, rows: int) -> t
         "candidates",
     )
     words = -(-bands * rows // 64)
-    bits = held.select("id", *[F.col("bits")[k].alias(f"s{k}") for k in range(words)])
+    bits = shared_shingles(held, threshold).select(
+        "id", *[F.col("bits")[k].alias(f"s{k}") for k in range(words)], "number", "common"
+    )
     buckets = materialise(pairs.join(bits, "id"), "buckets")
     return members, firsts, linked_labels(buckets, held.select("id", "shingles"), bands, rows, threshold)
 
@@ -349,9 +377,12 @@ def one_of_each_class(
         .agg(F.min(rank).alias("kept"))
         .select("kept.doc_id", "kept.text_id")
         .union(members.where("set_id is null").select("doc_id", "text_id").distinct())
-        .select(F.col("doc_id").alias("_keep"), F.col("text_id").alias("_text"))
+        .select(F.col("doc_id").alias("keep"), F.col("text_id").alias("text_id"))
     )
     repeated = members.groupBy("doc_id", "text_id").count().where("count > 1").limit(1).count()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (text_id() == F.col("_text"))
-    kept = docs.join(chosen, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    # The row stands in a column of its own, so no name of its columns can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_id().alias("of"))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("keep")) & (F.col("of") == F.col("text_id")), "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates(["id", "of"])
+    return kept.select("row.*")
