@@ -13,3 +13,9 @@ ODD = [
     (None, "no id is here but the text of it is read", "en", "s2"),
     (8, "Nicht der und die das ist ein Satz mit Wörtern", "de", "s2"),
 ]
+
+#: Names that operators use for columns of their own.
+INTERNAL = (
+    "row key id of keep gone m votes quality_ label bands bits set_id text_id number common part at guard tie "
+    "place shard slot task lane n hash share _key _id _gone _keep _text _m _votes"
+).split()

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
-from odd_rows import ODD
+from odd_rows import INTERNAL, ODD
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -135,6 +137,38 @@ def test_odd_classes(spark, odd):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "5", "6", "7", "8", "None"]
 
 
+def test_columns_of_any_name_stay(odd):
+    for frame in (
+        line_spread.remove_widespread(odd), judge(odd.drop("n_words", "kept")), probminhash.one_of_each_class(odd)
+    ):
+        rows = frame.collect()
+        assert rows and all(r[n] == n for r in rows for n in INTERNAL)
+
+
+def test_changed_copies_are_not_verified(spark):
+    """A group of copies that all differ in many words of their own, around one that is linked."""
+    random.seed(12)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(150)]
+    rows = [" ".join(base)]
+    for i in range(300):
+        text = [*base]
+        for _ in range(1 + i % 9):
+            text[random.randrange(150)] = word()
+        rows.append(" ".join(text))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    check_classes(frame)
+    held = probminhash.sign(
+        frame.select("doc_id", F.lit(0).cast("long").alias("text_id"), "text"), probminhash.BANDS, probminhash.BAND_ROWS
+    ).select(F.col("set_id").alias("id"), "shingles", "bits")
+    kept = probminhash.shared_shingles(held, 0.8).collect()
+    sets = [shingles(t) for t in rows]
+    seen = Counter(x for s in sets for x in s)
+    common = sorted((len(s), sum(seen[x] > 1 for x in s)) for s in sets)
+    assert sorted((r["number"], r["common"]) for r in kept) == [c for c in common if c[1] >= 0.8 * c[0]]
+    assert len(kept) < 0.9 * len(rows)
+
+
 def test_one_row_of_classes_without_or_with_repeated_ids(spark):
     base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
     near = [t + " more" for t in base]
@@ -230,6 +264,75 @@ def test_tree_finds_what_repeats(spark):
     assert found[50] == ["Copy"] * 3
 
 
+def nested(number):
+    """Boilerplate without telling names: a frame around the text, blocks in blocks, and links."""
+    links = "".join(f"<i><a>{w}</a></i>" for w in ("one", "two", "three"))
+    return (
+        f"<div class=a><div class=b><div class=c>All our pages</div><div class=d>{links}</div></div>"
+        f"<div class=e><div class=f><p>Text {number} is <b>new</b></div><div class=g><div class=h>Call us</div></div></div>"
+        f"<div class=k><div class=c>Written {number}</div></div></div>"
+    )
+
+
+def plain_importance(pages):
+    """Importance by path from whole branches: texts and child elements, by definition."""
+    shown = defaultdict(lambda: (Counter(), Counter()))
+    for markup in pages:
+        root = style_tree.parse(markup)
+        here = defaultdict(list)
+
+        def walk(node, path):
+            for child in node.children:
+                if isinstance(child, style_tree.Element) and child.tag not in style_tree.INLINE_TAGS:
+                    at = (*path, child.label)
+                    labels = [c.label for c in child.children if isinstance(c, style_tree.Element)]
+                    runs = tuple(x for i, x in enumerate(labels) if not i or labels[i - 1] != x)
+                    here[at].append((runs, tuple(style_tree.text_blocks(child, set()))))
+                    if child.tag not in style_tree.TEXT_TAGS:
+                        walk(child, at)
+
+        walk(root, ())
+        for at, found in here.items():
+            shown[at][0][tuple(f[0] for f in found)] += 1
+            shown[at][1][tuple(f[1] for f in found)] += 1
+    out = {}
+    for at, kinds in shown.items():
+        n = sum(kinds[0].values())
+        entropy = [-sum(c / n * math.log(c / n) for c in k.values()) / math.log(n) for k in kinds]
+        out[at] = 0.2 * entropy[0] + 0.8 * entropy[1]
+    return out
+
+
+def test_the_tree_decides(spark):
+    """Against a plain tree; without the tree every page keeps its boilerplate."""
+    rows = [(i, "http://h.example/", nested(i)) for i in range(30)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in style_tree.extract(frame).collect()}
+    assert found == {i: f"Text {i} is new Written {i}" for i in range(30)}
+    without = {r["page_id"]: r["text"] for r in style_tree.extract(frame, least=0.0).collect()}
+    assert all(without[i] != found[i] and "Call us" in without[i] for i in found)
+    importance = plain_importance([r[2] for r in rows])
+    low = {at for at, value in importance.items() if value < style_tree.MIN_IMPORTANCE}
+    assert low == {
+        ("div.a", "div.b"), ("div.a", "div.b", "div.c"), ("div.a", "div.b", "div.d"),
+        ("div.a", "div.e", "div.g"), ("div.a", "div.e", "div.g", "div.h"),
+    }
+    hosted = frame.withColumn("host", F.lit("h"))
+    assert style_tree.unimportant_paths(hosted).count() == len(low)
+
+
+def test_time_grows_with_the_page():
+    pages = {
+        "nested": "<div>" * 8000 + "deep", "stray": "<div>" * 8000 + "</p></b></section>" * 8000,
+        "lists": "<ul><li>" * 8000 + "x", "quotes": "<blockquote>" * 8000 + "<p>" * 100 + "x",
+    }
+    for name, markup in pages.items():
+        began = time.process_time()
+        style_tree.features(markup)
+        style_tree.main_text(markup, set())
+        assert time.process_time() - began < 1.0, name
+
+
 def test_importance_is_entropy(spark):
     rows = [(i, "http://h.example/", f"<div class=a>{i % 2}</div><div class=b>{i}</div>") for i in range(8)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h"))
@@ -267,6 +370,10 @@ def test_markup(markup, text):
         ("<div id=page class=header-fixed><nav>n</nav><article>a b</article></div>", "a b"),
         ("<form id=search><main>a b</main></form>", "a b"),
         ("<div class='has-sidebar'><p>a</p><div class=sidebar>s</div></div>", "a"),
+        # Names of which a role word is only a part, and whole pages in a wrapper with such a name.
+        ("<div class='legal-news'><p>a b</p></div>", "a b"),
+        ("<div id='side-effects'>a b<div class='ad-box'>c</div><div class=post-comments>d</div></div>", "a b"),
+        ("<div class=sidebar><p>a b</p><script>s</script><nav>n</nav></div>", "a b"),
         # Parts of an article.
         ("<article>a<section id=discussion><p>b</section><p class=notice>c<div class=ad>d</div></article>", "a b c"),
         ("<article class='post category-advertising header-fixed'>a</article>", "a"),

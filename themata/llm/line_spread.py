@@ -77,22 +77,28 @@ def remove_widespread(docs: DataFrame, site: str = "source", min_sites: int = MI
     """
     rows = docs.drop("n_removed")
     wide = materialise(widespread_lines(rows, site, min_sites), "widespread-lines")
-    keyed = rows.withColumn("_key", F.xxhash64("text")).withColumn("_id", F.col("doc_id"))
+    # The row stands in a column of its own, so no name of its columns can clash.
+    keyed = rows.select(
+        F.struct("*").alias("row"), F.xxhash64("text").alias("key"), F.col("doc_id").alias("id"), text_of().alias("text")
+    )
     # Which lines go from which rows: without the texts, and only of rows that hold such lines.
-    found = _lines(keyed.select("_id", "_key", text_of().alias("text")), "_id", "_key").join(wide, ["a", "b"])
+    found = _lines(keyed.select("id", "key", "text"), "id", "key").join(wide, ["a", "b"])
     going = (
-        found.where(~F.col("keeper").eqNullSafe(F.col("_id")))
-        .select("_id", "_key", F.struct("a", "b").alias("k"))
-        .groupBy("_id", "_key")
-        .agg(F.collect_set("k").alias("_gone"))
+        found.where(~F.col("keeper").eqNullSafe(F.col("id")))
+        .select(F.col("id").alias("of"), F.col("key").alias("of_key"), F.struct("a", "b").alias("k"))
+        .groupBy("of", "of_key")
+        .agg(F.collect_set("k").alias("gone"))
     )
-    key = [keyed["_id"].eqNullSafe(going["_id"]), keyed["_key"] == going["_key"]]
-    joined = keyed.join(going, key, "left").drop("_id", "_key")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("_gone"), line_key(line)), F.lit(False)))
-    cleaned = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
-    return joined.withColumns({"n_removed": removed, "text": cleaned}).select(*rows.columns, "n_removed")
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
+    joined = keyed.select("row", "key", "id").join(going, same, "left")
+    text, gone = F.col("row.text"), F.col("gone")
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(gone, line_key(line)), F.lit(False)))
+    cleaned = F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    removed = F.when(gone.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    done = joined.select("row", cleaned.alias("cleaned"), removed.alias("removed"))
+    columns = [F.col("cleaned").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in rows.columns]
+    return done.select(*columns, F.col("removed").alias("n_removed"))
 
 
 def oracle() -> str:

@@ -155,20 +155,24 @@ def judge(docs: DataFrame) -> DataFrame:
     Null text is a text without words; such texts fail. Repeated rows are judged one by one. Columns
     of the added names are replaced. All other columns stay. An empty table gives no rows.
     """
-    rows = docs.drop(*[c for c in [*ADDED, "_m", "_votes"] if c in docs.columns])
+    rows = docs.drop(*[c for c in ADDED if c in docs.columns])
     measures = F.pandas_udf(measured_texts, MEASURES)
-    measured = materialise(rows.withColumn("_m", measures(text_of())), "measured")
-    words, repeats = F.col("_m.n_words"), F.col("_m.n_repeat_words")
+    # The row stands in a column of its own, so no name of its columns can clash.
+    measured = materialise(rows.select(F.struct("*").alias("row"), measures(text_of()).alias("m")), "measured")
+    words, repeats = F.col("m.n_words"), F.col("m.n_repeat_words")
     failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
-    counted = measured.groupBy("_m.votes").agg(F.sum(F.when(failed, 0).otherwise(1)).alias("n")).toPandas()
+    counted = measured.groupBy("m.votes").agg(F.sum(F.when(failed, 0).otherwise(1)).alias("n")).toPandas()
     posterior = estimate(counted["votes"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
     # One row per pattern of votes: at most 3^rules.
     table = docs.sparkSession.createDataFrame(
-        [(int(v), float(p)) for v, p in zip(counted["votes"], posterior, strict=True)], "_votes int, quality double"
+        [(int(v), float(p)) for v, p in zip(counted["votes"], posterior, strict=True)], "votes int, quality double"
     )
     names = [part.split()[0] for part in MEASURES.split(", ")][:-1]
-    return (
-        measured.join(F.broadcast(table), F.col("_m.votes") == F.col("_votes"))
-        .select(*rows.columns, "quality", failed.alias("base_failed"), *[F.col(f"_m.{n}").alias(n) for n in names])
-        .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+    judged = measured.join(F.broadcast(table), F.col("m.votes") == F.col("votes"))
+    return judged.select(
+        *[F.col(f"row.`{c}`") for c in rows.columns],
+        "quality",
+        failed.alias("base_failed"),
+        *[F.col(f"m.{n}").alias(n) for n in names],
+        (~failed & (F.col("quality") >= 0.5)).alias("kept"),
     )
