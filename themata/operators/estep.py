@@ -134,6 +134,26 @@ def _broadcast_e_step(
     return corpus.mapInArrow(run, SCHEMAS[want])
 
 
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of each block once; all documents of a block are in one task."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        ids = batch.column(1).flatten().to_numpy()
+        of = np.repeat(blocks, sizes)
+        for block in np.unique(of):
+            parts = held.setdefault(int(block), [])
+            parts.append(np.unique(ids[of == block]))
+            if len(parts) > 1 and len(parts[-1]) >= len(parts[0]):
+                held[int(block)] = [np.unique(np.concatenate(parts))]
+    for block, parts in held.items():
+        found = np.unique(np.concatenate(parts))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(found), block)), pa.array(found)], names=["block", "word_id"]
+        )
+
+
 def _block_e_step(
     corpus: DataFrame,
     model: TopicModel,
@@ -145,10 +165,12 @@ def _block_e_step(
     placed = corpus.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     # Distinct words of a block: a frequent word counts once per block, not once
     # per document. As it still occurs in most blocks, its row is broadcast.
-    words = placed.repartition("block").select("block", F.explode("word_ids").alias("word_id"))
+    words = placed.select("block", "word_ids").repartition("block").mapInArrow(
+        _distinct_words, "block BIGINT, word_id BIGINT"
+    )
     # The join leaves out the table's other words.
     needed = split_join(
-        words.distinct(),
+        words,
         model.lam,
         spec.num_topics,
         broadcast_bytes,

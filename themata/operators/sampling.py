@@ -110,7 +110,7 @@ class BatchWindow:
 class DirectBatches:
     """Batches that are a large share of the corpus: each is drawn while the corpus is read.
 
-    Nothing is written or shuffled. Only the numbers of draws are counted beforehand, for all
+    Nothing is written. Only the numbers of draws are counted beforehand, for all
     iterations in one scan of the document ids.
     """
 
@@ -118,15 +118,19 @@ class DirectBatches:
     LEAST_FRACTION = 1 / 8
 
     def __init__(self, corpus: DataFrame, fraction: float, seed: int, first: int, last: int):
-        self.corpus = spread(corpus.select("doc_id", "word_ids", "word_cts"))
+        self.corpus = corpus.select("doc_id", "word_ids", "word_cts")
         self.fraction, self.seed, self.last = fraction, seed, last
+        # Of a corpus in a few small files, the drawn documents are spread over all cores.
+        few = spread(self.corpus) is not self.corpus
+        self.tasks = corpus.sparkSession.sparkContext.defaultParallelism if few else 0
         bare = corpus.select("doc_id", F.array().cast("array<double>").alias("word_cts"))
         drawn = draw_minibatches(bare, fraction, seed, first, last)
         sizes = drawn.groupBy("iteration").agg(F.sum("draws").alias("n")).collect()
         self.docs = {row["iteration"]: row["n"] for row in sizes}
 
     def batch(self, iteration: int) -> DataFrame:
-        return draw_minibatch(self.corpus, self.fraction, self.seed, iteration)
+        batch = draw_minibatch(self.corpus, self.fraction, self.seed, iteration)
+        return batch.repartition(self.tasks) if self.tasks else batch
 
     def drop(self) -> None:
         """Nothing was written."""
