@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themata.llm.common import SLICE_CHARS, column, crc_fold, slices, text_of
+from themata.llm.common import column, crc_fold, slices, text_of
 
 FEATURES = 1 << 16
 SAMPLE_TEXTS, LANGUAGE_TEXTS = 1600, 400
@@ -38,8 +38,8 @@ FIT_VALUES = 1 << 21
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
 FOLDS, TEST_FOLD = 3, 1
-CACHED_WORDS = 300_000
-KNOWN_FEATURES = 200_000
+CACHED_WORDS = 200_000
+KNOWN_FEATURES = 100_000
 #: Texts and words that take their steps together; more of them need fewer steps.
 BATCH_TEXTS, BATCH_WORDS = 2048, 700_000
 
@@ -188,6 +188,12 @@ class Tagger:
                 yield marginal[a : a + n]
             first = last
 
+    def forget(self) -> None:
+        """Let go of the words met so far."""
+        self.rows.clear()
+        self.table = np.empty((1024, len(self.languages)))
+        NUMBERS.clear()
+
     def label(self, text: str) -> list[tuple[str, str]]:
         """The words of a code-switched text with their most probable languages."""
         words = words_in(text)
@@ -306,10 +312,12 @@ def keep_identified(docs: DataFrame, tagger: Tagger, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-        for batch in slices(batches, "text", BATCH_TEXTS, 2 * SLICE_CHARS):
+        for batch in slices(batches, "text", BATCH_TEXTS):
             texts = [words_in(t or "") for t in column(batch, "text")]
             kept = [len(m) > 0 and m.mean(0).max() >= least for m in tagger.word_marginals(texts)]
             yield batch.filter(pa.array(kept, pa.bool_()))
+        # Other stages use the same worker.
+        tagger.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -335,7 +343,7 @@ def predict(docs: DataFrame, tagger: Tagger) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-        for batch in slices(batches, "text", BATCH_TEXTS, 2 * SLICE_CHARS):
+        for batch in slices(batches, "text", BATCH_TEXTS):
             texts = [words_in(t) for t in column(batch, "text")]
             langs, scores, switches = [], [], []
             for marginal in tagger.word_marginals(texts):
