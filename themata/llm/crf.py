@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themata.llm.common import column, crc_fold, slices, text_of
+from themata.llm.common import column, crc_fold, release_memory, slices, text_of
 
 FEATURES = 1 << 16
 SAMPLE_TEXTS, LANGUAGE_TEXTS = 1600, 400
@@ -38,10 +38,12 @@ FIT_VALUES = 1 << 21
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
 FOLDS, TEST_FOLD = 3, 1
-CACHED_WORDS = 200_000
-KNOWN_FEATURES = 100_000
+CACHED_WORDS = 300_000
+KNOWN_FEATURES = 200_000
 #: Texts and words that take their steps together; more of them need fewer steps.
 BATCH_TEXTS, BATCH_WORDS = 2048, 700_000
+#: The same beside whole rows that are read and written.
+SMALL_SLICE_CHARS, SMALL_BATCH_WORDS = 1_500_000, 250_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, switches long"
@@ -164,7 +166,7 @@ class Tagger:
             rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
         return self.table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))]
 
-    def word_marginals(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+    def word_marginals(self, texts: list[list[str]], most: int = BATCH_WORDS) -> Iterator[np.ndarray]:
         """Distributions over languages for the words of each text, a bounded number at once."""
         if not self.languages:
             # Nothing was learned: no word has a distribution.
@@ -173,7 +175,7 @@ class Tagger:
         first = 0
         while first < len(texts):
             last, held = first, 0
-            while last < len(texts) and (last == first or held + len(texts[last]) <= BATCH_WORDS):
+            while last < len(texts) and (last == first or held + len(texts[last]) <= most):
                 held += len(texts[last])
                 last += 1
             part = texts[first:last]
@@ -312,12 +314,13 @@ def keep_identified(docs: DataFrame, tagger: Tagger, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-        for batch in slices(batches, "text", BATCH_TEXTS):
+        for batch in slices(batches, "text", BATCH_TEXTS, SMALL_SLICE_CHARS):
             texts = [words_in(t or "") for t in column(batch, "text")]
-            kept = [len(m) > 0 and m.mean(0).max() >= least for m in tagger.word_marginals(texts)]
+            kept = [len(m) > 0 and m.mean(0).max() >= least for m in tagger.word_marginals(texts, SMALL_BATCH_WORDS)]
             yield batch.filter(pa.array(kept, pa.bool_()))
         # Other stages use the same worker.
         tagger.forget()
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themata.llm.common import column, slices, text_of
+from themata.llm.common import column, release_memory, slices, text_of
 from themata.llm.encoding import encoder
 from themata.storage import materialise
 
@@ -141,6 +141,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int,
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place", "ids"]
             n = 8 if keep_ids else 7
             yield pa.RecordBatch.from_arrays(arrays[:n], names=names[:n])
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(cut, PIECES.format(", ids binary" if keep_ids else ""))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themata.llm.common import column, slices, text_of, words_of
+from themata.llm.common import column, release_memory, slices, text_of, words_of
 from themata.storage import materialise
 
 SHINGLE_WORDS = 5
@@ -164,6 +164,7 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 ],
                 names=["doc_id", "text_id", "set_id", "shingles", "bands", "bits"],
             )
+        release_memory()
 
     return docs.mapInArrow(run, SIGNED)
 

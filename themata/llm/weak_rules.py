@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themata.llm.common import text_of, words_of
+from themata.llm.common import release_memory, text_of, words_of
 from themata.storage import materialise
 
 # Characters that mark symbols, and frequent function words of four languages.
@@ -121,6 +121,7 @@ def measured_texts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [part.split()[0] for part in MEASURES.split(", ")]
     for batch in texts:
         yield pd.DataFrame([measure(t) for t in batch], columns=names)
+    release_memory()
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
