@@ -304,3 +304,31 @@ def test_tasks_grow_with_documents():
     assert sampling.lanes_of(5, 8) == 1
     assert sampling.lanes_of(1000, 8) == 8
     assert sampling.lanes_of(10**9, 8) > 10_000
+
+
+def test_settled_documents_leave_their_tile(monkeypatch):
+    """Documents that settle early are not multiplied again until half of a tile has settled."""
+    from themata.operators import kernel as K
+
+    rng = np.random.default_rng(3)
+    beta = rng.dirichlet(np.ones(60), 3).T
+    words = K.WordRows(np.arange(60), np.log(beta))
+    # A third of the documents have one word and settle at once, the others take many steps.
+    sizes = np.array([1] * 8 + [40] * 16)
+    ids = np.concatenate([rng.choice(60, n, replace=False) for n in sizes])
+    offsets = np.r_[0, np.cumsum(sizes)]
+    docs = K.Documents.of(np.arange(24), offsets, ids, rng.integers(1, 5, len(ids)).astype(float), words)
+    spec = K.InferenceSpec(np.full(3, 0.3), np.ones(3), 1e-9, None, 1, 0, "ones")
+    rows, plain = [], np.matmul
+    monkeypatch.setattr(K.np, "matmul", lambda a, b: (rows.append(len(a)), plain(a, b))[1])
+    gamma = np.ones((24, 3))
+    res = K.TileResult(gamma, np.exp(K.dirichlet_expectation(gamma)), np.zeros(24, np.int32))
+    left = K._advance(K.Tile.of(docs, np.arange(24)), res, np.arange(24), words, spec)
+    assert 2 * left.sum() <= 24
+    assert sum(rows) < 2 * 24 * res.steps.max()
+    for d in range(24):
+        one = K.TileResult(gamma[:1] * 0 + 1, np.exp(K.dirichlet_expectation(np.ones((1, 3)))), np.zeros(1, np.int32))
+        K._advance(K.Tile.of(docs, np.array([d])), one, np.zeros(1, np.int64), words, spec)
+        if not left[d]:
+            assert res.steps[d] == one.steps[0]
+            assert res.gamma[d] == pytest.approx(one.gamma[0], rel=1e-9)
