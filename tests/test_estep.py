@@ -332,3 +332,25 @@ def test_settled_documents_leave_their_tile(monkeypatch):
         if not left[d]:
             assert res.steps[d] == one.steps[0]
             assert res.gamma[d] == pytest.approx(one.gamma[0], rel=1e-9)
+
+
+def test_few_blocks_for_a_small_corpus(spark, model, corpus, monkeypatch):
+    """A small corpus has few blocks at any number of partitions."""
+    from themata.operators import estep as E
+
+    seen, plain = [], E._block_e_step
+    monkeypatch.setattr(E, "_block_e_step", lambda *a: (seen.append(a[2]), plain(*a))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        # Room for the first 50 words; all documents fit a block.
+        found = e_step(corpus, model, spec_of(model), "docs", broadcast_bytes=50 * 8 * TOPICS)
+        rows = {r["doc_id"]: r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] <= E.BLOCKS_PER_TASK * spark.sparkContext.defaultParallelism
+    same = {r["doc_id"]: r for r in e_step(corpus, model, spec_of(model), "docs").collect()}
+    assert rows.keys() == same.keys()
+    for doc, r in rows.items():
+        assert r["gamma"] == pytest.approx(same[doc]["gamma"], rel=1e-9)
+        assert r["bound"] == pytest.approx(same[doc]["bound"], rel=1e-9)
