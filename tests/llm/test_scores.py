@@ -433,3 +433,25 @@ def test_odd_pieces(spark, odd):
     back = viterbi.decode_documents(viterbi.encode_documents(odd, model), model).collect()
     assert sorted(map(str, back)) == sorted(map(str, odd.selectExpr("doc_id", "coalesce(text, '') text").collect()))
     assert viterbi.round_trips(odd.limit(0), model).count() == 0
+
+
+def test_language_stage_frees_encoded_words():
+    """A worker that packed documents before does not keep their words while it identifies languages."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from themata.llm import crf, encoding
+    from themata.llm.queries import vocabulary_path
+
+    encoding.encoder(vocabulary_path("byte_bpe_50k.json"))(["some words that are met"])
+    assert encoding.encoder.cache_info().currsize
+    tagger = crf.fit([("en", ["the", "words"] * 30), ("de", ["und", "der"] * 30)])
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    docs = SimpleNamespace(
+        sparkSession=SimpleNamespace(sparkContext=context), schema=None, mapInArrow=lambda run, _: run
+    )
+    run = crf.keep_identified(docs, tagger, 0.4)
+    batch = pa.RecordBatch.from_arrays([pa.array(["the words", None])], names=["text"])
+    assert [b.num_rows for b in run(iter([batch]))] == [1]
+    assert encoding.encoder.cache_info().currsize == 0

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themata.llm.common import column, crc_fold, release_memory, slices, text_of
+from themata.llm.encoding import forget_encoders
 
 FEATURES = 1 << 16
 SAMPLE_TEXTS, LANGUAGE_TEXTS = 1600, 400
@@ -267,6 +268,12 @@ def fit(samples: list[tuple[str, list[str]]]) -> Tagger:
     return Tagger(languages, lexicons, weights, transition)
 
 
+def free_worker() -> None:
+    """Encoded words that a run before left in this worker are of no use here."""
+    forget_encoders()
+    release_memory()
+
+
 def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
     """Labelled runs of words from ``docs`` (text, lang): bounded, and a function of the contents.
 
@@ -288,6 +295,7 @@ def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh32_intdigest
 
+        free_worker()
         for batch in batches:
             langs, runs = [], []
             for lang, text in zip(column(batch, "lang"), column(batch, "text"), strict=True):
@@ -313,6 +321,7 @@ def keep_identified(docs: DataFrame, tagger: Tagger, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         tagger = shared.value
         for batch in slices(batches, "text", BATCH_TEXTS, SMALL_SLICE_CHARS):
             texts = [words_in(t or "") for t in column(batch, "text")]

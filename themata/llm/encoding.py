@@ -109,3 +109,8 @@ def encoder(path: str) -> WordEncoder:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(path)
+
+
+def forget_encoders() -> None:
+    """Let go of the words that an earlier stage has met in this worker."""
+    encoder.cache_clear()
