@@ -145,6 +145,37 @@ def test_columns_of_any_name_stay(odd):
         assert rows and all(r[n] == n for r in rows for n in INTERNAL)
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 31), 1 << 31, 700, np.int64).astype(np.int32)
+    sets = [np.unique(np.concatenate([base[: 700 - k], rng.integers(0, 1 << 31, k // 2).astype(np.int32)])) for k in range(0, 700, 7)]
+    sets.append(np.empty(0, np.int32))
+    bits = np.unpackbits(probminhash.parity_bits(sets).view(np.uint8), axis=1)
+    for a in range(0, len(sets), 9):
+        for b in range(len(sets)):
+            unequal = np.setxor1d(sets[a], sets[b]).size
+            assert (bits[a] != bits[b]).sum() <= unequal
+            assert (unequal - (bits[a] != bits[b]).sum()) % 2 == 0
+    assert (bits[0] != bits[1]).sum() >= 7
+
+
+def test_copies_with_equal_changes_are_not_compared_all(spark, monkeypatch):
+    """Copies whose changes are also found in other copies, on both sides of the threshold."""
+    random.seed(14)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(7))
+    base, other = [word() for _ in range(150)], [[word() for _ in range(2)] for _ in range(150)]
+    rows = [" ".join(base)]
+    for i in range(400):
+        text = [*base]
+        for at in random.sample(range(150), 1 + i % 9):
+            text[at] = random.choice(other[at])
+        rows.append(" ".join(text))
+    compared, plain = [], probminhash.verified
+    monkeypatch.setattr(probminhash, "verified", lambda p, *a: (compared.append(p.count()), plain(p, *a))[1])
+    check_classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sum(compared) < 4 * len(rows), compared
+
+
 def test_changed_copies_are_not_verified(spark):
     """A group of copies that all differ in many words of their own, around one that is linked."""
     random.seed(12)

@@ -12,7 +12,9 @@ which a shingle that occurs n times weighs 1 + ln n; without repeats it would be
 
 Signatures are cut into bands; texts that share a band's key, of either signature, are candidates. One bit
 of each component of the first signature goes with them, and a pair whose bits show a similarity far under
-the threshold is dropped there. The others are linked if the Jaccard similarity of the shingle sets, computed exactly, is ``THRESHOLD`` or
+the threshold is dropped there. So does a bitmap of each shingle set, in which a bit is set if an odd number of shingles falls on it:
+two bitmaps differ in no more bits than their sets differ in shingles, so a pair whose bitmaps differ in too many bits
+has no link. The others are linked if the Jaccard similarity of the shingle sets, computed exactly, is ``THRESHOLD`` or
 more. Equal shingle sets are one representative, so copies make no pairs. Classes are the connected
 components.
 
@@ -45,13 +47,18 @@ BANDS, BAND_ROWS = 42, 6
 #: A pair needs this estimate of its sets' similarity to be verified: at the threshold, 5 standard errors
 #: below it.
 LEAST_ESTIMATE = 0.6
+#: Bits of a shingle set's bitmap. It tells sets of up to twice as many shingles apart.
+PARITY_BITS = 512
 #: Bands that the first rounds look at; later rounds look at all.
 FIRST_BANDS = (2, 12)
 #: Leaders of a bucket in the first round over all bands, and their growth from round to round.
 LEADERS, GROWTH = 4, 4
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SIGNED = "doc_id long, text_id long, set_id long, shingles array<int>, bands array<long>, bits array<long>"
+SIGNED = (
+    "doc_id long, text_id long, set_id long, shingles array<int>, bands array<long>, bits array<long>, "
+    "parity array<long>"
+)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,12 +130,20 @@ def component_bits(owners: np.ndarray) -> np.ndarray:
     return np.packbits(whole, axis=1).view(np.int64)
 
 
+def parity_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap of each set of 32-bit hashes, as 64-bit integers: a bit is set if an odd number of them falls on it."""
+    row = np.repeat(np.arange(len(sets)), [s.size for s in sets])
+    at = (mix(np.concatenate(sets).view(np.uint32) + MIX) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = np.bincount(row * PARITY_BITS + at, minlength=len(sets) * PARITY_BITS).astype(np.uint8) & np.uint8(1)
+    return np.packbits(odd.reshape(-1, PARITY_BITS), axis=1).view(np.int64)
+
+
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_id, text) to (doc_id, text_id, set_id, sorted 32-bit shingle hashes, band keys, component bits).
+    """(doc_id, text_id, text) to (doc_id, text_id, set_id, sorted 32-bit shingle hashes, band keys, component bits, bitmap).
 
     ``set_id`` is a 64-bit hash of the shingle set; texts without words have null and no bands. Texts
     that repeat shingles have the bands of their weighted signature after those of the other one. The
-    bits depend on the shingle set only.
+    bits depend on the shingle set only, and the bitmap on the 32-bit hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +176,9 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     lists(np.array([x.size for x in small]), np.concatenate(small)),
                     lists(present * used.sum(1) * bands, keys[used[some]].reshape(-1)),
                     lists(present * bits.shape[1], bits.reshape(-1)),
+                    lists(present * (PARITY_BITS // 64), parity_bits(small)[present].reshape(-1)),
                 ],
-                names=["doc_id", "text_id", "set_id", "shingles", "bands", "bits"],
+                names=["doc_id", "text_id", "set_id", "shingles", "bands", "bits", "parity"],
             )
         release_memory()
 
@@ -227,20 +243,33 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
+def may_link(columns: list[str], components: int, threshold: float) -> str:
+    """The condition, in SQL, that the sets of rows x and h may reach the threshold.
+
+    It holds for all pairs that reach it, but for what ``LEAST_ESTIMATE`` says about component bits (s0, s1, ...).
+    """
+    differ = {k: " + ".join(f"bit_count(x.{c} ^ h.{c})" for c in columns if c[0] == k) for k in "sp"}
+    # Of unequal components, half differ in their bit.
+    most = int(components * (1 - LEAST_ESTIMATE) / 2)
+    numbers = "(x.number + h.number)"
+    return (
+        # What two sets share is shared, so it is not more than either shares with any set.
+        f"least(x.common, h.common) * {1 + threshold} >= {threshold} * {numbers} - 1e-6"
+        f" AND {differ['s']} <= {most}"
+        # The bitmaps (p0, p1, ...) differ in as many bits as the sets do in shingles, or fewer.
+        f" AND ({differ['p']}) * {1 + threshold} <= {1 - threshold} * {numbers} + 1e-6"
+    )
+
+
 def linked_labels(buckets: DataFrame, held: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
     """Component labels (id, label) of the candidate sets.
 
     ``buckets`` has (band, key, id) for keys of two or more sets, the sets' component bits
-    (s0, s1, ...), and the numbers of their shingles, all of them and those that other sets have too;
+    (s0, s1, ...) and bitmaps (p0, p1, ...), and the numbers of their shingles, all of them and those that other sets have too;
     ``held`` has the sets' shingles.
     """
-    bits = [c for c in buckets.columns if c.startswith("s")]
-    # Of unequal components, half differ in their bit.
-    most = int(bands * rows * (1 - LEAST_ESTIMATE) / 2)
-    differ = " + ".join(f"bit_count(x.{c} ^ h.{c})" for c in bits)
-    # What two sets share is shared, so it is not more than either shares with any set.
-    shared = f"least(x.common, h.common) * {1 + threshold} >= {threshold} * (x.number + h.number) - 1e-6"
-    carried = [*bits, "number", "common"]
+    carried = [c for c in buckets.columns if c not in ("band", "key", "id")]
+    near = may_link([c for c in carried if c not in ("number", "common")], bands * rows, threshold)
     labels = held.select("id", F.col("id").alias("label"))
     links: DataFrame | None = None
     leaders, turn = LEADERS, 0
@@ -265,7 +294,7 @@ def linked_labels(buckets: DataFrame, held: DataFrame, bands: int, rows: int, th
         )
         pairs = (
             live.alias("x")
-            .join(heads.alias("h"), F.expr(f"x.key = h.key AND x.label <> h.head_label AND {shared} AND {differ} <= {most}"))
+            .join(heads.alias("h"), F.expr(f"x.key = h.key AND x.label <> h.head_label AND {near}"))
             .select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
             .distinct()
         )
@@ -296,7 +325,7 @@ def shared_shingles(held: DataFrame, threshold: float) -> DataFrame:
     )
     number = F.size("shingles")
     counted = held.join(alone, "id", "left").select(
-        "id", "bits", number.alias("number"), (number - F.coalesce("alone", F.lit(0))).alias("common")
+        *[c for c in held.columns if c != "shingles"], number.alias("number"), (number - F.coalesce("alone", F.lit(0))).alias("common")
     )
     return counted.where(F.col("common") >= threshold * F.col("number") - 1e-6)
 
@@ -327,13 +356,17 @@ def labelled_sets(docs: DataFrame, threshold: float, bands: int, rows: int) -> t
     chosen = pairs.select("id").distinct().join(firsts, F.col("id") == F.col("set_id")).select("id", "first")
     held = materialise(
         signed.join(chosen, (F.col("set_id") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("first")))
-        .select("id", "shingles", "bits")
+        .select("id", "shingles", "bits", "parity")
         .dropDuplicates(["id"]),
         "candidates",
     )
     words = -(-bands * rows // 64)
     bits = shared_shingles(held, threshold).select(
-        "id", *[F.col("bits")[k].alias(f"s{k}") for k in range(words)], "number", "common"
+        "id",
+        *[F.col("bits")[k].alias(f"s{k}") for k in range(words)],
+        *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY_BITS // 64)],
+        "number",
+        "common",
     )
     buckets = materialise(pairs.join(bits, "id"), "buckets")
     return members, firsts, linked_labels(buckets, held.select("id", "shingles"), bands, rows, threshold)
