@@ -10,9 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from themata.llm import repair
+from themata.llm import encoding, repair
 from themata.llm.common import table
-from themata.llm.encoding import encoder
+from themata.llm.encoding import WordEncoder, encoder
 from themata.llm.packing import pack, plan
 from themata.llm.queries import op1_repair_ids, op9_best_fit_packing, vocabulary_path
 
@@ -53,6 +53,31 @@ def test_cached_encoding_is_the_librarys():
     assert encode(texts) == encode.encode_whole(texts)
 
 
+def test_words_with_signs_and_line_feeds_are_the_librarys(monkeypatch):
+    random.seed(5)
+    letters = "abÉß日ñ''0½.,#$%&*|<>_~^`!\n\n\u2028\u0301 "
+    texts = ["x " + "".join(random.choice(letters) for _ in range(random.randint(0, 24))) for _ in range(8000)]
+    words = ["".join(random.choice("abcdeéñ") for _ in range(6)) for _ in range(400)]
+    ends = ["", ".", "###", ".$$$", "***", "%%%"]
+    texts += [" ".join(w + random.choice(ends) + random.choice(["", "", "\nOnce,"]) for w in random.sample(words, 20)) + " a" for _ in range(200)]
+    encode = WordEncoder(VOCABULARY)
+    expected = encode.encode_whole(texts)
+    assert encode(texts) == expected and encode(texts) == expected
+    for bounds in ({"CACHED_WORDS": 20}, {"CACHED_LENGTH": 3}):
+        with monkeypatch.context() as m:
+            for name, value in bounds.items():
+                m.setattr(encoding, name, value)
+            small = WordEncoder(VOCABULARY)
+            assert small(texts) == expected and small(texts) == expected
+            assert len(small.cache) <= encoding.CACHED_WORDS and not small.cache.passing
+    # Such words need the library's pattern for their ends only.
+    fresh, whole = WordEncoder(VOCABULARY), []
+    plain = fresh.encode_whole
+    fresh.encode_whole = lambda x: (whole.append(len(x)), plain(x))[1]
+    assert fresh(texts[8000:]) == expected[8000:]
+    assert sum(whole) <= 200 + len(ends) + 2
+
+
 def test_compression_round_trip():
     rng = np.random.default_rng(0)
     for _ in range(200):

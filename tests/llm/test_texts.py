@@ -7,10 +7,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import INTERNAL, ODD
 from pyspark.sql import functions as F
@@ -176,6 +178,27 @@ def test_copies_with_equal_changes_are_not_compared_all(spark, monkeypatch):
     assert sum(compared) < 4 * len(rows), compared
 
 
+def test_verification_holds_few_pairs_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(-(1 << 31), 1 << 31, 600, np.int64).astype(np.int32)) for _ in range(50)]
+    near = [np.unique(np.concatenate([s[: 600 - 5 * k], s[600 - 5 * k :] ^ 1])) for k, s in enumerate(sets)]
+    pairs = [(sets[i % 50].tolist(), near[(i if i % 3 else i + 1) % 50].tolist()) for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(4000)), pa.array(range(4000)), *(pa.array(c, pa.list_(pa.int32())) for c in zip(*pairs, strict=True))],
+        names=["a", "b", "x", "y"],
+    )
+    links = [i for i, (x, y) in enumerate(pairs) if len({*x} & {*y}) >= 0.8 * len({*x} | {*y}) - 1e-9]
+    tracemalloc.start()
+    found = probminhash.similar(batch.slice(0), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.column(0).to_pylist() == found.column(1).to_pylist() == links
+    assert 0 < len(links) < 4000 and peak < 60e6, peak
+    assert probminhash.similar(batch.slice(17, 900), 0.8).column(0).to_pylist() == [i for i in links if 17 <= i < 917]
+    monkeypatch.setattr(probminhash, "COMPARED", 1)
+    assert probminhash.similar(batch, 0.8).column(0).to_pylist() == links
+
+
 def test_changed_copies_are_not_verified(spark):
     """A group of copies that all differ in many words of their own, around one that is linked."""
     random.seed(12)

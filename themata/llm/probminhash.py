@@ -49,6 +49,8 @@ BANDS, BAND_ROWS = 42, 6
 LEAST_ESTIMATE = 0.6
 #: Bits of a shingle set's bitmap. It tells sets of up to twice as many shingles apart.
 PARITY_BITS = 512
+#: Shingles of pairs that a task compares at once.
+COMPARED = 1 << 20
 #: Bands that the first rounds look at; later rounds look at all.
 FIRST_BANDS = (2, 12)
 #: Leaders of a bucket in the first round over all bands, and their growth from round to round.
@@ -189,6 +191,32 @@ def lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(values))
 
 
+def similar(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
+    """The rows (a, b) of (a, b, x, y) whose sorted hashes x and y reach the threshold.
+
+    Some rows are looked at at once, so a batch of any number of rows takes little memory beside it.
+    """
+    x, y = (batch.column(batch.schema.get_field_index(n)) for n in ("x", "y"))
+    xs, xo = x.flatten().to_numpy(), x.offsets.to_numpy().astype(np.int64) - x.offsets[0].as_py()
+    ys, yo = y.flatten().to_numpy(), y.offsets.to_numpy().astype(np.int64) - y.offsets[0].as_py()
+    good = np.empty(batch.num_rows, bool)
+    first = 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(xo + yo, xo[first] + yo[first] + COMPARED, "right")) - 1)
+        dx, dy = np.diff(xo[first : end + 1]), np.diff(yo[first : end + 1])
+        row = np.arange(end - first, dtype=np.uint64) << np.uint64(32)
+        # Common elements: equal neighbours after sorting (pair, shingle), as sets have no repeats.
+        key = np.concatenate([np.repeat(row, dx), np.repeat(row, dy)])
+        key |= np.concatenate([xs[xo[first] : xo[end]], ys[yo[first] : yo[end]]]).view(np.uint32)
+        key.sort()
+        same = key[1:][key[1:] == key[:-1]] >> np.uint64(32)
+        common = np.bincount(same.astype(np.int64), minlength=end - first)
+        good[first:end] = common >= threshold * (dx + dy - common) - 1e-9
+        first = end
+    rows = batch.filter(pa.array(good))
+    return pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"])
+
+
 def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of the threshold or more."""
     left = reps.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -197,21 +225,7 @@ def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(batch.schema.get_field_index(n)) for n in ("x", "y"))
-            xs, xo = x.flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()
-            ys, yo = y.flatten().to_numpy(), y.offsets.to_numpy() - y.offsets[0].as_py()
-            n = batch.num_rows
-            sizes = np.diff(xo) + np.diff(yo)
-            # Common elements: equal neighbours after sorting (pair, shingle), as sets have no repeats.
-            pair = np.concatenate([np.repeat(np.arange(n), np.diff(xo)), np.repeat(np.arange(n), np.diff(yo))])
-            value = np.concatenate([xs, ys]).view(np.uint32).astype(np.uint64)
-            key = np.sort((pair.astype(np.uint64) << np.uint64(32)) | value)
-            common = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n)
-            good = common >= threshold * (sizes - common) - 1e-9
-            rows = batch.filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index(c)) for c in ("a", "b")], names=["a", "b"]
-            )
+            yield similar(batch, threshold)
 
     # Sets whose sizes differ too much cannot reach the threshold.
     near = F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")) - 1e-9

@@ -29,6 +29,8 @@ from themata.llm.encoding import encoder
 
 BLOCK_IDS = 1 << 18
 MIN_COUNT = 4
+#: Odd factors that spread pairs over slots.
+SLOT_LEFT, SLOT_RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 MIN_GAIN = 0.03
 
 BLOCKS = (
@@ -46,20 +48,27 @@ def _replace_round(
     nothing = (seq, last, np.empty((0, 2), np.uint32))
     if seq.size < 2:
         return nothing
-    # Pairs that lie within a document, sorted; equal ones form a run.
+    # Pairs that lie within a document. Those whose slot is met too rarely are too rare themselves.
     inner = np.flatnonzero(~last[:-1])
-    key = (seq[inner].astype(np.uint64) << np.uint64(32)) | seq[inner + 1].astype(np.uint64)
-    if not key.size:
+    slots = int(2 * inner.size).bit_length()
+    slot = (seq[inner] * SLOT_LEFT + seq[inner + 1] * SLOT_RIGHT) >> np.uint32(32 - min(slots, 32))
+    inner = inner[np.bincount(slot, minlength=1)[slot] >= min_count]
+    if not inner.size:
         return nothing
-    place, symbol = int(key.size).bit_length(), int(seq.max()).bit_length()
+    # Sorted, equal ones form a run.
+    left, right = seq[inner].astype(np.uint64), seq[inner + 1].astype(np.uint64)
+    place, symbol = int(inner.size).bit_length(), int(seq.max()).bit_length()
     if 2 * symbol + place <= 64:
         # Pair and place in one number: sorting it is faster than sorting places.
-        pair = (seq[inner].astype(np.uint64) << np.uint64(symbol)) | seq[inner + 1].astype(np.uint64)
-        both = np.sort((pair << np.uint64(place)) | np.arange(key.size, dtype=np.uint64))
+        both = (((left << np.uint64(symbol)) | right) << np.uint64(place)) | np.arange(inner.size, dtype=np.uint64)
+        both.sort()
         order = (both & np.uint64((1 << place) - 1)).astype(np.int64)
+        key = both >> np.uint64(place)
     else:
+        symbol = 32
+        key = (left << np.uint64(32)) | right
         order = np.argsort(key, kind="stable")
-    key = key[order]
+        key = key[order]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     counts = np.diff(np.append(starts, key.size))
     often = counts >= min_count
@@ -68,9 +77,9 @@ def _replace_round(
     pairs = key[starts[often]]
     # Rank 0 is the most frequent pair; ties go by the pair's value.
     by_rank = np.argsort(-counts[often], kind="stable")
-    rank = np.empty(pairs.size, np.int64)
+    rank = np.empty(pairs.size, np.int32)
     rank[by_rank] = np.arange(pairs.size)
-    of = np.full(seq.size + 1, pairs.size, np.int64)
+    of = np.full(seq.size + 1, pairs.size, np.int32)
     of[inner[order[np.repeat(often, counts)]] + 1] = np.repeat(rank, counts[often])
     hit = np.flatnonzero(of < pairs.size) - 1
     here, before, after = of[hit + 1], of[hit], of[np.minimum(hit + 2, seq.size)]
@@ -94,7 +103,7 @@ def _replace_round(
         return nothing
     taken, code = taken[real[code]], code[real[code]]
     rules = pairs[by_rank[real]]
-    rules = np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+    rules = np.stack([rules >> np.uint64(symbol), rules & np.uint64((1 << symbol) - 1)], 1).astype(np.uint32)
     symbols = (next_id + (np.cumsum(real) - 1)[code]).astype(np.uint32)
     out = seq.copy()
     out[taken] = symbols
