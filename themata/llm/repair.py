@@ -49,10 +49,9 @@ def _replace_round(
     if seq.size < 2:
         return nothing
     # Pairs that lie within a document. Those whose slot is met too rarely are too rare themselves.
-    inner = np.flatnonzero(~last[:-1])
-    slots = int(2 * inner.size).bit_length()
-    slot = (seq[inner] * SLOT_LEFT + seq[inner + 1] * SLOT_RIGHT) >> np.uint32(32 - min(slots, 32))
-    inner = inner[np.bincount(slot, minlength=1)[slot] >= min_count]
+    slots = min(seq.size.bit_length(), 32)
+    slot = ((seq[:-1] * SLOT_LEFT + seq[1:] * SLOT_RIGHT) >> np.uint32(32 - slots)).astype(np.int64)
+    inner = np.flatnonzero((np.bincount(slot) >= min_count)[slot] & ~last[:-1])
     if not inner.size:
         return nothing
     # Sorted, equal ones form a run.
@@ -83,12 +82,15 @@ def _replace_round(
     of[inner[order[np.repeat(often, counts)]] + 1] = np.repeat(rank, counts[often])
     hit = np.flatnonzero(of < pairs.size) - 1
     here, before, after = of[hit + 1], of[hit], of[np.minimum(hit + 2, seq.size)]
-    # Runs of one symbol: every second pair counted from the run's beginning.
+    keep = (here < before) & (here <= after)
+    # Runs of one symbol: every second pair counted from the run's beginning. The pair before a run
+    # decides whether the run's first pair is taken.
     same = before == here
-    first = np.flatnonzero(~same)
-    run = np.arange(hit.size) - np.repeat(first, np.diff(np.append(first, hit.size)))
-    # The pair before a run decides whether the run's first pair is taken.
-    keep = np.where(same, run % 2 == 0, here < before) & (here <= after)
+    later = np.flatnonzero(same)
+    if later.size:
+        first = np.flatnonzero(~same)
+        run = later - first[np.searchsorted(first, later) - 1]
+        keep[later] = (run % 2 == 0) & (here <= after)[later]
     taken = hit[keep]
     # Neighbours that still overlap: the left one stays.
     while taken.size > 1:
