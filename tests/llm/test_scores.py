@@ -134,6 +134,45 @@ def test_odd_ngrams(spark, odd):
     assert kneser_ney.train_and_score(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [["the", "a"], []])
+def test_words_with_shards_of_their_own(spark, tmp_path, words):
+    """Half of all tokens are one word, or half of all n-grams begin a text; counts go beyond one byte."""
+    if words:
+        docs = [(i, " ".join(f"the w{(i * j) % 97}" for j in range(60))) for i in range(60)] + [(60, "a b " * 900)]
+    else:
+        docs = [(i, f"x w{i % 5}") for i in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("held_out", kneser_ney.crc_fold("doc_id", 5) == 1)
+    for order in (2, 3):
+        folder = str(tmp_path / str(order))
+        kneser_ney.train(frame.where(~F.col("held_out")), folder, order, 4)
+        vocabulary = kneser_ney.Vocabulary(folder)
+        assert vocabulary.shares.max() > 1
+        assert (kneser_ney.START in vocabulary.heavy) == (not words)
+        check_scores(kneser_ney.score(frame, folder).collect(), docs, order)
+
+
+def test_ngram_files_are_small(spark, tmp_path):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    kneser_ney.train(docs, str(tmp_path / "model"), 3)
+    padded = [["<s>", "<s>", *tokens(r["text"])] for r in docs.collect()]
+    distinct = {g for words in padded for g in zip(words, words[1:], words[2:], strict=False)}
+    assert sum(f.stat().st_size for f in (tmp_path / "model").iterdir()) < 32 * len(distinct)
+
+
+@pytest.mark.parametrize("most", [3, 1 << 20, 1 << 40])
+def test_pieces_of_ngrams(most):
+    draw = np.random.default_rng(2)
+    columns = [draw.integers(0, most, 5000).astype(np.uint64) >> np.uint64(s) for s in (0, 1, 0)]
+    want, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+    for weights in (None, np.ones(5000, np.int64)):
+        *found, sums = kneser_ney._counted(columns, weights)
+        assert np.array_equal(np.stack(found, 1), want)
+        assert np.array_equal(sums, n)
+    back = kneser_ney.unpack(kneser_ney.pack(found, sums), 3)
+    assert all(np.array_equal(a, b) for a, b in zip(back, [*found, sums], strict=True))
+    assert [x.size for x in kneser_ney.unpack(kneser_ney.pack([c[:0] for c in found], sums[:0]), 3)] == [0] * 4
+
+
 # --- language ------------------------------------------------------------------------------------
 
 
