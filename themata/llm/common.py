@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import re
 from collections.abc import Iterator
 
@@ -11,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themata.functions.memory import release_memory  # noqa: F401
 from themata.session import ship_package
 
 #: Words: runs of anything but ASCII white space.
@@ -65,13 +64,3 @@ def words_of(text: str) -> list[str]:
     if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return text.split()  # the same for such texts, and faster
     return WORD.findall(text)
-
-
-def release_memory() -> None:
-    """Give memory that a task has freed back to the system, as its worker lives on for other stages."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library keeps what it has
